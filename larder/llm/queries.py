@@ -49,3 +49,27 @@ SQL = {
           FROM m GROUP BY doc_id) k USING (doc_id)
     """,
 }
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.ngram_join import ngram_components
+
+    return ngram_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_ngram_jaccard_join"] = op8_ngram_jaccard_join
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.language import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES |= {"op1_language_id": op1_language_id, "op10_benchmark_decontamination": op10_benchmark_decontamination}
