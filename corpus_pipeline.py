@@ -1,5 +1,74 @@
-"""A corpus through five stages."""
-STAGES = []
+"""A corpus from raw documents to packed training sequences, in five stages.
+
+Each stage takes the documents that its predecessor kept, as a Parquet table, and returns those that it
+keeps with the columns of `documents`; the last returns token pieces with their places.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larder.llm import decontaminate, language, line_dedup, ngram_join, packing
+from larder.llm.common import crc_remainder, written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language. Those go that have no letter or no text, that no language has the
+    larger part of, or that are no likelier than noise under the best mixture. A null lang becomes the
+    language found; others stay as they are."""
+    model = language.fit(docs.where(crc_remainder("doc_id") != 1))
+    found = language.predict(docs, model)
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= 0.5) & (F.col("gain") > 0))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without boilerplate lines. A document goes if it had text and has none left: all of it
+    stands elsewhere."""
+    gone = line_dedup.removals(docs.select("doc_id", "text", F.col("source").alias("site")))
+    out = docs.join(gone, "doc_id", "left").withColumn("text", line_dedup.without("text", "gone"))
+    out = out.where("gone is null or trim(text) <> ''").withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group that links of similarity 0.75 hold together."""
+    groups = ngram_join.ngram_components(docs)
+    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than half of any benchmark item."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents in sequences of at most 1,024 tokens."""
+    return packing.packed_documents(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", dedup_documents),
+    ("benchmark_decontamination", decontaminate_documents),
+    ("best_fit_packing", pack_documents),
+]
+
+#: Mixture inference, sketches and packing are beyond SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.llm.common import crc_remainder
 
@@ -129,8 +130,9 @@ def infer(p: np.ndarray, n: np.ndarray, penalty: float, most: int = 4) -> tuple[
     return chosen, found
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 2.0) -> DataFrame:
-    """`docs` (doc_id, text) with lang_pred string, score double, languages int, gain double.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 2.0, text: str = "text") -> DataFrame:
+    """`docs` with lang_pred string, score double, languages int, gain double after its own columns, which
+    must not have these names.
 
     lang_pred is the language of the largest share, score that share, languages the size of the chosen
     set. gain is the mean log-likelihood of a trigram above that of noise (all buckets alike), 0 or less
@@ -139,11 +141,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float
     """
     names, p = model
     shared = docs.sparkSession.sparkContext.broadcast(p)  # BUCKETS doubles a language
+    at = docs.columns.index(text)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for block in _blocks(batch.column(1).to_pylist()):
+            for block in _blocks(batch.column(at).to_pylist()):
                 h, bounds = _grams(block)
                 for i in range(len(block)):
                     n = np.bincount(h[bounds[i] : bounds[i + 1]])
@@ -157,11 +160,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float
                     out.append((names[top], min(1.0, float(w[top])), int((w > 0).sum()), likelihood / n.sum() + np.log(BUCKETS)))
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int32(), pa.float64())))],
-                names=["doc_id", "lang_pred", "score", "languages", "gain"],
+                [*batch.columns, *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int32(), pa.float64())))],
+                names=[*batch.schema.names, "lang_pred", "score", "languages", "gain"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, lang_pred string, score double, languages int, gain double")
+    schema = T.StructType(list(docs.schema.fields))
+    for name, kind in (("lang_pred", "string"), ("score", "double"), ("languages", "integer"), ("gain", "double")):
+        schema = schema.add(name, kind)
+    return docs.mapInArrow(of, schema)
 
 
 def identify(docs: DataFrame, penalty: float = 2.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -173,5 +179,5 @@ def identify(docs: DataFrame, penalty: float = 2.0, doc_id: str = "doc_id", text
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     model = fit(docs.where(crc_remainder("doc_id") != 1))
-    found = predict(docs, model, penalty)
+    found = predict(docs.select("doc_id", "text"), model, penalty)
     return found.select("doc_id", (crc_remainder("doc_id") == 1).alias("held_out"), "lang_pred", "score", "languages", "gain")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from larder.llm.common import written
 
 
-def _lines(docs: DataFrame, text: str) -> Column:
+def _lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
@@ -36,9 +36,9 @@ def boilerplate(lines: DataFrame, min_sites: int = 5, lg_k: int = 10, band: floa
     spread = written(spread.where(F.col("sites") >= min_sites - slack), "spread")
     near = spread.where(F.abs(F.col("sites") - min_sites) <= slack).select("hash")
     exact = (
-        lines.join(near, "hash", "left_semi")
-        .select("hash", "site")
-        .distinct()
+        lines.select("hash", "site")
+        .distinct()  # before the join: a line that a third of all rows hold is then a few rows a task
+        .join(near, "hash", "left_semi")
         .groupBy("hash")
         .agg(F.count("*").alias("exact"))
     )
@@ -49,46 +49,57 @@ def boilerplate(lines: DataFrame, min_sites: int = 5, lg_k: int = 10, band: floa
     )
 
 
-def remove_boilerplate(
-    docs: DataFrame, min_sites: int = 5, doc_id: str = "doc_id", text: str = "text", site: str = "source"
-) -> DataFrame:
-    """(doc_id, text, n_lines, n_removed), one row per row of `docs`: texts without the lines that at
-    least `min_sites` sites share. Of each such line one stays: the first, by doc_id and place.
-
-    Lines are compared without spaces at their ends; lines that are then empty always stay. Lines of
-    fewer than two characters count as any others. A null site is a site of its own. A null text stays
-    null and has no lines; a text of which nothing goes stays byte for byte. Rows with the same doc_id
-    (or none) are told apart by nothing: repeated ids share their removals, null ids keep their text.
-    An empty table gives an empty table. Other columns of `docs`, whatever their names, aren't read.
-    """
-    docs = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(site).cast("string").alias("site")
-    )
-    places = written(docs.where("text is not null and doc_id is not null").select(
+def removals(docs: DataFrame, min_sites: int = 5) -> DataFrame:
+    """(doc_id, gone array<int>) of the texts of `docs` (doc_id, text, site) that lose lines; gone has the
+    numbers of these lines in order."""
+    places = docs.where("text is not null and doc_id is not null").select(
         "doc_id",
         F.coalesce("site", F.lit("\0none")).alias("site"),
-        F.posexplode(F.transform(_lines(docs, "text"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))).alias("pos", "hash"),
-    ).where("hash is not null"), "lines")
+        F.posexplode(F.transform(_lines("text"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))).alias("pos", "hash"),
+    )
+    places = written(places.where("hash is not null"), "lines")
     common = boilerplate(places, min_sites)
-    flags = (
+    return (
         places.join(common.select("hash", "first"), "hash")
         .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     )
-    # One flag a line up to the last that goes, so that filtering a text walks its lines once.
-    previous = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("gone", i - 1))
+
+
+def without(text: str, gone: str) -> Column:
+    """`text` without the lines whose numbers `gone` has, in order. One flag a line, up to the last that
+    goes, so that filtering a text walks its lines once."""
+    previous = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(gone, i - 1))
     stays = F.flatten(
-        F.transform("gone", lambda p, i: F.concat(F.array_repeat(F.lit(True), p - previous(i) - 1), F.array(F.lit(False))))
+        F.transform(gone, lambda p, i: F.concat(F.array_repeat(F.lit(True), p - previous(i) - 1), F.array(F.lit(False))))
     )
-    kept = F.filter("lines", lambda x, i: F.coalesce(F.get("stays", i), F.lit(True)))
-    return (
-        docs.join(flags, "doc_id", "left")
-        .withColumns({"lines": _lines(docs, "text"), "stays": stays})
-        .select(
-            "doc_id",
-            F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-            F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
-            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        )
+    # a lambda sees the flags as a field of its element, so that they are made once a text
+    kept = F.transform(
+        F.array(F.struct(_lines(text).alias("lines"), stays.alias("stays"))),
+        lambda s: F.array_join(F.filter(s["lines"], lambda x, i: F.coalesce(F.get(s["stays"], i), F.lit(True))), "\n"),
+    )
+    return F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept[0])
+
+
+def remove_boilerplate(
+    docs: DataFrame, min_sites: int = 5, doc_id: str = "doc_id", text: str = "text", site: str = "source"
+) -> DataFrame:
+    """(doc_id, text, n_lines, n_removed), one row per row of `docs`: texts without the lines that at
+    least `min_sites` sites share. Of each such line one stays: the first, by doc_id and place.
+
+    Lines are compared without spaces at their ends; lines that are then empty always stay. A null site
+    is a site of its own. A null text stays null and has no lines; a text of which nothing goes stays
+    byte for byte. Rows with the same doc_id share their removals; rows with a null id keep their text
+    and don't count. An empty table gives an empty table. Other columns of `docs`, whatever their names,
+    aren't read.
+    """
+    docs = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(site).cast("string").alias("site")
+    )
+    return docs.join(removals(docs, min_sites), "doc_id", "left").select(
+        "doc_id",
+        without("text", "gone").alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines("text"))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
