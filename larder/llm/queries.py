@@ -73,3 +73,35 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES |= {"op1_language_id": op1_language_id, "op10_benchmark_decontamination": op10_benchmark_decontamination}
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from larder.llm.token_count import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), P.path("piece_bpe_32k.model"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.license_scan import license_digest
+
+    return license_digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op2_token_counts": op2_token_counts, "op4_license_scan": op4_license_scan}
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.embedding_dedup import cosine_components
+
+    return cosine_components(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.quality import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES |= {"op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_quality_classifier": op7_quality_classifier}

@@ -6,6 +6,8 @@ bytes alone, so that every task and every run gives the same value.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -61,6 +63,16 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(batch: pa.RecordBatch, column: int = 1, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """`batch` in parts with some `size` bytes of text each, so that arrays over bytes stay small."""
+    _, offsets = buffers(batch.column(column))
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte and last byte (inclusive) of each word."""
     inside = kind[raw]
