@@ -105,3 +105,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_quality_classifier": op7_quality_classifier}
+
+
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.warc import derive, responses
+
+    return derive(responses(_table(spark, sf_dir, "pages")))
+
+
+QUERIES |= {"op3_warc_derivatives": op3_warc_derivatives}
