@@ -33,7 +33,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def crc_remainder(doc_id: str | Column) -> Column:
     """crc32 of the id as text, modulo 3; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % 3
+    found = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(found.cast("string"), F.lit(""))) % 3
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
