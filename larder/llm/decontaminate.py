@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.textops import ALNUM, rolling, word_hashes
+from larder.llm.textops import ALNUM, rolling, slices, word_hashes
 
 _SLOTS = 1 << 20
 
@@ -25,7 +25,7 @@ def item_grams(items: DataFrame, k: int) -> DataFrame:
     """(item_id, n_words, at, h) of every k words of every item."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             hashes, counts = word_hashes(batch.column(1), ALNUM)
             h, text, at = rolling(hashes, counts, k)
             yield pa.RecordBatch.from_arrays(
@@ -45,7 +45,7 @@ def seeds(docs: DataFrame, grams: DataFrame, k: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             hashes, counts = word_hashes(batch.column(1), ALNUM)
             h, text, at = rolling(hashes, counts, k)
             good = shared.value[(h & np.uint64(_SLOTS - 1)).astype(np.int64)]

@@ -5,13 +5,14 @@ shingle among the first few of any fixed order (prefix filtering), so sets meet
 neighbouring bands that share such a shingle. In a tile, hashed bitmaps bound the overlap from above by
 counting bits, and what passes is settled by intersecting the sorted arrays.
 
-Groups of copies are never expanded. Equal sets are one from the start. Each tile first links its sets
-to its head and to their neighbours, which joins any large group by a linear number of pairs; then only
-pairs of different components are left to look at, and all of those are.
+Groups of copies are never expanded. Equal sets are one from the start. In a tile each set is first tried
+with the few that its bitmap is closest to, which joins any large group by a linear number of pairs; then
+only pairs of different components are left to look at, and all of those are.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,59 +22,83 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.llm.common import components, written
-from larder.llm.textops import mix, shingle_sets
-
-#: Distinct hashes that a task counts before it reports the frequent ones.
-_COUNTED = 1 << 22
+from larder.llm.textops import mix, shingle_sets, slices
+
+#: Hashes that a task counts before it reports them.
+_COUNTED = 1 << 20
+#: Shingles with lower hashes are counted. A third of all: more than a prefix at similarity 0.75 takes.
+_COUNTED_BELOW = np.uint64(2**64 // 3)
+#: Bits of the bitmap of repeated shingles, and of documents that are asked for again.
+_REPEATED, _ASKED = 1 << 26, 1 << 24
 SIGNATURES = "doc_id long, n_shingles long, key_a long, key_b long, bitmap binary, prefix array<long>"
 
 
-def frequent_shingles(docs: DataFrame, k: int, often: int = 3, most: int = 1 << 17) -> np.ndarray:
-    """Hashes of the `most` most frequent shingles, rarest first, from counts over all texts.
-
-    They only order shingles: results are the same with any list, good lists make tiles small. Tasks
-    report what they see `often` times in a few million shingles; sums of these reports rank them.
-    """
+def repeated_shingles(docs: DataFrame, k: int) -> DataFrame:
+    """(h, n): shingles below _COUNTED_BELOW that more than one text holds, with how many do. Prefixes
+    begin with low hashes, so these are the ones worth counting; counts are exact and over all texts."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def report() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            good = n >= often
-            return pa.RecordBatch.from_arrays([pa.array(values[good].view(np.int64)), pa.array(n[good], pa.int64())], names=["h", "n"])
+            values, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
 
         for batch in batches:
-            for s in shingle_sets(batch.column(0), k):
-                held.append(s)
-                size += len(s)
+            for part in slices(batch, 0):
+                sets = [s[: np.searchsorted(s, _COUNTED_BELOW)] for s in shingle_sets(part.column(0), k)]
+                held += sets
+                size += sum(map(len, sets))
                 if size >= _COUNTED:
                     yield report()
                     held, size = [], 0
         yield report()
 
     counts = docs.select("text").mapInArrow(of, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(most).toPandas()
+    return counts.where("n > 1")
+
+
+def frequent(counts: DataFrame, often: int = 8, most: int = 1 << 19) -> np.ndarray:
+    """Of the counted shingles that `often` texts hold, the `most` most frequent, rarest first. They only
+    order shingles: results are the same with any list, good lists make tiles small."""
+    top = counts.where(F.col("n") >= often).orderBy(F.desc("n"), "h").limit(most).toPandas()
     return top["h"].to_numpy(dtype=np.int64).view(np.uint64)[::-1].copy()
 
 
+def marked(values: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of `bits` bits, the same size for any input, with those of the column's values set (each
+    modulo `bits`). Built by aggregation, 32,768 bits a row."""
+    v = F.pmod(F.col(values.columns[0]), F.lit(bits)) + 1
+    rows = values.select(v.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        out[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def is_marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = (values.view(np.uint64) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def _bitmap(s: np.ndarray) -> bytes:
-    """One parity bit per slot; slots are the power of two next above the set's size (64 at least), so
-    that sets of one size band have bitmaps of one or two widths, and wider ones fold onto narrower."""
-    width = max(64, 1 << int(len(s)).bit_length())
-    bits = np.zeros(width, dtype=np.uint8)
-    np.bitwise_xor.at(bits, (mix(s) & np.uint64(width - 1)).astype(np.int64), 1) if len(s) else None
-    return np.packbits(bits, bitorder="little").tobytes()
+    """One parity bit per slot. There are two to four slots per element (256 at least, 16,384 at most), a
+    power of two, so that sets of one size band have one or two widths, and wider ones fold onto narrower."""
+    width = min(max(256, 2 << int(len(s)).bit_length()), 1 << 14)
+    slots = np.bincount((mix(s) & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((slots & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFrame:
-    """SIGNATURES of every text: size of its set, a 128-bit key of it, bitmap, and its prefix."""
+def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray, repeated: np.ndarray) -> DataFrame:
+    """SIGNATURES of every text: size of its set, a 128-bit key of it, bitmap, and its prefix without
+    shingles that, by their counts, no other text holds."""
     ranks = docs.sparkSession.sparkContext.broadcast((np.sort(order), np.argsort(order)))  # `most` entries
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)  # _REPEATED bits
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = ranks.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = shingle_sets(batch.column(1), k)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             keys = np.zeros((len(sets), 2), dtype=np.uint64)
@@ -83,15 +108,15 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> Data
                 maps.append(_bitmap(s))
                 # overlap >= ceil(percent * n / 100), so a partner holds one of the first n - that + 1
                 length = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                if len(known) and len(s):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = known[at] == s
-                    rest = s[~often]
-                    if len(rest) < length:
-                        late = s[often]
-                        rest = np.concatenate((rest, late[np.argsort(rank[at[often]], kind="stable")]))
-                    s = rest
-                prefixes.append(s[:length])
+                # the order of all sets: counted and rare, counted and frequent by frequency, not counted
+                low = np.searchsorted(s, _COUNTED_BELOW)
+                if len(known) and low:
+                    at = np.minimum(np.searchsorted(known, s[:low]), len(known) - 1)
+                    often = known[at] == s[:low]
+                    late = s[:low][often]
+                    s = np.concatenate((s[:low][~often], late[np.argsort(rank[at[often]], kind="stable")], s[low:]))
+                s = s[:length]
+                prefixes.append(s[(s >= _COUNTED_BELOW) | is_marked(shared.value, s)])
             sizes = np.array([len(p) for p in prefixes])
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -109,73 +134,134 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> Data
     return docs.select("doc_id", "text").mapInArrow(of, SIGNATURES)
 
 
-def _fold(bits: np.ndarray, width: int) -> np.ndarray:
-    while len(bits) > width:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
-    return bits
-
-
-def overlap_bound(n_a: int, bitmap_a: bytes, n_b: int, bitmap_b: bytes) -> int:
-    """No overlap is larger. A slot whose parities differ holds an element of one set alone, so the
-    symmetric difference n_a + n_b - 2 * overlap is at least the number of such slots."""
-    a, b = np.frombuffer(bitmap_a, np.uint8), np.frombuffer(bitmap_b, np.uint8)
-    width = min(len(a), len(b))
-    return (n_a + n_b - int(np.bitwise_count(_fold(a, width) ^ _fold(b, width)).sum())) // 2
-
-
-def _possible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose bitmaps leave a sufficient overlap possible."""
-    side = lambda x: sigs.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bitmap").alias(f"bitmap_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bitmap_a", "n_b", "bitmap_b")
+def _folded(bitmaps: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps as rows of `width` bytes; wider ones are folded by exclusive or, which keeps parities."""
+    out = np.zeros((len(bitmaps), width), dtype=np.uint8)
+    for i, b in enumerate(bitmaps):
+        x = np.frombuffer(b, np.uint8)
+        out[i] = np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) if len(x) > width else x
+    return out.view(np.uint64)
+
+
+def overlap_bounds(n_a: np.ndarray, bits_a: np.ndarray, n_b: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
+    """For each a and b an overlap that they don't exceed. A slot whose parities differ holds an element of
+    one set alone, so n_a + n_b - 2 * overlap is at least the number of such slots."""
+    apart = np.zeros((len(n_a), len(n_b)), dtype=np.int64)
+    for w in range(bits_a.shape[1]):
+        apart += np.bitwise_count(bits_a[:, w, None] ^ bits_b[None, :, w])
+    both = n_a[:, None] + n_b[None, :]
+    return np.minimum((both - apart) // 2, np.minimum(n_a[:, None], n_b[None, :]))
+
+
+def _tile_pairs(x: pa.Table, y: pa.Table, percent: int, best: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of x and y (the same table, or two blocks) that bitmaps leave possible. With `best`,
+    for each row at most so many, those of the largest bounds; else all of different parts."""
+    n_x, n_y = (t.column("n").to_numpy() for t in (x, y))
+    part_x, part_y = (t.column("part").to_numpy() for t in (x, y))
+    ids_x, ids_y = (t.column("doc").to_numpy() for t in (x, y))
+    if best is None and (part_x == part_x[0]).all() and (part_y == part_x[0]).all():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    maps_x, maps_y = (t.column("bitmap").to_pylist() for t in (x, y))
+    out_a, out_b = [], []
+    # rows come by size: for a band of them, those that they can link with are one stretch of y
+    for at in range(0, len(n_x), 64):
+        rows = slice(at, min(at + 64, len(n_x)))
+        low = int(np.searchsorted(n_y, -(-percent * n_x[rows][0] // 100)))
+        high = int(np.searchsorted(n_y, 100 * n_x[rows][-1] // percent, side="right"))
+        for left in range(low, high, 2048):
+            right = min(left + 2048, high)
+            width = min(min(map(len, maps_x[rows])), min(map(len, maps_y[left:right])))
+            bound = overlap_bounds(n_x[rows], _folded(maps_x[rows], width), n_y[left:right], _folded(maps_y[left:right], width))
+            good = 100 * bound >= percent * (n_x[rows][:, None] + n_y[None, left:right] - bound)
+            good &= ids_x[rows][:, None] != ids_y[None, left:right]
+            if best is None:
+                good &= part_x[rows][:, None] != part_y[None, left:right]
+                if x is y:
+                    good &= ids_x[rows][:, None] < ids_y[None, left:right]
+            i, j = np.nonzero(good)
+            if best is not None and len(i):
+                order = np.lexsort((-bound[i, j], i))
+                first = np.searchsorted(i[order], i[order])
+                order = order[np.arange(len(order)) - first < best]
+                i, j = i[order], j[order]
+            out_a.append(ids_x[rows][i])
+            out_b.append(ids_y[left:right][j])
+    a, b = (np.concatenate([*o, np.zeros(0, np.int64)]).astype(np.int64) for o in (out_a, out_b))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _possible(blocks: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs (a, b) of all tiles. blocks: (head, low, high, block, doc, n, bitmap, part); a group (head,
+    low, high) has the rows of one block, or of two, and goes to one task, which holds one at a time."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(group: pa.Table) -> pa.RecordBatch:
+            number = group.column("block").to_numpy()
+            x = group.filter(pa.array(number == number.min())).combine_chunks()
+            y = x if number.min() == number.max() else group.filter(pa.array(number == number.max())).combine_chunks()
+            a, b = _tile_pairs(x, y, percent, best)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held: list[pa.Table] = []
+        key = None
         for batch in batches:
-            n_a, m_a, n_b, m_b = (batch.column(i).to_pylist() for i in range(2, 6))
-            good = []
-            for x, p, y, q in zip(n_a, m_a, n_b, m_b):
-                overlap = min(overlap_bound(x, p, y, q), x, y)
-                good.append(100 * overlap >= percent * (x + y - overlap))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return both.mapInArrow(of, "a long, b long")
-
-
-def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) that are similar enough. Sets are hashed anew from the texts of documents
-    that some pair holds, so that sets of all documents are never stored."""
-    pairs = written(_possible(pairs, sigs, percent), "possible")
-    asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+            table = pa.Table.from_batches([batch])
+            keys = np.column_stack([table.column(c).to_numpy() for c in ("head", "low", "high")])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for s, e in zip(cuts, cuts[1:]):
+                if e == s:
+                    continue
+                if key is not None and tuple(keys[s]) != key:
+                    yield pairs(pa.concat_tables(held))
+                    held = []
+                key = tuple(keys[s])
+                held.append(table.slice(s, e - s))
+        if held:
+            yield pairs(pa.concat_tables(held))
+
+    placed = blocks.repartition("head", "low", "high").sortWithinPartitions("head", "low", "high", "block", "n", "doc")
+    return placed.mapInArrow(of, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) that are similar enough, by intersecting their sets as sorted arrays.
+
+    Texts of documents that some pair holds go to their pairs, compressed, at a third of their sets'
+    size; a bitmap of _ASKED bits tells nearly all others where they are read.
+    """
+    mark = F.xxhash64("doc_id")
+    asked = marked(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(mark), _ASKED)
+    shared = docs.sparkSession.sparkContext.broadcast(asked)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "items"])
+            some = batch.filter(pa.array(is_marked(shared.value, batch.column(2).to_numpy())))
+            packed = [zlib.compress(t.as_buffer(), 1) if t.is_valid else zlib.compress(b"") for t in some.column(1)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
-    sets = docs.join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(of, "doc_id long, items binary")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"items_{x}"))
+    texts = docs.where("doc_id is not null").select("doc_id", "text", mark.alias("mark")).mapInArrow(of, "doc_id long, packed binary")
+    texts = written(texts, "texts")
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("packed").alias(f"text_{x}"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 128) for whole in batches for at in range(0, len(whole), 128)):
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            own = dict(zip([*a, *b], [*batch.column(2), *batch.column(3)]))
+            column = pa.array([zlib.decompress(t.as_buffer()) for t in own.values()], pa.binary()).cast(pa.string())
+            sets = dict(zip(own, shingle_sets(column, k)))
             good = []
-            for p, q in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                overlap = int(np.count_nonzero(y[at] == x))
-                good.append(100 * overlap >= percent * (len(x) + len(y) - overlap))
+            for x, y in zip(a, b):
+                x, y = sorted((sets[x], sets[y]), key=len)
+                overlap = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)) if len(x) else 0
+                good.append(overlap > 0 and 100 * overlap >= percent * (len(x) + len(y) - overlap))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b")
-    return both.mapInArrow(settle, "a long, b long")
-
-
-def _sized(percent: int) -> str:
-    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(settle, "a long, b long").distinct()
 
 
 def ngram_components(
-    docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, k: int = 5, percent: int = 75, tile_rows: int = 4096, best: int = 2, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of `docs`.
 
@@ -189,8 +275,8 @@ def ngram_components(
     gives an empty table. Other columns aren't read.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    order = frequent_shingles(docs, k)
-    sigs = written(signatures(docs, k, percent, order), "signatures")
+    counts = written(repeated_shingles(docs, k), "counts")
+    sigs = written(signatures(docs, k, percent, frequent(counts), marked(counts.select("h"), _REPEATED)), "signatures")
     named = sigs.where("doc_id is not null and n_shingles > 0")
 
     # Equal sets: one class, held by its smallest id.
@@ -200,55 +286,40 @@ def ngram_components(
     heads = named.join(members.where("doc_id = class").select("doc_id").distinct(), "doc_id", "left_semi")
     heads = heads.dropDuplicates(["doc_id"])
 
-    # Tiles: sets that share a shingle of their prefixes; with each, the head and the neighbour it is
-    # first compared with. Shingles of one set alone go.
-    tile = Window.partitionBy("token")
-    line = tile.orderBy("n", "doc")
+    # Tiles: sets that share a shingle of their prefixes. Tiles with the same smallest id become one: the
+    # shingles of a group of near copies, each with much the same members, make a few tiles in all.
+    token = Window.partitionBy("token")
     tiles = (
-        heads.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
-        .withColumns({
-            "size": F.count("*").over(tile),
-            "before": F.lag(F.struct("doc", "n")).over(line),
-            "head": F.first(F.struct("doc", "n")).over(line),
-        })
+        heads.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"))
+        .withColumns({"size": F.count("*").over(token), "head": F.min("doc").over(token)})
         .where("size > 1")
-        .select("token", "doc", "n", "before", "head")
-    )
-    tiles = written(tiles, "tiles")
-    near = tiles.select(F.explode(F.array("before", "head")).alias("x"), F.col("doc"), F.col("n").alias("n_b"))
-    near = near.select(F.col("x.doc").alias("p"), F.col("doc").alias("q"), F.col("x.n").alias("n_a"), "n_b")
-    first = (
-        near.where(f"p <> q and {_sized(percent)}")
-        .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+        .select("head", "doc")
         .distinct()
     )
-    plain = written(heads.select("doc_id", "n_shingles", "bitmap"), "bitmaps")
-    first = written(first, "first")
-    links = written(verified(first, plain, docs, k, percent), "links")
-    found = components(links)
-
+    # Large tiles are cut into blocks by size of set; each two blocks that sizes allow to link are a group.
+    place = F.row_number().over(Window.partitionBy("head").orderBy("n", "doc")) - 1
+    sized = heads.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
+    rows = written(tiles.join(sized, "doc").withColumn("block", F.floor(place / tile_rows).cast("int")), "tiles")
+    bitmaps = heads.select(F.col("doc_id").alias("doc"), "bitmap")
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        cuts = rows.groupBy("head", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        x, y = (cuts.select("head", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "least", "most"))) for s in "xy")
+        met = x.join(y, "head").where(f"block_x <= block_y and 100 * most_x >= {percent} * least_y")
+        met = met.select("head", F.col("block_x").alias("low"), F.col("block_y").alias("high"))
+        met = met.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
+        placed = rows.join(met, ["head", "block"]).join(bitmaps, "doc")
+        return placed.select("head", "low", "high", "block", "doc", "n", "bitmap", "part")
+
+    first = written(_possible(blocks(rows.withColumn("part", F.col("doc"))), percent, best), "first")
+    links = written(verified(first, docs, k, percent), "links")
     # All other pairs of a tile, unless they are in one component by now.
-    placed = tiles.select("token", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left")
-    placed = placed.select("token", "doc", "n", F.coalesce("component", "doc").alias("part"))
-    parts = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    placed = written(placed.join(parts.select("token"), "token", "left_semi"), "placed")
-    held = placed.groupBy("token", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = (held.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("part", "low", "high"))) for s in "xy")
-    meet = x.join(y, "token").where(
-        f"part_x < part_y and 100 * high_x >= {percent} * low_y and 100 * high_y >= {percent} * low_x"
-    )
-    one = placed.select("token", F.col("part").alias("part_x"), F.col("doc").alias("p"), F.col("n").alias("n_a"))
-    two = placed.select("token", F.col("part").alias("part_y"), F.col("doc").alias("q"), F.col("n").alias("n_b"))
-    rest = (
-        meet.select("token", "part_x", "part_y")
-        .join(one, ["token", "part_x"])
-        .join(two, ["token", "part_y"])
-        .where(_sized(percent))
-        .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    links = links.unionAll(verified(rest, plain, docs, k, percent))
+    parts = components(links).select(F.col("node").alias("doc"), F.col("component").alias("part"))
+    open_ = rows.join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc"))
+    several = open_.groupBy("head").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("head")
+    open_ = written(open_.join(several, "head", "left_semi"), "open")
+    rest = _possible(blocks(open_), percent, None).join(first, ["a", "b"], "left_anti")
+    links = links.unionAll(verified(written(rest, "rest"), docs, k, percent))
     found = components(links)
 
     named = members.join(found.withColumnRenamed("node", "class"), "class", "left")

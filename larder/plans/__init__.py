@@ -1,0 +1 @@
+"""Operators put together: imports, matching, reports, and the queries on the driver's tables."""

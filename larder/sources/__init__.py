@@ -1,0 +1 @@
+"""Reading and writing: files, listings, indexes, sinks."""

@@ -1,0 +1 @@
+"""Ordered, stateful operators, in batches and as streams."""

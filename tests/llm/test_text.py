@@ -58,7 +58,8 @@ def brute_components(rows, k=5, percent=75):
     return {(d, len(sets[d]), group[d]) for d in sets}
 
 
-def test_ngram_components_against_all_pairs(spark):
+@pytest.mark.parametrize("tile_rows, best", [(4096, 8), (7, 1)])
+def test_ngram_components_against_all_pairs(spark, tile_rows, best):
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(60)]
     base = [[words[i] for i in rng.integers(0, 60, int(n))] for n in rng.integers(8, 80, 12)]
@@ -70,7 +71,7 @@ def test_ngram_components_against_all_pairs(spark):
         rows.append((i + 1, " ".join(w[: int(rng.integers(max(5, len(w) - 8), len(w) + 1))])))
     rows += [(500, None), (501, ""), (502, " \n"), (503, "one two"), (504, "ONE  two"), (505, "one two three"), (506, "é É"), (507, "É é")]
     rows += [(600 + i, "the same words over and over again in each of these copies") for i in range(40)]
-    found = ngram_join.ngram_components(docs_of(spark, rows))
+    found = ngram_join.ngram_components(docs_of(spark, rows), tile_rows=tile_rows, best=best)
     assert {tuple(r) for r in found.collect()} == brute_components(rows)
 
 
@@ -86,7 +87,9 @@ def test_bitmap_bound_holds():
     for _ in range(200):
         a = np.unique(rng.integers(0, 400, int(rng.integers(1, 300))).astype(np.uint64))
         b = np.unique(rng.integers(0, 400, int(rng.integers(1, 300))).astype(np.uint64))
-        bound = ngram_join.overlap_bound(len(a), ngram_join._bitmap(a), len(b), ngram_join._bitmap(b))
+        maps = [ngram_join._bitmap(x) for x in (a, b)]
+        bits = [ngram_join._folded([m], min(map(len, maps))) for m in maps]
+        bound = ngram_join.overlap_bounds(np.array([len(a)]), bits[0], np.array([len(b)]), bits[1])[0, 0]
         assert len(np.intersect1d(a, b)) <= bound
 
 
