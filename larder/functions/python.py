@@ -8,11 +8,15 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SHARPNESS = "laplacian double, tenengrad double, local_clarity double, high_freq_ratio double, exposure_outlier_ratio double"
+#: Types as objects: a DDL string would need a session while this module is imported.
+SHARPNESS = T.StructType(
+    [T.StructField(c, T.DoubleType()) for c in ("laplacian", "tenengrad", "local_clarity", "high_freq_ratio", "exposure_outlier_ratio")]
+)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's similarity of two texts, in their order; 0 with a null (F16)."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b)], dtype="float64")
@@ -51,7 +55,7 @@ def frame_sharpness(frame: pd.Series) -> pd.DataFrame:
             rows.append(sharpness(np.load(io.BytesIO(data), allow_pickle=False)))
         except (TypeError, ValueError, OSError, EOFError):
             rows.append((None,) * 5)
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SHARPNESS.split(", ")])
+    return pd.DataFrame(rows, columns=SHARPNESS.fieldNames())
 
 
 def even_sample(n: int, most: int) -> list[int]:
