@@ -211,7 +211,7 @@ def top_items(spark, d):
 @query("""
     WITH o AS (SELECT o_custkey, round_even(avg(o_totalprice::DECIMAL(18,2)), 1)::DOUBLE AS price FROM orders GROUP BY 1)
     SELECT c_nationkey, count(*) AS people, round_even(avg(coalesce(price, 0)), 1) AS price, count(*) FILTER (price > 225000) AS flagged,
-           CAST(round_even(avg(100 - least(100.0, abs(1 - coalesce(price, 0) / 150000.0) * 100)), 0) AS INTEGER) AS score
+           CAST(round_even(avg(round_even(100 - least(100.0, abs(1 - coalesce(price, 0) / 150000.0) * 100), 0)), 0) AS INTEGER) AS score
     FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY 1
 """)
 def class_rollup(spark, d):
