@@ -61,8 +61,11 @@ def sample_bytes(spark: SparkSession, path: str, n: int = 1 << 16) -> bytes:
 
 
 def csv_strings(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A CSV with a header, all columns strings, headers trimmed (S3)."""
+    """A CSV with a header, all columns strings, headers trimmed (S3). Another encoding than Spark's own
+    few turns on spark.sql.legacy.javaCharsets for the session: the scan looks at it when it runs."""
     encoding = encoding or detected_encoding(sample_bytes(spark, path))
+    if encoding != "utf-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = spark.read.option("header", True).option("encoding", encoding).option("multiLine", encoding != "utf-8").csv(path)
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
