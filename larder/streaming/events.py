@@ -53,7 +53,7 @@ def event_stream(frames: DataFrame, key: str = "channel_id", kind: str = "legacy
         found, over = [], held.hasTimedOut
         if not over:
             pdf = pd.concat(list(batches)).sort_values("frame_no")
-            marks = pdf["end_of_video"].fillna(False).astype(bool)
+            marks = pdf["end_of_video"].eq(True)
             over = bool(marks.any())
             frames = pdf[~marks]
             found = _events(state, frames, step, settings)
@@ -116,10 +116,17 @@ def foreground(frames: DataFrame, key: str = "channel_id", delta: int = 30, rate
 
 def matched_stream(records: DataFrame, images: DataFrame, seconds: float = 1.0, late: str = "10 minutes") -> DataFrame:
     """All record-image pairs of a band, as a stream-stream join with watermarks on both sides, which
-    bound its state. records: (record_id, record_time, amount), images: (image_id, image_time, total)."""
-    r, i = records.withWatermark("record_time", late), images.withWatermark("image_time", late)
-    band = F.expr(f"image_time BETWEEN record_time - INTERVAL {seconds} SECONDS AND record_time + INTERVAL {seconds} SECONDS")
-    return r.join(i, band)
+    bound its state. records: (record_id, record_time, amount), images: (image_id, image_time, total).
+
+    Streams join on equal keys alone: as in band_join, an image stands in its bucket of time and both
+    neighbours, a record in its own."""
+    width = max(seconds, 1.0)
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (width * 1_000_000))
+    r = records.withWatermark("record_time", late).withColumn("_bucket", bucket("record_time"))
+    near = F.explode(F.sequence(bucket("image_time") - 1, bucket("image_time") + 1))
+    i = images.withWatermark("image_time", late).withColumn("_bucket", near).withColumnRenamed("_bucket", "_near")
+    band = f"image_time BETWEEN record_time - INTERVAL {seconds} SECONDS AND record_time + INTERVAL {seconds} SECONDS"
+    return r.join(i, F.expr(f"_bucket = _near AND {band}")).drop("_bucket", "_near")
 
 
 def due(sources: DataFrame, tasks: DataFrame, now, trigger: str, zone: str) -> DataFrame:
