@@ -288,37 +288,43 @@ def ngram_components(
 
     # Tiles: sets that share a shingle of their prefixes. Tiles with the same smallest id become one: the
     # shingles of a group of near copies, each with much the same members, make a few tiles in all.
-    token = Window.partitionBy("token")
-    tiles = (
-        heads.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"))
-        .withColumns({"size": F.count("*").over(token), "head": F.min("doc").over(token)})
-        .where("size > 1")
-        .select("head", "doc")
-        .distinct()
-    )
-    # Large tiles are cut into blocks by size of set; each two blocks that sizes allow to link are a group.
-    place = F.row_number().over(Window.partitionBy("head").orderBy("n", "doc")) - 1
+    # All is counted before it is joined back, from stored tables: a join that Spark may split where one
+    # shingle or one group holds a large part of all rows.
+    tokens = heads.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"))
+    met = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("doc").alias("head"))
+    met = written(met.where("size > 1").select("token", "head"), "tokens")
     sized = heads.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
-    rows = written(tiles.join(sized, "doc").withColumn("block", F.floor(place / tile_rows).cast("int")), "tiles")
+    tiles = written(tokens.join(met, "token").select("head", "doc").distinct().join(sized, "doc"), "tiles")
+    # Large tiles are cut into blocks by size of set: a running sum over the sizes of a tile says where
+    # each begins, a hash spreads those of one size.
+    sizes = tiles.groupBy("head", "n").agg(F.count("*").alias("same"))
+    before = F.sum("same").over(Window.partitionBy("head").orderBy("n")) - F.col("same")
+    sizes = written(sizes.withColumn("before", before), "sizes")
+    place = F.col("before") + F.pmod(F.xxhash64("doc"), F.col("same"))
+    rows = tiles.join(sizes, ["head", "n"]).select("head", "doc", "n", F.floor(place / tile_rows).cast("int").alias("block"))
+    rows = written(rows, "rows")
     bitmaps = heads.select(F.col("doc_id").alias("doc"), "bitmap")
 
-    def blocks(rows: DataFrame) -> DataFrame:
-        cuts = rows.groupBy("head", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        x, y = (cuts.select("head", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "least", "most"))) for s in "xy")
-        met = x.join(y, "head").where(f"block_x <= block_y and 100 * most_x >= {percent} * least_y")
-        met = met.select("head", F.col("block_x").alias("low"), F.col("block_y").alias("high"))
-        met = met.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
-        placed = rows.join(met, ["head", "block"]).join(bitmaps, "doc")
+    def blocks(rows: DataFrame, first: bool) -> DataFrame:
+        """Groups of one block, or of two that sizes allow to link: neighbours for a start, then all but
+        those that one component has to itself."""
+        cuts = rows.groupBy("head", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("part").alias("p"), F.max("part").alias("q"))
+        x, y = (cuts.select("head", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "least", "most", "p", "q"))) for s in "xy")
+        open_ = "block_y - block_x <= 1" if first else "least(p_x, p_y) < greatest(q_x, q_y)"
+        pairs = x.join(y, "head").where(f"block_x <= block_y and 100 * most_x >= {percent} * least_y and {open_}")
+        pairs = pairs.select("head", F.col("block_x").alias("low"), F.col("block_y").alias("high"))
+        pairs = pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
+        placed = rows.join(pairs, ["head", "block"]).join(bitmaps, "doc")
         return placed.select("head", "low", "high", "block", "doc", "n", "bitmap", "part")
 
-    first = written(_possible(blocks(rows.withColumn("part", F.col("doc"))), percent, best), "first")
+    first = written(_possible(blocks(rows.withColumn("part", F.col("doc")), True), percent, best), "first")
     links = written(verified(first, docs, k, percent), "links")
     # All other pairs of a tile, unless they are in one component by now.
     parts = components(links).select(F.col("node").alias("doc"), F.col("component").alias("part"))
     open_ = rows.join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc"))
     several = open_.groupBy("head").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("head")
     open_ = written(open_.join(several, "head", "left_semi"), "open")
-    rest = _possible(blocks(open_), percent, None).join(first, ["a", "b"], "left_anti")
+    rest = _possible(blocks(open_, False), percent, None).join(first, ["a", "b"], "left_anti")
     links = links.unionAll(verified(written(rest, "rest"), docs, k, percent))
     found = components(links)
 
