@@ -9,7 +9,6 @@ give are verified by aligning their hits in order.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,20 +78,22 @@ def text_grams(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(of, "doc_id long, n_words long, grams array<long>")
 
 
-def aligned(pos: list[int], at: list[int], k: int) -> int:
-    """Template words that hits cover when both positions rise: the longest such chain, by words."""
-    tails: list[int] = []
-    back: list[tuple[int, int]] = []  # (index in chain, position in the template)
-    for p, a in sorted(zip(pos, (-x for x in at))):
-        i = bisect_left(tails, -a)
-        tails[i : i + 1] = [-a]
-        back.append((i, -a))
-    chain, i, last = [], len(tails) - 1, None
-    for j, a in reversed(back):
-        if j == i and (last is None or a < last):
-            chain.append(a)
-            i, last = i - 1, a
-    return len({a + j for a in chain for j in range(k)})
+def aligned(pos: list[int], at: list[int], k: int, slack: int) -> int:
+    """Template words that hits cover when both positions rise and diagonals of neighbours lie `slack`
+    apart at most: the best such chain, by words."""
+    hits = sorted(set(zip(pos, at)))
+    reach = max(at, default=0) + slack  # no two hits of a chain that follow one another lie further apart
+    words: list[int] = []
+    first = 0
+    for i, (p, a) in enumerate(hits):
+        while hits[first][0] < p - reach:
+            first += 1
+        best = k
+        for (q, b), so_far in zip(hits[first:i], words[first:i]):
+            if q < p and b < a and abs(p - q - (a - b)) <= slack:
+                best = max(best, so_far + min(k, a - b, p - q))
+        words.append(best)
+    return max(words, default=0)
 
 
 def scan(
@@ -110,7 +111,8 @@ def scan(
 
     Words hold digits, letters and non-ASCII characters; A-Z are taken as a-z. A base span is a place
     where a phrase's words stand consecutively. Others are places of notices of which `coverage` of the
-    words stand in order, on diagonals that lie `slack` apart at most. Templates need k words at least.
+    words stand in order, in runs of k words or more, on diagonals that lie `slack` apart at most, or as far
+    as the words that a notice may lack would shift it. Templates need k words at least.
     """
     templates = [(p, label, True) for p, label in phrases] + [(n, label, False) for n, label in notices]
     sizes = [len(template_words(t)) for t, _, _ in templates]
@@ -138,20 +140,23 @@ def scan(
 
     votes = hits.where("not base").groupBy(*whole, "diagonal").agg(F.collect_set(F.struct("pos", "at")).alias("seen"))
     order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > slack, F.lit(True)).cast("int")
+    # words may be lost in one piece, which shifts what follows by their number
+    shift = F.greatest(F.lit(slack), F.floor((1 - coverage) * F.col("size") + 1e-9)).cast("int")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > shift, F.lit(True)).cast("int")
     merged = (
         votes.withColumn("apart", apart)
         .withColumn("band", F.sum("apart").over(order))
         .groupBy(*whole, "band")
         .agg(F.flatten(F.collect_list("seen")).alias("seen"))
-        .where(F.size("seen") + k - 1 >= coverage * F.col("size"))
-        .select("doc_id", "label", "size", F.col("seen.pos").alias("pos"), F.col("seen.at").alias("at"))
+        # no chain of hits covers words that all of them don't
+        .where(F.size(F.array_distinct(F.flatten(F.transform("seen.at", lambda a: F.sequence(a, a + k - 1))))) >= coverage * F.col("size"))
+        .select("doc_id", "label", "size", F.col("seen.pos").alias("pos"), F.col("seen.at").alias("at"), shift.alias("shift"))
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pos, at = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            share = [aligned(p, a, k) / n for p, a, n in zip(pos, at, batch.column(2).to_pylist())]
+            share = [aligned(p, a, k, d) / n for p, a, n, d in zip(pos, at, batch.column(2).to_pylist(), batch.column(5).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([min(p) for p in pos], pa.int64()), pa.array([max(p) + k - 1 for p in pos], pa.int64()), pa.array(share, pa.float64())],
                 names=["doc_id", "label", "first_word", "last_word", "coverage"],

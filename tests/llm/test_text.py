@@ -193,6 +193,34 @@ def test_license_digest_against_plain_search(spark, sf_dir):
     assert {(r["doc_id"], r["n_base"]) for r in odd.collect()} == {(None, 0), (1, 1)}
 
 
+def changed(notice, at, by=("other",)):
+    w = license_scan.template_words(notice)
+    for i in sorted(at, reverse=True):
+        w[i : i + 1] = by
+    return " ".join(["before", *w, "after"])
+
+
+def test_license_scan_takes_changed_and_inserted_words(spark):
+    notice = {label: n for n, label in license_scan.NOTICES}
+    mit, bsd = notice["mit-notice"], notice["bsd-notice"]
+    w = license_scan.template_words(mit)
+    rows = [
+        (1, "Licensed under the Apache Licence, Version 2.0", "apache-2.0", 7 / 8),
+        (2, changed(mit, [5, 12, 20]), "mit-notice", 26 / 29),
+        (3, changed(bsd, [4, 10, 16]), "bsd-notice", 18 / 21),
+        (4, changed(mit, [4, 9, 14, 19, 24]), "mit-notice", 24 / 29),
+        (5, " ".join(w[:10] + w[15:]), "mit-notice", 24 / 29),  # five words lost at once
+        (6, " ".join(x for i in range(0, 29, 3) for x in [*w[i : i + 3], "put", "in"][: 5 if i < 24 else 3]), "mit-notice", 1.0),
+        (7, " ".join(["of the"] * 200 + w[:10] + ["of the"] * 200 + w[10:]), None, 0.0),  # halves far apart
+        (8, changed(mit, [3, 7, 11, 15, 19, 23]), None, 0.0),
+        (9, "all rights reserved " * 3_000, "all-rights-reserved", 1.0),
+    ]
+    found = {r["doc_id"]: r for r in license_scan.license_digest(docs_of(spark, [r[:2] for r in rows])).collect()}
+    for i, _, label, score in rows:
+        assert (label in found[i]["labels"].split(",")) if label else not found[i]["labels"], i
+        assert found[i]["score"] == pytest.approx(score), i
+
+
 def test_line_dedup_against_plain_counts(spark):
     rng = np.random.default_rng(2)
     lines = [f"line {i}" for i in range(30)] + ["", "  "]
