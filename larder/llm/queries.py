@@ -76,6 +76,8 @@ QUERIES |= {"op1_language_id": op1_language_id, "op10_benchmark_decontamination"
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of a BPE model, with merge ranks for scores, stand in for a unigram vocabulary: none is
+    at hand. Counts are not those of the model's own tokenizer."""
     import public_tokenizers as P
 
     from larder.llm.token_count import token_counts

@@ -94,6 +94,30 @@ def test_token_counts_equal_the_tokenizer(spark, documents):
     assert token_count.token_counts(spark.createDataFrame([], "doc_id long, text string"), P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_token_counts_equal_a_trained_unigram_tokenizer(spark, documents, tmp_path):
+    from sentencepiece import SentencePieceProcessor, SentencePieceTrainer
+
+    texts = [r["text"] for r in documents.where("text <> ''").orderBy("doc_id").limit(150).collect()]
+    SentencePieceTrainer.train(
+        sentence_iterator=iter([x for t in texts for x in t.split("\n")]), model_prefix=str(tmp_path / "unigram"), model_type="unigram", vocab_size=1200,
+        hard_vocab_limit=False, byte_fallback=True, normalization_rule_name="identity", remove_extra_whitespaces=False, num_threads=1, minloglevel=2,
+    )
+    model = str(tmp_path / "unigram.model")
+    exact = SentencePieceProcessor(model_file=model)
+    rows = list(enumerate([*texts, "日本語 テスト 𝒳𝒴", "né́e ñandú", "two  spaces", ""]))
+    found = {r["doc_id"]: r["n_tokens"] for r in token_count.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert found == {i: len(exact.encode(t)) for i, t in rows}
+
+
+def test_the_query_counts_with_a_stand_in_vocabulary(spark, documents):
+    """The README gives the difference from the file's own tokenizer, which merges by rank."""
+    from sentencepiece import SentencePieceProcessor
+
+    exact, count = SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")), token_count.word_counter(token_count.vocabulary(P.path("piece_bpe_32k.model")))
+    texts = [r["text"] for r in documents.where("text <> ''").orderBy("doc_id").limit(100).collect()]
+    assert 1.1 < sum(count(w)[0] for t in texts for w in token_count.words(t)) / sum(len(exact.encode(t)) for t in texts) < 1.2
+
+
 def test_ties_and_unknown_runs_without_bytes():
     from tokenizers import Tokenizer
     from tokenizers.models import Unigram
