@@ -144,28 +144,65 @@ def fuzzy_names(rows: DataFrame, names: DataFrame, raw: str = "raw_name", name:
     """rows with `name`: equal after normalising, else the best of those that contain it or are contained,
     else the most similar of at least `least`; null if there is none (J17).
 
-    Ratios are computed once per distinct raw name. Every distinct raw name meets every candidate name:
-    names are a menu, whose size is what bounds the work.
+    Equal names meet by hash. What is left meets only where a pair can count: names inside one another and
+    names alike enough share two characters in a row, or are so short that single ones are looked at. A
+    ratio is computed once per pair of distinct normalised names.
     """
-    keys = rows.select(raw).distinct().withColumn("_key", name_key(F.col(raw))).where("_key <> ''")
+    spelled = rows.select(raw).distinct().withColumn("_key", name_key(F.col(raw))).where("_key <> ''")
+    keys = spelled.select("_key").distinct()
     c = names.select(F.col(name).alias("_name"), F.col(order).alias("_order"), name_key(F.col(name)).alias("_cand"))
-    equal = F.col("_key") == F.col("_cand")
+    c = c.groupBy("_cand", "_order").agg(F.max("_name").alias("_name")).groupBy("_cand").agg(F.min(F.struct("_order", "_name")).alias("_first"), F.max("_name").alias("_last"))
+    equal = keys.join(c, F.col("_key") == F.col("_cand")).select("_key", F.col("_first._name").alias(name))
+    rest = keys.join(equal, "_key", "left_anti")
+
     inside = F.contains("_cand", "_key") | F.contains("_key", "_cand")
-    pairs = keys.join(c, F.lit(True)).withColumn("_ratio", F.when(equal, 1.0).otherwise(text_ratio("_key", "_cand")))
-    tier = F.when(equal, 0).when(inside, 1).when((F.col("_ratio") >= least), 2)
+    both = F.length("_key") + F.length("_cand")
+    near = inside | (2 * F.least(F.length("_key"), F.length("_cand")) >= least * both - 1e-9)
+    left = rest.withColumn("_gram", F.explode(_grams("_key", least, "key", "cand")))
+    right = c.select("_cand", F.explode(_grams("_cand", least, "cand", "key")).alias("_gram"))
+    pairs = left.join(right, "_gram").where(near).select("_key", "_cand").distinct()
+    empty = c.where("_cand = ''").select("_cand")  # one row at most; it is inside every name
+    pairs = pairs.unionAll(rest.crossJoin(F.broadcast(empty)))
+    pairs = pairs.withColumn("_ratio", text_ratio("_key", "_cand")).withColumn("_inside", inside)
+    pairs = pairs.where(F.col("_inside") | (F.col("_ratio") >= least)).join(c, "_cand")
+    # of equal containments the larger name, of all others the first
     rank = F.struct(
-        tier.alias("tier"),
-        F.when(tier == 0, 0.0).otherwise(-F.col("_ratio")).alias("ratio"),
-        F.when(tier == 1, F.length("_cand")).otherwise(0).alias("length"),
-        F.when(tier != 1, F.col("_order")).alias("order"),
+        F.when(F.col("_inside"), 1).otherwise(2).alias("tier"),
+        (-F.col("_ratio")).alias("ratio"),
+        F.when(F.col("_inside"), F.length("_cand")).otherwise(0).alias("length"),
+        F.when(~F.col("_inside"), F.col("_first._order")).alias("order"),
     )
-    best = pairs.where(tier.isNotNull()).withColumn("_rank", rank)
-    # of equal containments the larger name, of all others the first
-    found = best.groupBy(raw).agg(F.min("_rank").alias("_best")).join(best, raw).where("_rank <=> _best")
-    found = found.groupBy(raw).agg(F.max("_name").alias(name))
+    ranked = pairs.select("_key", rank.alias("_rank"), F.when(F.col("_inside"), F.col("_last")).otherwise(F.col("_first._name")).alias("_name"))
+    ranked = ranked.groupBy("_key", "_rank").agg(F.max("_name").alias("_name"))
+    alike = ranked.groupBy("_key").agg(F.min(F.struct("_rank", "_name")).alias("_best")).select("_key", F.col("_best._name").alias(name))
+    found = spelled.join(equal.unionAll(alike), "_key").select(raw, name)
     return rows.join(found, raw, "left")
 
 
+def _grams(text: str, least: float, own: str, other: str) -> Column:
+    """What `text` shares with every text that contains it, is contained in it or has a ratio of at least
+    `least` with it.
+
+    Texts of S characters together and that ratio have least * S / 2 characters in matching blocks, with
+    (1 - least) * S gaps between blocks at most: where all blocks can be single characters, S is at most
+    1 / (1.5 * least - 1), or without bound below a ratio of two thirds. Those texts have their characters
+    too. A text of one character looks for it in all others.
+    """
+    singles = F.array_distinct(F.split(text, ""))
+    n = F.length(text)
+    none = F.array().cast("array<string>")
+    short = n < 1 / (1.5 * least - 1) if 1.5 * least > 1 else F.lit(True)
+    return F.array_distinct(
+        F.concat(
+            F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(none),
+            F.when(short, singles).otherwise(none),
+            F.when(n == 1, F.array(F.concat(F.lit(f"{own} "), text))).otherwise(none),
+            F.transform(singles, lambda x: F.concat(F.lit(f"{other} "), x)),
+            F.array(F.lit("any")) if least <= 0 else none,
+        )
+    )
+
+
 def contained_names(rows: DataFrame, names: DataFrame, raw: str, name: str, order: str) -> DataFrame:
     """The name equal to the raw one, else the first that contains it or is contained; each name once, at
     its first row by `raw` (J18)."""

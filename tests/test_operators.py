@@ -1,7 +1,10 @@
 """Operators on small tables whose results are known."""
 
+import itertools
 import random
+import re
 from datetime import datetime, timedelta
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from larder.functions import geometry, numbers, text, times, vectors
 from larder.functions.python import even_sample, text_ratio
 from larder.operators import assign, filters, joins, merge, paging, retrieval
-from larder.plans import ingest
+from larder.plans import ingest, queries
 from larder.sources import files, listings, sinks
 
 NOON = datetime(2024, 1, 5, 12)
@@ -77,6 +80,50 @@ def test_fuzzy_names(spark):
     assert spark.range(1).select(text_ratio(F.lit("abcd"), F.lit("bcde"))).first()[0] == 0.75
 
 
+def plain_fuzzy_name(raw, candidates, least=0.72):
+    """candidates: (order, name), in order."""
+    key = lambda x: re.sub(r"[\s\u3000·•,，、;；:：（）()【】\[\]{}\-_/]+", "", x.lower())
+    k, c = key(raw), [(name, key(name)) for _, name in sorted(candidates)]
+    if not k:
+        return None
+    for name, x in c:
+        if x == k:
+            return name
+    inside = [(SequenceMatcher(None, k, x).ratio(), -len(x), name) for name, x in c if k in x or x in k]
+    if inside:
+        return max(inside)[2]
+    ratio, _, name = max(((SequenceMatcher(None, k, x).ratio(), -i, name) for i, (name, x) in enumerate(c)), default=(0, 0, None))
+    return name if ratio >= least else None
+
+
+@pytest.mark.parametrize("least,empty", [(0.72, False), (0.72, True), (0.6, False), (0.9, False)])
+def test_fuzzy_names_against_plain_python(spark, least, empty):
+    rng = random.Random(5)
+    word = lambda most: "".join(rng.choice("abcd -") for _ in range(rng.randint(1, most)))
+    names = sorted({word(m) for m in (5, 8, 14) for _ in range(25)} - {" ", "-"})
+    names = [x for x in names if x.strip(" -")] + (["-"] if empty else [])
+    rng.shuffle(names)
+    raws = sorted({word(m) for m in (2, 6, 10, 16) for _ in range(40)} | {x[:3] + "d" + x[4:] for x in names} | {""})
+    c = list(enumerate(names))
+    frames = spark.createDataFrame([(x,) for x in raws] + [(None,)], "raw_name string"), spark.createDataFrame(c, "pos int, name string")
+    found = {r["raw_name"]: r["name"] for r in joins.fuzzy_names(*frames, least=least).collect()}
+    assert found == {x: plain_fuzzy_name(x, c, least) for x in raws} | {None: None}
+    assert any(v is None for k, v in found.items() if k) or empty or least < 0.7
+
+
+def test_fuzzy_name_query_has_all_names_as_candidates(spark, tmp_path):
+    parts = [(i, f"{a} {b}") for i, (a, b) in enumerate(itertools.product(["blue", "small", "red", "grey"], [f"thing{n}" for n in range(25)]), 1)] + [(500, "blue thing0"), (501, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    found = queries.fuzzy_name(spark, str(tmp_path)).collect()
+    first = {}
+    for i, n in parts:
+        if n:
+            first.setdefault(n, i)
+    c = [(i, n) for n, i in first.items()]
+    assert sorted((r["p_partkey"], r["name"]) for r in found) == [(i, n and plain_fuzzy_name(n + " x", c)) for i, n in parts]
+    assert all(r["name"] == r["raw_name"][:-2] for r in found if r["raw_name"])
+
+
 def test_suppressed_keeps_the_surer_box(spark):
     boxes = [(1, 1, "a", 0.91, 5.0, 8.0, 45.0, 42.0), (1, 2, "b", 0.72, 7.0, 10.0, 44.0, 41.0), (1, 3, "c", 0.5, 60.0, 60.0, 90.0, 90.0), (2, 4, "a", 0.9, 0.0, 0.0, 1.0, 1.0)]
     df = spark.createDataFrame(boxes, "image_id long, det_id long, name string, confidence double, x1 double, y1 double, x2 double, y2 double")
