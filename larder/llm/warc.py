@@ -11,6 +11,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -25,14 +26,16 @@ DERIVED = (
 )
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(
-    r"</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|aside|nav|header|footer|main|body|html|blockquote|pre|hr|form|figure)\b[^>]*>",
-    re.I,
-)
+_RAW = r"<!--.*?-->|<(script|style|noscript|template|title)\b[^>]*>.*?</\1\s*>"
+_NAMES = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|aside|nav|header|footer|main|body|html|blockquote|pre|hr|form|figure"
+# unclosed comments, scripts and styles go to the end of the page; the tags alone of other unclosed elements
+_DROP = re.compile(_RAW + r"|<!--.*|<(?:script|style)\b[^>]*>.*|(?P<head><head\b[^>]*>)", re.S | re.I)
+_IN_HEAD = re.compile(_RAW + rf"|(?P<end></head\s*>)|(?=<(?:{_NAMES})\b)", re.S | re.I)
+_BLOCK = re.compile(rf"</?(?:{_NAMES})\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
+_CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,16})[ \t]*(?:;[^\r\n]*)?\r\n")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -49,10 +52,32 @@ def _head(fields: list[tuple[str, str]]) -> str:
     return "WARC/1.1\r\n" + "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields)
 
 
+def _shown(page: str) -> str:
+    """A page without comments, scripts, styles, noscript, templates and head. A head without an end tag
+    ends at the body or the first block element; of one that is followed by text alone, the title goes."""
+    out, at, titles = [], 0, 0  # titles before that place are a head's
+    while found := _DROP.search(page, at):
+        out.append(page[at : found.start()])
+        at = found.end()
+        if (found[1] or "").lower() == "title" and found.start() >= titles:
+            out.append(found[0])
+            continue
+        out.append(" ")
+        if found["head"]:
+            inside, end = at, None
+            while (end := _IN_HEAD.search(page, inside)) and end[0] and not end["end"]:
+                inside = end.end()
+            if end and end["end"]:
+                at = end.end()
+            else:
+                titles = end.start() if end else len(page)
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """The text of a page: no comments, scripts, styles or head; a line per block element; white space
     collapsed, empty lines left out."""
-    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", _DROP.sub(" ", page))))
+    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", _shown(page))))
     lines = (" ".join(line.split()) for line in text.split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -88,28 +113,81 @@ def _fields(head: str) -> list[tuple[str, str]]:
     return [(k.strip(), v.strip()) for k, c, v in (line.partition(":") for line in head.split("\r\n")[1:]) if c]
 
 
+def _unchunked(data: bytes) -> bytes:
+    """A chunked body's bytes; what isn't chunked, or no longer, stays as it is."""
+    out, at = [], 0
+    while size := _CHUNK.match(data, at):
+        n = int(size[1], 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(data[size.end() : size.end() + n])
+        at = size.end() + n
+        at += 2 * (data[at : at + 2] == b"\r\n")
+    return b"".join([*out, data[at:]])
+
+
+def _inflated(data: bytes, *windows: int) -> bytes:
+    """What zlib gets out of `data`, all members of it, up to where it breaks off; `data` if that is nothing."""
+    for bits in windows:
+        out, rest = [], data
+        try:
+            while rest:
+                z = zlib.decompressobj(bits)
+                for at in range(0, len(rest), 1 << 16):  # so that a broken end doesn't take the rest along
+                    out.append(z.decompress(rest[at : at + (1 << 16)]))
+                    if z.eof:
+                        rest = z.unused_data + rest[at + (1 << 16) :]
+                        break
+                else:
+                    break
+        except zlib.error:
+            pass
+        if any(out):
+            return b"".join(out)
+    return data
+
+
+def _decoded(data: bytes, codings: str) -> bytes:
+    """`data` without the codings that a header names, the last one first. Unknown ones stay."""
+    for coding in reversed([x.strip().lower() for x in codings.split(",")]):
+        if coding == "chunked":
+            data = _unchunked(data)
+        elif coding in ("gzip", "x-gzip"):
+            data = _inflated(data, 31)
+        elif coding == "deflate":
+            data = _inflated(data, 15, -15)
+        elif coding not in ("", "identity"):
+            break
+    return data
+
+
 def derived(number: int | None, name: str, target: str, date: str, head: str, block: bytes) -> list[tuple]:
     """The metadata and the conversion record (rows of DERIVED) of one response.
 
     Digests that the response's headers state are kept; those that they lack are computed. Bytes that
-    don't fit the charset become U+FFFD. A block without an HTTP head is all payload.
+    don't fit the charset become U+FFFD. A block without an HTTP head is all payload. Chunks, gzip and
+    deflate that the HTTP head names are undone; the payload whose digest is computed has lost its chunks.
     """
     http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
     status, *lines = http.decode("latin-1").split("\r\n")
     source = dict(_fields(head))
-    kind = next((v for k, v in _fields("\r\n".join(["", *lines])) if k.lower() == "content-type"), "")
+    fields = _fields("\r\n".join(["", *lines]))
+    said = lambda name: ",".join(v for k, v in fields if k.lower() == name)
+    kind = next((v for k, v in fields if k.lower() == "content-type"), "")
+    payload = _decoded(payload, said("transfer-encoding"))
+    body = _decoded(payload, said("content-encoding"))
     charset = _CHARSET.search(kind)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
     block_digest, payload_digest = source.get("WARC-Block-Digest") or digest(block), source.get("WARC-Payload-Digest") or digest(payload)
     title = _TITLE.search(page)
     links = dict.fromkeys(html.unescape(m.strip("\"'")).strip() for m in _LINK.findall(page))
     out = []
     for record_type, content_type, content in (
         ("metadata", "application/warc-fields", "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in [
-            ("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in _fields("\r\n".join(["", *lines]))),
+            ("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in fields),
             ("source-record-id", name), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest),
             *([("title", html.unescape(title[1]))] if title else []), *(("outlink", _joined(target, x)) for x in links if x),
         ])),
@@ -117,14 +195,14 @@ def derived(number: int | None, name: str, target: str, date: str, head: str, bl
     ):
         data = content.encode("utf-8", "replace")
         own = record_id(record_type, name)
-        fields = [
+        named = [
             ("WARC-Type", record_type), ("WARC-Record-ID", own), ("WARC-Refers-To", name),
             ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", target), ("WARC-Date", date),
             *((k, source[k]) for k in ("WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type") if k in source),
             *([("WARC-Concurrent-To", record_id("conversion", name))] if record_type == "metadata" else []),
             ("Content-Type", content_type), ("WARC-Block-Digest", digest(data)), ("Content-Length", str(len(data))),
         ]
-        out.append((number, record_type, own, name, target, date, content_type, len(data), digest(data), payload_digest, block_digest, _head(fields), content))
+        out.append((number, record_type, own, name, target, date, content_type, len(data), digest(data), payload_digest, block_digest, _head(named), content))
     return out
 
 

@@ -1,5 +1,6 @@
 """Language, quality, tokens, packing, vectors and WARC records against references of their own."""
 
+import gzip
 import zlib
 
 import numpy as np
@@ -271,3 +272,52 @@ def test_warc_odd_pages(spark):
 def test_features_of_empty_texts():
     x = quality.features(pa.array(["", None, "A b. c!", "日本"]))
     assert (x[:2] == 0).all() and x.shape == (4, len(quality.FEATURES))
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<html><head><title>x</title><body><p>All of the text</p></body></html>", "All of the text"),
+        ("<head><meta charset=utf-8><title>x <p></title><script>'<body>'</script><div>a</div>b", "a\nb"),
+        ("<head><title>x</title>Only <b>text</b>", "Only text"),
+        ("<head><title>x <!-- y</title></head><body>a", "a"),
+        ("<head><style>p {}</style><!-- <p> --></head>a", "a"),
+        ("<head><title>x</title></head><body>a<svg><title>b</title></svg>", "ab"),
+        ("<header>a</header><p>b<noscript>c<p>d", "a\nbc\nd"),
+        ("<p>a<template>b<p>c</p>", "ab\nc"),
+        ("<p>a<noscript>b</noscript>c<template>d</template>e", "a c e"),
+        ("<p>a<script>b", "a"),
+        ("<p>a<!-- b", "a"),
+    ],
+)
+def test_plain_text_of_pages_with_open_elements(page, text):
+    assert warc.plain_text(page) == text
+
+
+def chunked(data, n=7):
+    return b"".join(b"%x;e=1\r\n%s\r\n" % (len(data[i : i + n]), data[i : i + n]) for i in range(0, len(data), n)) + b"0\r\nT: x\r\n\r\n"
+
+
+def test_coded_payloads():
+    page = ("<p>" + "Ein schöner Satz. " * 50).encode()
+    want = warc.plain_text(page.decode())
+    packed = gzip.compress(page)
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(page) + raw.flush()
+    for head, body in [
+        ("Transfer-Encoding: chunked", chunked(page)),
+        ("Content-Encoding: gzip", packed),
+        ("content-encoding: x-gzip", gzip.compress(page[:99]) + gzip.compress(page[99:])),
+        ("Content-Encoding: deflate", zlib.compress(page)),
+        ("Content-Encoding: deflate", raw),
+        ("Transfer-Encoding: gzip, chunked", chunked(packed)),
+        ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked(packed)),
+        ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", page),  # already undone, as some crawlers store it
+    ]:
+        metadata, conversion = warc.derived(1, "<r>", "u", "d", "WARC/1.1\r\n", f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + body)
+        assert conversion[-1] == want, head
+        assert metadata[10] == warc.digest(f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + body)
+        if head.endswith("chunked\r\nContent-Encoding: gzip"):
+            assert metadata[9] == warc.digest(packed if body != page else page)
+    cut = warc.derived(1, "<r>", "u", "d", "", b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + packed[:-12])
+    assert cut[1][-1].startswith("Ein")
