@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from larder.llm.common import components, written
@@ -104,7 +105,7 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray, repeate
             keys = np.zeros((len(sets), 2), dtype=np.uint64)
             maps, prefixes = [], []
             for i, s in enumerate(sets):
-                keys[i] = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+                keys[i] = _keys(s)
                 maps.append(_bitmap(s))
                 # overlap >= ceil(percent * n / 100), so a partner holds one of the first n - that + 1
                 length = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
@@ -134,6 +135,34 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray, repeate
     return docs.select("doc_id", "text").mapInArrow(of, SIGNATURES)
 
 
+def _keys(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+
+
+def standing(docs: DataFrame, k: int = 5) -> DataFrame:
+    """`docs` (doc_id, text, ...) with one row for each doc_id: that with most shingles, of equals that with
+    the largest keys, then that with the largest hash of the row. Rows with a null id all stay."""
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    several = written(several, "several")
+    if several.isEmpty():
+        return docs
+    text_at = docs.columns.index("text")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 128) for whole in batches for at in range(0, len(whole), 128)):
+            sets = shingle_sets(batch.column(text_at), k)
+            keys = np.array([_keys(s) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            columns = [*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *order])
+
+    order = ["_n_shingles", "_key_a", "_key_b"]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in order)])
+    keyed = docs.join(several, "doc_id", "left_semi").select(*docs.columns).mapInArrow(of, schema)
+    best = F.max_by(F.struct(*docs.columns), F.struct(*order, F.xxhash64(*docs.columns)))
+    chosen = keyed.groupBy("doc_id").agg(best.alias("_best")).select(*(F.col(f"_best.{c}").alias(c) for c in docs.columns))
+    return docs.join(several, "doc_id", "left_anti").select(*docs.columns).unionAll(chosen)
+
+
 def _folded(bitmaps: list[bytes], width: int) -> np.ndarray:
     """Bitmaps as rows of `width` bytes; wider ones are folded by exclusive or, which keeps parities."""
     out = np.zeros((len(bitmaps), width), dtype=np.uint8)
@@ -271,20 +300,22 @@ def ngram_components(
     doc_id that links lead to, its own included.
 
     doc_id should be unique: rows with the same id count as one document, whose set is that of the row
-    with most shingles. Rows with a null id have a null component and link with nothing. An empty table
+    with most shingles (see `standing`). Rows with a null id have a null component and link with nothing. An empty table
     gives an empty table. Other columns aren't read.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = written(repeated_shingles(docs, k), "counts")
-    sigs = written(signatures(docs, k, percent, frequent(counts), marked(counts.select("h"), _REPEATED)), "signatures")
-    named = sigs.where("doc_id is not null and n_shingles > 0")
+    order, repeated = frequent(counts), marked(counts.select("h"), _REPEATED)
+    sigs = written(signatures(docs, k, percent, order, repeated), "signatures")
+    one = standing(docs, k)
+    named = sigs if one is docs else written(signatures(one, k, percent, order, repeated), "signatures")
+    docs, named = one, named.where("doc_id is not null and n_shingles > 0")
 
     # Equal sets: one class, held by its smallest id.
     keys = ["n_shingles", "key_a", "key_b"]
     classes = named.groupBy(*keys).agg(F.min("doc_id").alias("class"))
     members = written(named.join(classes, keys).select("doc_id", "class"), "classes")
     heads = named.join(members.where("doc_id = class").select("doc_id").distinct(), "doc_id", "left_semi")
-    heads = heads.dropDuplicates(["doc_id"])
 
     # Tiles: sets that share a shingle of their prefixes. Tiles with the same smallest id become one: the
     # shingles of a group of near copies, each with much the same members, make a few tiles in all.

@@ -193,6 +193,26 @@ def test_license_digest_against_plain_search(spark, sf_dir):
     assert {(r["doc_id"], r["n_base"]) for r in odd.collect()} == {(None, 0), (1, 1)}
 
 
+def test_rows_that_share_an_id_are_the_largest_set(spark, sf_dir):
+    import corpus_pipeline
+
+    w = [f"w{i}" for i in range(400)]
+    long, short, other, tie = " ".join(w[:60]), " ".join(w[100:140]), " ".join(w[200:240]), " ".join(w[300:340])
+    rows = [(1, short), (1, long), (1, None), (2, short + " more"), (3, long + " more"), (4, other), (4, other), (5, tie), (5, other), (None, long), (None, long)]
+    results = set()
+    for seed in range(2):
+        docs = spark.createDataFrame(sorted(rows, key=lambda r: hash((seed, r))), "doc_id long, text string").repartition(seed + 1)
+        found = ngram_join.ngram_components(docs).collect()
+        assert len(found) == len(rows)
+        of = {r["doc_id"]: r["component_id"] for r in found}
+        assert (of[1], of[2], of[3], of[4], of[None]) == (1, 2, 1, 4, None)
+        kept = corpus_pipeline.dedup_documents(spark, docs, sf_dir).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"] in (1, 2, 4)) == [(1, long), (2, short + " more"), (4, other)]
+        assert sum(r["doc_id"] is None for r in kept) == 2 and sum(r["doc_id"] == 5 for r in kept) == (of[5] == 5)
+        results.add(tuple(sorted(map(str, kept))))
+    assert len(results) == 1
+
+
 def changed(notice, at, by=("other",)):
     w = license_scan.template_words(notice)
     for i in sorted(at, reverse=True):
