@@ -15,12 +15,12 @@ from larder.llm.common import crc_remainder, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language. Those go that have no letter or no text, that no language has the
-    larger part of, or that are no likelier than noise under the best mixture. A null lang becomes the
+    """Documents with a language. Those go that have no letter or no text, or that are no likelier than
+    noise under the best mixture, of however many languages. A null lang becomes the
     language found; others stay as they are."""
     model = language.fit(docs.where(crc_remainder("doc_id") != 1))
     found = language.predict(docs, model)
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= 0.5) & (F.col("gain") > 0))
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("gain") > 0))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

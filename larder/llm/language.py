@@ -113,14 +113,14 @@ def proportions(p: np.ndarray, n: np.ndarray, rounds: int = 25, settled: float =
     return w, float(n @ np.log(p @ w))
 
 
-def infer(p: np.ndarray, n: np.ndarray, penalty: float, most: int = 4) -> tuple[np.ndarray, float]:
+def infer(p: np.ndarray, n: np.ndarray, penalty: float, most: int | None = None) -> tuple[np.ndarray, float]:
     """Shares under the language set with the best likelihood less `penalty` * log(grams) for each
-    language beyond the first. Sets tried: the strongest one, two ... `most` of the full mixture."""
+    language beyond the first. Sets tried: the strongest one, two ... `most` (all, where None) of the full mixture."""
     full, best = proportions(p, n)
     cost = penalty * np.log(n.sum() + 1)
     order = np.argsort(-full, kind="stable")
     chosen, at = None, -np.inf
-    for k in range(1, min(most, len(order)) + 1):
+    for k in range(1, (len(order) if most is None else min(most, len(order))) + 1):
         if chosen is not None and best - cost * (k - 1) <= at:
             break  # no larger set is likelier than the full mixture
         w, likelihood = proportions(p[:, order[:k]], n)

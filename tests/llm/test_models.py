@@ -40,6 +40,35 @@ def test_language_mixture_and_odd_rows(spark, documents):
     assert language.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).first()["lang_pred"] == "und"
 
 
+def _six_languages():
+    rng = np.random.default_rng(3)
+    letters = [chr(0x61 + i) for i in range(24)]
+    own = [letters[4 * i : 4 * i + 4] for i in range(6)]
+    return {f"l{i}": " ".join("".join(rng.choice(x, 5)) for _ in range(300)) for i, x in enumerate(own)}
+
+
+def test_texts_in_more_than_four_languages():
+    texts = _six_languages()
+    grams = [language._grams([t])[0] for t in texts.values()]
+    p = np.stack([np.bincount(g, minlength=language.BUCKETS) + 0.5 for g in grams], axis=1)
+    p /= p.sum(axis=0)
+    n = np.bincount(np.concatenate(grams[:5]), minlength=language.BUCKETS).astype(float)
+    some = np.flatnonzero(n)
+    w, _ = language.infer(p[some], n[some], 2.0)
+    assert (w > 0).tolist() == [True] * 5 + [False] and np.allclose(w[:5], 0.2, atol=0.02)
+
+
+def test_pipeline_keeps_texts_in_three_equal_languages(spark, sf_dir):
+    import corpus_pipeline
+
+    texts = _six_languages()
+    rows = [(10 * i + j, t, lang) for i, (lang, t) in enumerate(texts.items()) for j in range(10)]
+    mixed = "\n".join(t[:900] for t in list(texts.values())[:3])
+    docs = spark.createDataFrame([*rows, (900, mixed, None), (901, "123 !!", None), (902, None, None)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, sf_dir).collect()}
+    assert kept == {r[0] for r in rows} | {900}
+
+
 def test_proportions_climb_and_sum_to_one():
     rng = np.random.default_rng(0)
     p = rng.dirichlet(np.ones(200), 3).T
