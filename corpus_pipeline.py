@@ -25,11 +25,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines. A document goes if it had text and has none left: all of it
-    stands elsewhere."""
-    gone = line_dedup.removals(docs.select("doc_id", "text", F.col("source").alias("site")))
+    """Documents without boilerplate lines, which are compared without white space at their ends. A
+    document goes if lines were removed and no more than white space is left: all of it stands elsewhere."""
+    gone = line_dedup.removals(docs.select("doc_id", "text", F.col("source").alias("site")), white=" \t\r\n")
     out = docs.join(gone, "doc_id", "left").withColumn("text", line_dedup.without("text", "gone"))
-    out = out.where("gone is null or trim(text) <> ''").withColumn("n_chars", F.length("text").cast("long"))
+    out = out.where(F.col("gone").isNull() | F.col("text").rlike(r"(?U)\S")).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
 
 

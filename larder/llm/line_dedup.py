@@ -49,13 +49,14 @@ def boilerplate(lines: DataFrame, min_sites: int = 5, lg_k: int = 10, band: floa
     )
 
 
-def removals(docs: DataFrame, min_sites: int = 5) -> DataFrame:
+def removals(docs: DataFrame, min_sites: int = 5, white: str = " ") -> DataFrame:
     """(doc_id, gone array<int>) of the texts of `docs` (doc_id, text, site) that lose lines; gone has the
-    numbers of these lines in order."""
+    numbers of these lines in order. Lines are compared without characters of `white` at their ends."""
+    bare = lambda x: F.trim(x, F.lit(white))
     places = docs.where("text is not null and doc_id is not null").select(
         "doc_id",
         F.coalesce("site", F.lit("\0none")).alias("site"),
-        F.posexplode(F.transform(_lines("text"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))).alias("pos", "hash"),
+        F.posexplode(F.transform(_lines("text"), lambda x: F.when(bare(x) != "", F.xxhash64(bare(x))))).alias("pos", "hash"),
     )
     places = written(places.where("hash is not null"), "lines")
     common = boilerplate(places, min_sites)

@@ -213,6 +213,17 @@ def test_rows_that_share_an_id_are_the_largest_set(spark, sf_dir):
     assert len(results) == 1
 
 
+def test_pipeline_drops_what_is_white_space_without_its_boilerplate(spark, sf_dir):
+    import corpus_pipeline
+
+    lines = ["Subscribe", "Subscribe\r", "Subscribe\t", " Subscribe", "Subscribe \r"]
+    rows = [(i, f"{x}\nown {i}", f"s{i}") for i, x in enumerate(lines)]
+    rows += [(10, "Subscribe\n\n\nSubscribe\r", "s1"), (11, "Subscribe\n\t\n\u3000", "s2"), (12, "\n\n", "s1"), (13, None, "s1"), (14, "Subscribe\n\nx\r", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, sf_dir).collect()}
+    assert kept == {0: "Subscribe\nown 0", **{i: f"own {i}" for i in range(1, 5)}, 12: "\n\n", 13: None, 14: "\nx\r"}
+
+
 def changed(notice, at, by=("other",)):
     w = license_scan.template_words(notice)
     for i in sorted(at, reverse=True):
