@@ -1,34 +1,91 @@
-"""What the corpus operators share: tables written to break lineage, and connected components."""
+"""What the corpus operators share: tables written to break lineage, row keys, bitmaps, and connected
+components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir. Only where that is unset (a single
-    machine, as in tests) a temporary folder is made and set."""
+    """The folder every executor can reach: spark.checkpoint.dir. Where that is unset, a temporary folder
+    is made and set if the master is local, as in tests; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="larder-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: lineage ends there, and losing an executor costs
-    nothing that was written. The table goes when the application ends."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`df` as a Parquet table in the shared folder, and its path: lineage ends there, and losing an
+    executor costs nothing that was written. The table goes when the application ends, or with `dropped`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larder-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file(spark, path)
+    fs.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Frees a stored table that nothing will read any more."""
+    fs, at = _file(spark, path)
+    fs.delete(at, True)
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """`names`, each with as many underscores in front as it takes to differ from all `columns`."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def row_key(*columns: str | Column) -> tuple[Column, Column]:
+    """128 bits, as two longs, that tell rows apart by these columns; rows alike in them share a key."""
+    return F.xxhash64(F.lit(17), *columns), F.xxhash64(F.lit(29), *columns)
+
+
+def marked(values: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of `bits` bits (a power of two) with those of the column's values set, each modulo `bits`.
+    Built by aggregation, 32,768 bits a row."""
+    v = F.pmod(F.col(values.columns[0]), F.lit(bits)) + 1
+    rows = values.select(v.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        out[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def bits_for(n: int, least: int = 1 << 16, most: int = 1 << 28) -> int:
+    """Bits of a bitmap for `n` values: eight a value, so that few others are let through, and at most
+    `most`, 32 MB. Beyond that a bitmap prunes less; nothing may rely on it but speed."""
+    return min(max(least, 1 << (8 * n).bit_length()), most)
+
+
+def is_marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = (values.view(np.uint64) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def crc_remainder(doc_id: str | Column) -> Column:
@@ -43,9 +100,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: a round is two joins on the edge table, hubs are
     reduced by partial aggregation (min), and rounds grow with the logarithm of the longest path. Each
-    round is written to the shared folder, so no lineage builds up.
+    round is written to the shared folder, so no lineage builds up; the round before is freed.
     """
-    now = written(
+    spark = edges.sparkSession
+    now, path = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     last = None
@@ -61,9 +119,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        now = written(small, "edges")
+        before = path
+        now, path = stored(small, "edges")
+        dropped(spark, before)
         state = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
-        if state == last:
+        if state == last or not state["n"]:
             break
         last = state
     else:

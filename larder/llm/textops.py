@@ -32,7 +32,7 @@ _BLOCK = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             x = np.full(max(n, _BLOCK), base, dtype=np.uint64)
@@ -98,7 +98,7 @@ def word_hashes(column: pa.Array, kind: np.ndarray) -> tuple[np.ndarray, np.ndar
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK)))
         low, high = int(starts[i]), int(ends[j - 1]) + 1
-        up, down = _power(high - low)
+        up, down = power(high - low)
         total = np.empty(high - low + 1, dtype=np.uint64)
         total[0] = 0
         np.cumsum(_BYTE_LOWER[raw[low:high]] * up[: high - low], dtype=np.uint64, out=total[1:])
