@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.llm.common import written
+from larder.llm.common import row_key, written
 from larder.llm.textops import ALNUM, rolling, slices, word_hashes
 
 # Phrases whose every place counts, with their labels.
@@ -42,8 +42,19 @@ NOTICES = [
     ("Licensed under CC BY-NC 4.0", "cc-by-nc-4.0"),
     ("Released under the MIT License", "mit-release"),
     ("All rights reserved", "all-rights-reserved"),
+    ("GNU Lesser General Public License", "lgpl"),
+    ("GNU Affero General Public License", "agpl"),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorsement"),
+    ("The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement", "mit-warranty"),
+    ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis, without warranties or conditions of any kind, either express or implied", "apache-warranty"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License", "epl-notice"),
+    ("Distributed under the Boost Software License, Version 1.0", "boost-1.0"),
+    ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", "zlib-notice"),
+    ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "cc0-notice"),
+    ("Creative Commons Attribution-ShareAlike", "cc-by-sa"),
 ]
 
+KEY = ["key_a", "key_b"]
 _TEXT = -1  # a template that every text has once, with the text's number of words
 
 
@@ -62,7 +73,8 @@ def _template_rows(templates: list[tuple[str, str, bool]], k: int) -> list[tuple
 
 
 def text_grams(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_words, grams array<long>): for each text the hash of every k words in order."""
+    """(doc_id, key_a, key_b, n_words, grams array<long>): for each text of `docs` (doc_id, text, key_a,
+    key_b) the hash of every k words in order."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,11 +83,11 @@ def text_grams(docs: DataFrame, k: int) -> DataFrame:
                 h, _, _ = rolling(hashes, counts, k)
                 bounds = np.concatenate(([0], np.cumsum(np.maximum(counts - k + 1, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts), pa.ListArray.from_arrays(bounds, pa.array(h.view(np.int64)))],
-                    names=["doc_id", "n_words", "grams"],
+                    [part.column(0), part.column(2), part.column(3), pa.array(counts), pa.ListArray.from_arrays(bounds, pa.array(h.view(np.int64)))],
+                    names=["doc_id", "key_a", "key_b", "n_words", "grams"],
                 )
 
-    return docs.mapInArrow(of, "doc_id long, n_words long, grams array<long>")
+    return docs.mapInArrow(of, "doc_id long, key_a long, key_b long, n_words long, grams array<long>")
 
 
 def aligned(pos: list[int], at: list[int], k: int, slack: int) -> int:
@@ -106,8 +118,9 @@ def scan(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans). texts: (doc_id, n_words), a row per row of `docs`. spans: (doc_id, label, base,
-    first_word, last_word, coverage), a row per place.
+    """(texts, spans). texts: (doc_id, n_words, key_a, key_b), a row per row of `docs`. spans: (key_a, key_b,
+    label, base, first_word, last_word, coverage), a row per place. The key tells rows apart by id and
+    text together: rows that share an id alone, or have none, stay apart.
 
     Words hold digits, letters and non-ASCII characters; A-Z are taken as a-z. A base span is a place
     where a phrase's words stand consecutively. Others are places of notices of which `coverage` of the
@@ -118,28 +131,29 @@ def scan(
     sizes = [len(template_words(t)) for t, _, _ in templates]
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.withColumns(dict(zip(KEY, row_key("doc_id", "text"))))
     table = spark.createDataFrame([(0, _TEXT, 0), *_template_rows(templates, k)], "h long, template int, at int")
     # Each text has one more gram in front, which stands for the text itself: no second pass for n_words.
-    grams = text_grams(docs, k).select("doc_id", "n_words", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "grams")).alias("place", "h"))
+    grams = text_grams(docs, k).select("doc_id", *KEY, "n_words", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "grams")).alias("place", "h"))
     found = grams.join(F.broadcast(table), "h")  # some 200 rows, whatever the input
     found = found.where(f"(template = {_TEXT}) = (place = 0)")
-    hits = written(found.select("doc_id", "n_words", "template", (F.col("place") - 1).alias("pos"), "at"), "hits")
-    texts = hits.where(f"template = {_TEXT}").select("doc_id", "n_words")
+    hits = written(found.select("doc_id", *KEY, "n_words", "template", (F.col("place") - 1).alias("pos"), "at"), "hits")
+    texts = hits.where(f"template = {_TEXT}").select("doc_id", "n_words", *KEY)
 
     info = spark.createDataFrame([(i, label, base, n) for i, ((_, label, base), n) in enumerate(zip(templates, sizes))], "template int, label string, base boolean, size int")
-    hits = hits.where(f"template <> {_TEXT} and doc_id is not null").join(F.broadcast(info), "template")  # a row a template
+    hits = hits.where(f"template <> {_TEXT}").join(F.broadcast(info), "template")  # a row a template
     hits = hits.withColumn("diagonal", F.col("pos") - F.col("at"))
-    whole = ["doc_id", "template", "label", "size"]
+    whole = [*KEY, "template", "label", "size"]
     base = (
         hits.where("base")
         .groupBy(*whole, "diagonal")
         .agg(F.count_distinct("at").alias("votes"))
         .where(F.col("votes") == F.col("size") - k + 1)
-        .select("doc_id", "label", F.lit(True).alias("base"), F.col("diagonal").cast("long").alias("first_word"), (F.col("diagonal") + F.col("size") - 1).cast("long").alias("last_word"), F.lit(1.0).alias("coverage"))
+        .select(*KEY, "label", F.lit(True).alias("base"), F.col("diagonal").cast("long").alias("first_word"), (F.col("diagonal") + F.col("size") - 1).cast("long").alias("last_word"), F.lit(1.0).alias("coverage"))
     )
 
     votes = hits.where("not base").groupBy(*whole, "diagonal").agg(F.collect_set(F.struct("pos", "at")).alias("seen"))
-    order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    order = Window.partitionBy(*KEY, "template").orderBy("diagonal")
     # words may be lost in one piece, which shifts what follows by their number
     shift = F.greatest(F.lit(slack), F.floor((1 - coverage) * F.col("size") + 1e-9)).cast("int")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > shift, F.lit(True)).cast("int")
@@ -150,20 +164,20 @@ def scan(
         .agg(F.flatten(F.collect_list("seen")).alias("seen"))
         # no chain of hits covers words that all of them don't
         .where(F.size(F.array_distinct(F.flatten(F.transform("seen.at", lambda a: F.sequence(a, a + k - 1))))) >= coverage * F.col("size"))
-        .select("doc_id", "label", "size", F.col("seen.pos").alias("pos"), F.col("seen.at").alias("at"), shift.alias("shift"))
+        .select(*KEY, "label", "size", F.col("seen.pos").alias("pos"), F.col("seen.at").alias("at"), shift.alias("shift"))
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pos, at = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            share = [aligned(p, a, k, d) / n for p, a, n, d in zip(pos, at, batch.column(2).to_pylist(), batch.column(5).to_pylist())]
+            pos, at = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            share = [aligned(p, a, k, d) / n for p, a, n, d in zip(pos, at, batch.column(3).to_pylist(), batch.column(6).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([min(p) for p in pos], pa.int64()), pa.array([max(p) + k - 1 for p in pos], pa.int64()), pa.array(share, pa.float64())],
-                names=["doc_id", "label", "first_word", "last_word", "coverage"],
+                [*batch.columns[:3], pa.array([min(p) for p in pos], pa.int64()), pa.array([max(p) + k - 1 for p in pos], pa.int64()), pa.array(share, pa.float64())],
+                names=[*KEY, "label", "first_word", "last_word", "coverage"],
             )
 
-    spans = merged.mapInArrow(verify, "doc_id long, label string, first_word long, last_word long, coverage double")
-    spans = spans.where(F.col("coverage") >= coverage).select("doc_id", "label", F.lit(False).alias("base"), "first_word", "last_word", "coverage")
+    spans = merged.mapInArrow(verify, "key_a long, key_b long, label string, first_word long, last_word long, coverage double")
+    spans = spans.where(F.col("coverage") >= coverage).select(*KEY, "label", F.lit(False).alias("base"), "first_word", "last_word", "coverage")
     return texts, base.unionAll(spans)
 
 
@@ -173,14 +187,14 @@ def license_digest(docs: DataFrame, **options) -> DataFrame:
 
     n_base counts places of base phrases; first_word and last_word are their smallest and largest start,
     null without any. Labels are distinct, sorted, joined by commas; empty without any. score is the
-    best coverage of any place, 0 without one. A null text has no words. Rows that share a doc_id share
-    the places of all of them; rows with a null id have none. An empty table gives an empty table. Other
-    columns aren't read.
+    best coverage of any place, 0 without one. A null text has no words. Rows that share a doc_id, or
+    have none, are scanned each for itself. An empty table gives an empty table. Other columns aren't
+    read.
     """
     texts, spans = scan(docs, **options)
     starts = F.when(F.col("base"), F.col("first_word"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    found = spans.groupBy("doc_id").agg(
+    found = spans.groupBy(*KEY).agg(
         F.count_if("base").alias("n_base"),
         F.min(starts).alias("first_word"),
         F.max(starts).alias("last_word"),
@@ -188,7 +202,7 @@ def license_digest(docs: DataFrame, **options) -> DataFrame:
         joined("label").alias("labels"),
         F.max("coverage").alias("score"),
     )
-    return texts.join(found, "doc_id", "left").select(
+    return texts.join(found, KEY, "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
