@@ -159,10 +159,13 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, bin
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options) -> Model:
     """A model from at most `max_rows` labelled documents, those whose ids hash lowest.
 
-    docs: (doc_id, text), labels: (doc_id, label 0 or 1). Features of the sample, `max_rows` rows of
-    numbers, go to the driver, which trains on them.
+    docs: (doc_id, text), labels: (doc_id, label 0 or 1). Labels without a document take no place in the
+    sample. Features of the sample, `max_rows` rows of numbers however often an id stands in `docs`, go to
+    the driver, which trains on them.
     """
-    sample = labels.where("label is not null and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    labels = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("double").alias("label"))
+    held = docs.select("doc_id").join(labels, "doc_id").distinct()  # ids alone: no text is shuffled
+    sample = held.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,17 +178,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options) -
 
     rows = (
         docs.join(F.broadcast(sample), "doc_id")  # `max_rows` rows at most
-        .select("doc_id", "text", F.col("label").cast("double"))
+        .select("doc_id", "text", "label")
         .mapInArrow(of, "doc_id long, x array<double>, label double")
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x")
+        .limit(max_rows)
         .toPandas()
-        .sort_values("doc_id", kind="stable")
     )
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return train(x, rows["label"].to_numpy(np.float64), **options)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with score double after its own columns."""
+def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """`docs` with a column `out` double after its own, which must have no such name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
     at = docs.columns.index(text)
 
@@ -193,9 +197,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, at):
                 scores = shared.value.score(features(part.column(at)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, out])
 
-    return docs.mapInArrow(of, T.StructType(list(docs.schema.fields)).add("score", "double"))
+    return docs.mapInArrow(of, T.StructType(list(docs.schema.fields)).add(out, "double"))
 
 
 def score_documents(
