@@ -53,7 +53,9 @@ def _coder(json_file: str, rank_file: str | None, pattern: str | None):
                     return slow(x)
                 try:
                     return fast.encode_to_numpy(x, disallowed_special=())
-                except BaseException:  # tiktoken panics on some inputs that are too long for its matcher
+                except (KeyboardInterrupt, SystemExit, GeneratorExit):
+                    raise
+                except BaseException:  # a panic of its matcher on some long inputs is no Exception
                     return slow(x)
 
             _coders[key] = ids
@@ -143,24 +145,32 @@ def _slots(plan: list[tuple[list[int], int]]) -> dict[int, dict[str, np.ndarray]
     return {x: dict(zip(("start", "use", "bin", "at"), np.array(r, dtype=np.int64).T)) for x, r in runs.items()}
 
 
-def pack(pieces: DataFrame, size: int = 1024, spread: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 1024, bucket_rows: int = 1024, spread: int = 256, most_rows: int = 250_000) -> DataFrame:
     """`pieces` with sequence_id and offset: all pieces of `size` tokens at most in sequences of `size` at
-    most, as few as minimum bin slack finds. Pieces are read three times: give a stored table.
+    most, as few as minimum bin slack finds. Pieces are read four times: give a stored table.
 
-    A length that a third of all pieces share is no single group: ranks are numbered within (length,
-    bucket of doc_id), and buckets are stacked by a running sum over at most size * spread counts.
+    A piece of `size` tokens is a sequence of its own, with a negative number. The others get ranks within
+    their length. A length that a third of all pieces share is no single group: ranks are numbered within
+    buckets of some `bucket_rows` rows, up to `spread` of them, then as many as keep them at `most_rows`.
+    Buckets are stacked by a running sum over their counts.
     """
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(spread)).cast("int")
-    pieces = pieces.withColumn("bucket", bucket)
-    counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    whole = pieces.where(F.col("length") == size)
+    pieces = pieces.where(F.col("length") < size)
+    totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `size` rows at most
     slots = pieces.sparkSession.sparkContext.broadcast(_slots(fillings(totals, size)))
+    buckets = [(x, max(1, min(spread, n // bucket_rows), -(-n // most_rows))) for x, n in totals.items()]
+    buckets = pieces.sparkSession.createDataFrame(buckets, "length long, buckets int")
+    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets")).cast("int")
+    columns = pieces.columns
+    pieces = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", bucket)  # `size` rows at most
+    counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     base = counts.select(
         "length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("base")
     )
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = (
-        pieces.withColumn("own", own).join(F.broadcast(base), ["length", "bucket"])  # size * spread rows at most
+        # a row a bucket: some 1,000 lengths, and a row more for each `bucket_rows` or, beyond, `most_rows`
+        pieces.withColumn("own", own).join(base, ["length", "bucket"])
         .withColumn("rank", F.col("base") + F.col("own") - 1)
     )
 
@@ -176,8 +186,9 @@ def pack(pieces: DataFrame, size: int = 1024, spread: int = 256) -> DataFrame:
             offset[here] = s["at"][run] + within % s["use"][run] * x
         return pd.DataFrame({"sequence_id": number, "offset": offset})
 
-    columns = [c for c in pieces.columns if c != "bucket"]
-    return ranked.withColumn("placed", place("length", "rank")).select(*columns, "placed.sequence_id", "placed.offset")
+    placed = ranked.withColumn("placed", place("length", "rank")).select(*columns, "placed.sequence_id", "placed.offset")
+    alone = whole.select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionAll(alone)
 
 
 def packed_documents(
