@@ -75,10 +75,10 @@ def _shown(page: str) -> str:
 
 
 def plain_text(page: str) -> str:
-    """The text of a page: no comments, scripts, styles or head; a line per block element; white space
-    collapsed, empty lines left out."""
-    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", _shown(page))))
-    lines = (" ".join(line.split()) for line in text.split("\n"))
+    """The text of a page: no comments, scripts, styles or head; a line per block element; white space,
+    line breaks of the page's source among it, collapsed, empty lines left out."""
+    text = _TAG.sub("", _BLOCK.sub("\n", " ".join(_shown(page).split())))
+    lines = (" ".join(html.unescape(line).split()) for line in text.split("\n"))
     return "\n".join(line for line in lines if line)
 
 
@@ -170,7 +170,7 @@ def derived(number: int | None, name: str, target: str, date: str, head: str, bl
     """
     http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
     status, *lines = http.decode("latin-1").split("\r\n")
-    source = dict(_fields(head))
+    source = {k.lower(): v for k, v in _fields(head)}
     fields = _fields("\r\n".join(["", *lines]))
     said = lambda name: ",".join(v for k, v in fields if k.lower() == name)
     kind = next((v for k, v in fields if k.lower() == "content-type"), "")
@@ -181,7 +181,7 @@ def derived(number: int | None, name: str, target: str, date: str, head: str, bl
         page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         page = body.decode("utf-8", "replace")
-    block_digest, payload_digest = source.get("WARC-Block-Digest") or digest(block), source.get("WARC-Payload-Digest") or digest(payload)
+    block_digest, payload_digest = source.get("warc-block-digest") or digest(block), source.get("warc-payload-digest") or digest(payload)
     title = _TITLE.search(page)
     links = dict.fromkeys(html.unescape(m.strip("\"'")).strip() for m in _LINK.findall(page))
     out = []
@@ -198,7 +198,7 @@ def derived(number: int | None, name: str, target: str, date: str, head: str, bl
         named = [
             ("WARC-Type", record_type), ("WARC-Record-ID", own), ("WARC-Refers-To", name),
             ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", target), ("WARC-Date", date),
-            *((k, source[k]) for k in ("WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type") if k in source),
+            *((k, source[k.lower()]) for k in ("WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type") if k.lower() in source),
             *([("WARC-Concurrent-To", record_id("conversion", name))] if record_type == "metadata" else []),
             ("Content-Type", content_type), ("WARC-Block-Digest", digest(data)), ("Content-Length", str(len(data))),
         ]
@@ -240,28 +240,61 @@ def serialised(headers: str, block: bytes) -> bytes:
     return headers.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], str, bytes]]:
-    """(fields, head, block) of the records of a WARC file's bytes."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = data[at : end + 2].decode("utf-8", "replace")
-        fields = dict(_fields(head))
-        size = int(fields["Content-Length"])
-        yield fields, head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+def parsed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], str, bytes]]:
+    """(fields in lower case, head, block) of the records of a WARC file, given as what stands between
+    its _BETWEEN. A block that holds _BETWEEN itself is put together again by its length; one that its
+    file cuts short keeps what there is."""
+    held, need = b"", 0
+    for piece in pieces:
+        if need > len(held) and not piece.startswith(b"WARC/"):  # which only a file begins with
+            held += _BETWEEN + piece
+        else:
+            if held:
+                yield _record(held)
+            held = piece
+        head = held.find(b"\r\n\r\n")
+        size = re.search(rb"(?im)^content-length[ \t]*:[ \t]*(\d+)", held[:head] if head >= 0 else held)
+        need = head + 4 + int(size[1]) if size and head >= 0 else 0
+    if held:
+        yield _record(held)
+
+
+_BETWEEN = b"\r\n\r\nWARC/1."
+
+
+def _record(data: bytes) -> tuple[dict[str, str], str, bytes]:
+    head, _, block = data.partition(b"\r\n\r\n")
+    head = (b"" if head.startswith(b"WARC/") else b"WARC/1.") + head + b"\r\n"
+    text = head.decode("utf-8", "replace")
+    fields = {k.lower(): v for k, v in _fields(text)}
+    size = fields.get("content-length", "")
+    return fields, text, block[: int(size)] if size.isdigit() else block
 
 
 def read_responses(spark, path: str) -> DataFrame:
-    """RESPONSE records of uncompressed or gzipped WARC files; a file is read by one task."""
-    import gzip
+    """RESPONSE records of WARC files, plain or compressed by a codec that Spark reads by the file's name.
+    Files are read as a stream, record by record; large plain ones in several tasks.
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = [(None, f["WARC-Record-ID"], f.get("WARC-Target-URI", ""), f.get("WARC-Date", ""), head, block) for f, head, block in parsed(data) if f.get("WARC-Type") == "response"]
-                columns = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), *[pa.string()] * 4, pa.binary()))], names=[x.split()[0] for x in RESPONSE.split(", ")])
+    Header names may have any case. A record whose block holds the beginning of another record is whole
+    in a compressed file; in a plain one it is cut where a task's share of the file ends in it.
+    """
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(of, RESPONSE)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), *[pa.string()] * 4, pa.binary()))], names=[x.split()[0] for x in RESPONSE.split(", ")])
+
+        rows, size = [], 0
+        for f, head, block in parsed(x.as_py() for batch in batches for x in batch.column(0)):
+            if f.get("warc-type", "").lower() != "response":
+                continue
+            rows.append((None, f.get("warc-record-id", ""), f.get("warc-target-uri", ""), f.get("warc-date", ""), head, block))
+            size += len(block)
+            if size > 1 << 24:
+                yield table(rows)
+                rows, size = [], 0
+        yield table(rows)
+
+    # a file's rows come in order, and a task's rows are parts of whole files or one part of a plain file
+    pieces = spark.read.text(path, lineSep=_BETWEEN.decode()).select(F.col("value").cast("binary").alias("value"))
+    return pieces.mapInArrow(of, RESPONSE)
