@@ -19,19 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from larder.llm.common import components, written
+from larder.llm.common import bits_for, components, fresh, is_marked, marked, row_key, written
 from larder.llm.textops import mix, shingle_sets, slices
 
 #: Hashes that a task counts before it reports them.
 _COUNTED = 1 << 20
 #: Shingles with lower hashes are counted. A third of all: more than a prefix at similarity 0.75 takes.
 _COUNTED_BELOW = np.uint64(2**64 // 3)
-#: Bits of the bitmap of repeated shingles, and of documents that are asked for again.
-_REPEATED, _ASKED = 1 << 26, 1 << 24
-SIGNATURES = "doc_id long, n_shingles long, key_a long, key_b long, bitmap binary, prefix array<long>"
+ROW = ["row_a", "row_b"]
+SIGNATURES = "doc_id long, row_a long, row_b long, n_shingles long, key_a long, key_b long, bitmap binary, prefix array<long>"
 
 
 def repeated_shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -67,22 +65,6 @@ def frequent(counts: DataFrame, often: int = 8, most: int = 1 << 19) -> np.ndarr
     return top["h"].to_numpy(dtype=np.int64).view(np.uint64)[::-1].copy()
 
 
-def marked(values: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of `bits` bits, the same size for any input, with those of the column's values set (each
-    modulo `bits`). Built by aggregation, 32,768 bits a row."""
-    v = F.pmod(F.col(values.columns[0]), F.lit(bits)) + 1
-    rows = values.select(v.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in rows:
-        out[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def is_marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = (values.view(np.uint64) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _bitmap(s: np.ndarray) -> bytes:
     """One parity bit per slot. There are two to four slots per element (256 at least, 16,384 at most), a
     power of two, so that sets of one size band have one or two widths, and wider ones fold onto narrower."""
@@ -95,12 +77,12 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray, repeate
     """SIGNATURES of every text: size of its set, a 128-bit key of it, bitmap, and its prefix without
     shingles that, by their counts, no other text holds."""
     ranks = docs.sparkSession.sparkContext.broadcast((np.sort(order), np.argsort(order)))  # `most` entries
-    shared = docs.sparkSession.sparkContext.broadcast(repeated)  # _REPEATED bits
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)  # as many bits as `bits_for` allows
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = ranks.value
-        for batch in (part for whole in batches for part in slices(whole)):
-            sets = shingle_sets(batch.column(1), k)
+        for batch in (part for whole in batches for part in slices(whole, 3)):
+            sets = shingle_sets(batch.column(3), k)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             keys = np.zeros((len(sets), 2), dtype=np.uint64)
             maps, prefixes = [], []
@@ -122,47 +104,23 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray, repeate
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).cast(pa.int64()),
+                    *batch.columns[:3],
                     pa.array(n),
                     pa.array(keys[:, 0].view(np.int64)),
                     pa.array(keys[:, 1].view(np.int64)),
                     pa.array(maps, pa.binary()),
                     pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(flat)),
                 ],
-                names=["doc_id", "n_shingles", "key_a", "key_b", "bitmap", "prefix"],
+                names=["doc_id", *ROW, "n_shingles", "key_a", "key_b", "bitmap", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(of, SIGNATURES)
+    return docs.select("doc_id", *ROW, "text").mapInArrow(of, SIGNATURES)
 
 
 def _keys(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
 
 
-def standing(docs: DataFrame, k: int = 5) -> DataFrame:
-    """`docs` (doc_id, text, ...) with one row for each doc_id: that with most shingles, of equals that with
-    the largest keys, then that with the largest hash of the row. Rows with a null id all stay."""
-    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    several = written(several, "several")
-    if several.isEmpty():
-        return docs
-    text_at = docs.columns.index("text")
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, 128) for whole in batches for at in range(0, len(whole), 128)):
-            sets = shingle_sets(batch.column(text_at), k)
-            keys = np.array([_keys(s) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *order])
-
-    order = ["_n_shingles", "_key_a", "_key_b"]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in order)])
-    keyed = docs.join(several, "doc_id", "left_semi").select(*docs.columns).mapInArrow(of, schema)
-    best = F.max_by(F.struct(*docs.columns), F.struct(*order, F.xxhash64(*docs.columns)))
-    chosen = keyed.groupBy("doc_id").agg(best.alias("_best")).select(*(F.col(f"_best.{c}").alias(c) for c in docs.columns))
-    return docs.join(several, "doc_id", "left_anti").select(*docs.columns).unionAll(chosen)
-
-
 def _folded(bitmaps: list[bytes], width: int) -> np.ndarray:
     """Bitmaps as rows of `width` bytes; wider ones are folded by exclusive or, which keeps parities."""
     out = np.zeros((len(bitmaps), width), dtype=np.uint8)
@@ -252,25 +210,28 @@ def _possible(blocks: DataFrame, percent: int, best: int | None) -> DataFrame:
     return placed.mapInArrow(of, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) that are similar enough, by intersecting their sets as sorted arrays.
+def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int, alike: bool) -> DataFrame:
+    """Those of `pairs` (a, b) of classes that are similar enough, by intersecting their sets as sorted
+    arrays. heads: (class, row_a, row_b), the row of `docs` that stands for each class; alike: whether rows
+    of `docs` share a key, which are then alike in id and text.
 
-    Texts of documents that some pair holds go to their pairs, compressed, at a third of their sets'
-    size; a bitmap of _ASKED bits tells nearly all others where they are read.
+    Texts of the rows that some pair asks for go to their pairs, compressed, at a third of their sets'
+    size; a bitmap tells nearly all others where they are read.
     """
-    mark = F.xxhash64("doc_id")
-    asked = marked(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(mark), _ASKED)
-    shared = docs.sparkSession.sparkContext.broadcast(asked)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(heads, "class")
+    asked = written(asked, "asked")
+    shared = docs.sparkSession.sparkContext.broadcast(marked(asked.select("row_a"), bits_for(asked.count())))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(is_marked(shared.value, batch.column(2).to_numpy())))
-            packed = [zlib.compress(t.as_buffer(), 1) if t.is_valid else zlib.compress(b"") for t in some.column(1)]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+            some = batch.filter(pa.array(is_marked(shared.value, batch.column(0).to_numpy())))
+            packed = [zlib.compress(t.as_buffer(), 1) if t.is_valid else zlib.compress(b"") for t in some.column(2)]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(packed, pa.binary())], names=[*ROW, "packed"])
 
-    texts = docs.where("doc_id is not null").select("doc_id", "text", mark.alias("mark")).mapInArrow(of, "doc_id long, packed binary")
-    texts = written(texts, "texts")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("packed").alias(f"text_{x}"))
+    texts = docs.select(*ROW, "text").mapInArrow(of, "row_a long, row_b long, packed binary")
+    texts = texts.join(asked, ROW).select("class", "packed")
+    texts = written(texts.dropDuplicates(["class"]) if alike else texts, "texts")
+    side = lambda x: texts.select(F.col("class").alias(x), F.col("packed").alias(f"text_{x}"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 128) for whole in batches for at in range(0, len(whole), 128)):
@@ -289,42 +250,32 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(settle, "a long, b long").distinct()
 
 
-def ngram_components(
-    docs: DataFrame, k: int = 5, percent: int = 75, tile_rows: int = 4096, best: int = 2, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row per row of `docs`.
-
-    A text's set holds its distinct k-word shingles; A-Z are taken as a-z, words end at ASCII white
-    space. A text of fewer words is one shingle; a null or blank text has an empty set and links with
-    nothing. Two texts link when 100 * intersection >= percent * union. component_id is the smallest
-    doc_id that links lead to, its own included.
+def row_components(docs: DataFrame, k: int = 5, percent: int = 75, tile_rows: int = 4096, best: int = 2) -> DataFrame:
+    """(doc_id, row_a, row_b, n_shingles, component): a row per row of `docs` (doc_id, text, row_a, row_b).
 
-    doc_id should be unique: rows with the same id count as one document, whose set is that of the row
-    with most shingles (see `standing`). Rows with a null id have a null component and link with nothing. An empty table
-    gives an empty table. Other columns aren't read.
+    Rows are told apart by their key, which is made of id and text; equal components are linked. A row
+    whose set is empty has no component.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = written(repeated_shingles(docs, k), "counts")
-    order, repeated = frequent(counts), marked(counts.select("h"), _REPEATED)
+    order, repeated = frequent(counts), marked(counts.select("h"), bits_for(counts.count()))
     sigs = written(signatures(docs, k, percent, order, repeated), "signatures")
-    one = standing(docs, k)
-    named = sigs if one is docs else written(signatures(one, k, percent, order, repeated), "signatures")
-    docs, named = one, named.where("doc_id is not null and n_shingles > 0")
 
-    # Equal sets: one class, held by its smallest id.
+    alike = not sigs.groupBy(*ROW).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+    # Equal sets: one class, numbered, with the row that stands for it.
     keys = ["n_shingles", "key_a", "key_b"]
-    classes = named.groupBy(*keys).agg(F.min("doc_id").alias("class"))
-    members = written(named.join(classes, keys).select("doc_id", "class"), "classes")
-    heads = named.join(members.where("doc_id = class").select("doc_id").distinct(), "doc_id", "left_semi")
+    heads = sigs.where("n_shingles > 0").dropDuplicates(keys).withColumn("class", F.monotonically_increasing_id())
+    heads = written(heads.drop("doc_id"), "heads")
 
-    # Tiles: sets that share a shingle of their prefixes. Tiles with the same smallest id become one: the
-    # shingles of a group of near copies, each with much the same members, make a few tiles in all.
+    # Tiles: sets that share a shingle of their prefixes. Shingles become one tile if the smallest of
+    # their sets is the same by number and by hash, so likely only if they have much the same sets: those
+    # of a group of near copies make a few tiles in all, unrelated ones of one set stay apart.
     # All is counted before it is joined back, from stored tables: a join that Spark may split where one
     # shingle or one group holds a large part of all rows.
-    tokens = heads.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"))
-    met = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("doc").alias("head"))
+    tokens = heads.select(F.explode("prefix").alias("token"), F.col("class").alias("doc"))
+    met = tokens.groupBy("token").agg(F.count("*").alias("size"), F.xxhash64(F.min("doc"), F.min(F.xxhash64("doc"))).alias("head"))
     met = written(met.where("size > 1").select("token", "head"), "tokens")
-    sized = heads.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
+    sized = heads.select(F.col("class").alias("doc"), F.col("n_shingles").alias("n"))
     tiles = written(tokens.join(met, "token").select("head", "doc").distinct().join(sized, "doc"), "tiles")
     # Large tiles are cut into blocks by size of set: a running sum over the sizes of a tile says where
     # each begins, a hash spreads those of one size.
@@ -334,7 +285,8 @@ def ngram_components(
     place = F.col("before") + F.pmod(F.xxhash64("doc"), F.col("same"))
     rows = tiles.join(sizes, ["head", "n"]).select("head", "doc", "n", F.floor(place / tile_rows).cast("int").alias("block"))
     rows = written(rows, "rows")
-    bitmaps = heads.select(F.col("doc_id").alias("doc"), "bitmap")
+    bitmaps = heads.select(F.col("class").alias("doc"), "bitmap")
+    named = heads.select("class", *ROW)
 
     def blocks(rows: DataFrame, first: bool) -> DataFrame:
         """Groups of one block, or of two that sizes allow to link: neighbours for a start, then all but
@@ -344,23 +296,68 @@ def ngram_components(
         open_ = "block_y - block_x <= 1" if first else "least(p_x, p_y) < greatest(q_x, q_y)"
         pairs = x.join(y, "head").where(f"block_x <= block_y and 100 * most_x >= {percent} * least_y and {open_}")
         pairs = pairs.select("head", F.col("block_x").alias("low"), F.col("block_y").alias("high"))
-        pairs = pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
+        pairs = written(pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high")))), "blocks")
         placed = rows.join(pairs, ["head", "block"]).join(bitmaps, "doc")
         return placed.select("head", "low", "high", "block", "doc", "n", "bitmap", "part")
 
     first = written(_possible(blocks(rows.withColumn("part", F.col("doc")), True), percent, best), "first")
-    links = written(verified(first, docs, k, percent), "links")
+    links = written(verified(first, named, docs, k, percent, alike), "links")
     # All other pairs of a tile, unless they are in one component by now.
-    parts = components(links).select(F.col("node").alias("doc"), F.col("component").alias("part"))
-    open_ = rows.join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc"))
+    parts = written(components(links).select(F.col("node").alias("doc"), F.col("component").alias("part")), "parts")
+    open_ = written(rows.join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc")), "open")
     several = open_.groupBy("head").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("head")
-    open_ = written(open_.join(several, "head", "left_semi"), "open")
+    open_ = written(open_.join(written(several, "several"), "head", "left_semi"), "open")
     rest = _possible(blocks(open_, False), percent, None).join(first, ["a", "b"], "left_anti")
-    links = links.unionAll(verified(written(rest, "rest"), docs, k, percent))
-    found = components(links)
+    links = written(verified(written(rest, "rest"), named, docs, k, percent, alike), "links")
+    # Links that were found last join components, not single sets.
+    part = lambda x: parts.select(F.col("doc").alias(x), F.col("part").alias(f"part_{x}"))
+    joined = links.join(part("a"), "a", "left").join(part("b"), "b", "left")
+    joined = components(joined.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")))
+    joined = joined.withColumnsRenamed({"node": "part", "component": "whole"})
+    classes = heads.select(*keys, "class").join(parts.withColumnRenamed("doc", "class"), "class", "left")
+    classes = classes.withColumn("part", F.coalesce("part", "class")).join(joined, "part", "left")
+    classes = written(classes.select(*keys, F.coalesce("whole", "part").alias("component")), "classes")
+    return sigs.select("doc_id", *ROW, *keys).join(classes, keys, "left").select("doc_id", *ROW, "n_shingles", "component")
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return docs.withColumns(dict(zip(ROW, row_key("doc_id", "text"))))
+
+
+def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row per row of `docs`.
 
-    named = members.join(found.withColumnRenamed("node", "class"), "class", "left")
-    named = named.groupBy("doc_id").agg(F.min(F.coalesce("component", "class")).alias("component_id"))
-    return sigs.join(named, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    A text's set holds its distinct k-word shingles (k = 5); A-Z are taken as a-z, words end at ASCII white
+    space. A text of fewer words is one shingle; a null or blank text has an empty set and links with
+    nothing. Two texts link when 100 * intersection >= percent * union (percent = 75). component_id is the
+    smallest doc_id that links lead to, its own included.
+
+    Rows that share a doc_id, or have none, link each for itself; a component of rows without an id has
+    no component_id. An empty table gives an empty table. Other columns aren't read.
+    """
+    found = written(row_components(_rows(docs, doc_id, text), **options), "rows")
+    least = written(found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    return found.join(least, "component", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     )
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Rows of `docs`, with all their columns: of each component the one with the smallest id (those
+    without an id last; of equals the smallest key). Of rows alike in id and text that would stay one does,
+    chosen by a hash of all columns. Rows whose set is empty all stay."""
+    a, b = fresh(docs.columns, *ROW)
+    found = written(row_components(_rows(docs, doc_id, text), **options).where("component is not null"), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", *ROW)).alias("first")
+    kept = written(found.groupBy("component").agg(first, F.count("*").alias("n")).where("n > 1"), "kept")
+    gone = found.join(kept, "component").where("row_a <> first.row_a or row_b <> first.row_b")
+    gone = written(gone.select(F.col("row_a").alias(a), F.col("row_b").alias(b)).distinct(), "gone")
+    keyed = docs.withColumns(dict(zip((a, b), row_key(F.col(doc_id).cast("long"), F.col(text).cast("string"))))).join(gone, [a, b], "left_anti")
+    several = found.select(F.col("row_a").alias(a), F.col("row_b").alias(b)).groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(a, b)
+    several = written(several, "several")
+    if several.isEmpty():
+        return keyed.select(*docs.columns)
+    (row,) = fresh([*docs.columns, a, b], "row")
+    alike = keyed.join(several, [a, b], "left_semi").groupBy(a, b).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row))
+    return keyed.join(several, [a, b], "left_anti").select(*docs.columns).unionAll(alike.select(*(F.col(row)[c].alias(c) for c in docs.columns)))
