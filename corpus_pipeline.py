@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import decontaminate, language, line_dedup, ngram_join, packing
-from larder.llm.common import crc_remainder, written
+from larder.llm.common import crc_remainder, fresh, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,31 +19,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     noise under the best mixture, of however many languages. A null lang becomes the
     language found; others stay as they are."""
     model = language.fit(docs.where(crc_remainder("doc_id") != 1))
-    found = language.predict(docs, model)
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("gain") > 0))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    lang, gain = fresh(docs.columns, "lang_pred", "gain")
+    found = language.predict(docs, model, out={"lang_pred": lang, "gain": gain})
+    kept = found.where((F.col(lang) != language.UNKNOWN) & (F.col(gain) > 0))
+    return kept.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines, which are compared without white space at their ends. A
     document goes if lines were removed and no more than white space is left: all of it stands elsewhere."""
-    gone = line_dedup.removals(docs.select("doc_id", "text", F.col("source").alias("site")), white=" \t\r\n")
-    out = docs.join(gone, "doc_id", "left").withColumn("text", line_dedup.without("text", "gone"))
-    out = out.where(F.col("gone").isNull() | F.col("text").rlike(r"(?U)\S")).withColumn("n_chars", F.length("text").cast("long"))
+    out, gone = line_dedup.cleaned(docs, white=" \t\r\n")
+    out = out.where(F.col(gone).isNull() | F.col("text").rlike(r"(?U)\S")).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group that links of similarity 0.75 hold together;
-    one row for each id."""
-    groups = ngram_join.ngram_components(docs)
-    return ngram_join.standing(docs).join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    one row of those that are alike in id and text. Documents without words all stay."""
+    return ngram_join.deduplicated(docs)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold less than half of any benchmark item."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
