@@ -8,6 +8,7 @@ decides how many languages it needs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -92,14 +93,23 @@ def language_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(of, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """(languages, probabilities of shape BUCKETS x languages) from rows of `docs` that have both text
-    and lang. The driver gets BUCKETS counts a language, whatever the number of rows."""
+class Model(NamedTuple):
+    """Languages, probabilities of shape BUCKETS x languages, and how many buckets some language has."""
+
+    names: list[str]
+    p: np.ndarray
+    used: int
+
+
+def fit(docs: DataFrame, smoothing: float = 0.5) -> Model:
+    """A model from rows of `docs` that have both text and lang. The driver gets BUCKETS counts a
+    language, whatever the number of rows. `smoothing` counts for each bucket in use are spread over all."""
     rows = language_counts(docs.where("text is not null and lang is not null")).toPandas()
     names = sorted(rows["lang"].unique())
-    counts = np.full((BUCKETS, len(names)), smoothing)
+    used = int(rows["gram"].nunique())
+    counts = np.full((BUCKETS, len(names)), smoothing * max(used, 1) / BUCKETS)
     counts[rows["gram"].to_numpy(np.int64), rows["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64)] += rows["n"]
-    return names, counts / counts.sum(axis=0)
+    return Model(names, counts / counts.sum(axis=0), used)
 
 
 def proportions(p: np.ndarray, n: np.ndarray, rounds: int = 60, settled: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -165,18 +175,18 @@ PREDICTED = {
 
 
 def predict(
-    docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 2.0, text: str = "text", out: dict[str, str] | None = None
+    docs: DataFrame, model: Model, penalty: float = 2.0, text: str = "text", out: dict[str, str] | None = None
 ) -> DataFrame:
     """`docs` with the columns of PREDICTED, or those that `out` names, under the names that it gives.
     Names must differ from those of `docs`.
 
     lang_pred is the language of the largest share, score that share, languages the size of the chosen
     set, shares its languages with their shares, the largest first. gain is the mean log-likelihood of a
-    trigram above that of noise (all buckets alike), 0 or less for text that is like none of the
-    languages. A null text, or one without a letter, is `und` with score 0 and no shares; so is every text
+    trigram above that of noise (all trigrams that any language has alike), 0 or less for text that is
+    like none of the languages. A null text, or one without a letter, is `und` with score 0 and no shares; so is every text
     if nothing could be learned.
     """
-    names, p = model
+    names, p, used = model
     out = {x: x for x in PREDICTED} if out is None else out
     shared = docs.sparkSession.sparkContext.broadcast((p, np.log(p)))  # BUCKETS doubles a language, twice
     at = docs.columns.index(text)
@@ -203,7 +213,7 @@ def predict(
                         w, likelihood = infer(p[some], n, penalty, logs[some])
                         order = [j for j in np.argsort(-w, kind="stable") if w[j] > 0]
                         shares = [{"lang": names[j], "share": min(1.0, float(w[j]))} for j in order]
-                        row = (shares[0]["lang"], shares[0]["share"], len(shares), likelihood / n.sum() + np.log(BUCKETS), shares)
+                        row = (shares[0]["lang"], shares[0]["share"], len(shares), likelihood / n.sum() + np.log(used), shares)
                     for x, value in zip(PREDICTED, row):
                         rows[x].append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[x], kinds[x]) for x in out)], names=schema.names)

@@ -30,11 +30,12 @@ def test_language_on_held_out(spark, documents):
 
 
 def test_language_mixture_and_odd_rows(spark, documents):
-    names, p = language.fit(documents)
+    model = language.fit(documents)
+    names = model.names
     texts = {r["lang"]: r["text"] for r in documents.where("n_chars > 2000").collect()}
     a, b = sorted(texts)[:2]
     rows = [(1, texts[a][:1500] + "\n" + texts[b][:1500], "x"), (2, None, None), (3, "", ""), (4, "123 !!", None), (5, texts[a], "lang"), (6, "é", None)]
-    found = {r["doc_id"]: r for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), (names, p)).collect()}
+    found = {r["doc_id"]: r for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
     assert found[1]["languages"] == 2 and found[1]["lang_pred"] in (a, b) and 0.4 < found[1]["score"] < 0.6
     assert [found[i]["lang_pred"] for i in (2, 3, 4)] == ["und"] * 3 and found[2]["score"] == 0
     assert found[5]["lang_pred"] == a and found[5]["score"] > 0.95 and found[6]["lang_pred"] in names
