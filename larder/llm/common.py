@@ -61,6 +61,12 @@ def fresh(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A stored table of keys and a few numbers, marked for broadcast while it has at most `most` rows (some
+    100 MB as a hash table); a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def row_key(*columns: str | Column) -> tuple[Column, Column]:
     """128 bits, as two longs, that tell rows apart by these columns; rows alike in them share a key."""
     return F.xxhash64(F.lit(17), *columns), F.xxhash64(F.lit(29), *columns)

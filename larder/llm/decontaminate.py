@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import bits_for, fresh, is_marked, marked, row_key, written
+from larder.llm.common import bits_for, fresh, is_marked, marked, row_key, sized, written
 from larder.llm.textops import ALNUM, power, rolling, slices, word_hashes
 
 KEY = ["key_a", "key_b"]
@@ -237,4 +237,4 @@ def clean(docs: DataFrame, items: DataFrame, k: int = 4, threshold: float = 0.5,
     keyed = docs.select("*", *(x.alias(n) for n, x in zip((a, b), _keyed(doc_id, text))))
     texts = keyed.select(F.col(a).alias("key_a"), F.col(b).alias("key_b"), F.col(text).cast("string").alias("text"))
     found = overlaps(texts, _items(items, item_id, item_text), k, threshold).select(F.col("key_a").alias(a), F.col("key_b").alias(b)).distinct()
-    return keyed.join(found, [a, b], "left_anti").select(*docs.columns)
+    return keyed.join(sized(written(found, "contaminated")), [a, b], "left_anti").select(*docs.columns)

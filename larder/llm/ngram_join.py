@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.llm.common import bits_for, components, fresh, is_marked, marked, row_key, written
+from larder.llm.common import bits_for, components, fresh, is_marked, marked, row_key, sized, written
 from larder.llm.textops import mix, shingle_sets, slices
 
 #: Hashes that a task counts before it reports them.
@@ -87,8 +87,7 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray, repeate
             keys = np.zeros((len(sets), 2), dtype=np.uint64)
             maps, prefixes = [], []
             for i, s in enumerate(sets):
-                keys[i] = _keys(s)
-                maps.append(_bitmap(s))
+                keys[i], whole_set = _keys(s), s
                 # overlap >= ceil(percent * n / 100), so a partner holds one of the first n - that + 1
                 length = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 # the order of all sets: counted and rare, counted and frequent by frequency, not counted
@@ -100,6 +99,7 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray, repeate
                     s = np.concatenate((s[:low][~often], late[np.argsort(rank[at[often]], kind="stable")], s[low:]))
                 s = s[:length]
                 prefixes.append(s[(s >= _COUNTED_BELOW) | is_marked(shared.value, s)])
+                maps.append(_bitmap(whole_set) if len(prefixes[-1]) else b"")  # one that meets no other needs none
             sizes = np.array([len(p) for p in prefixes])
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -229,7 +229,7 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percen
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(packed, pa.binary())], names=[*ROW, "packed"])
 
     texts = docs.select(*ROW, "text").mapInArrow(of, "row_a long, row_b long, packed binary")
-    texts = texts.join(asked, ROW).select("class", "packed")
+    texts = texts.join(sized(asked), ROW).select("class", "packed")
     texts = written(texts.dropDuplicates(["class"]) if alike else texts, "texts")
     side = lambda x: texts.select(F.col("class").alias(x), F.col("packed").alias(f"text_{x}"))
 
@@ -302,10 +302,12 @@ def row_components(docs: DataFrame, k: int = 5, percent: int = 75, tile_rows: in
 
     first = written(_possible(blocks(rows.withColumn("part", F.col("doc")), True), percent, best), "first")
     links = written(verified(first, named, docs, k, percent, alike), "links")
-    # All other pairs of a tile, unless they are in one component by now.
+    # All other pairs of a tile, unless they are in one component by now. Of a tile in which no set has more
+    # than `best` others, all possible pairs have been looked at.
     parts = written(components(links).select(F.col("node").alias("doc"), F.col("component").alias("part")), "parts")
     open_ = written(rows.join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc")), "open")
-    several = open_.groupBy("head").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("head")
+    several = open_.groupBy("head").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"))
+    several = several.where(f"p < q and n > {min(best + 1, tile_rows)}").select("head")
     open_ = written(open_.join(written(several, "several"), "head", "left_semi"), "open")
     rest = _possible(blocks(open_, False), percent, None).join(first, ["a", "b"], "left_anti")
     links = written(verified(written(rest, "rest"), named, docs, k, percent, alike), "links")
@@ -352,7 +354,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", *ROW)).alias("first")
     kept = written(found.groupBy("component").agg(first, F.count("*").alias("n")).where("n > 1"), "kept")
     gone = found.join(kept, "component").where("row_a <> first.row_a or row_b <> first.row_b")
-    gone = written(gone.select(F.col("row_a").alias(a), F.col("row_b").alias(b)).distinct(), "gone")
+    gone = sized(written(gone.select(F.col("row_a").alias(a), F.col("row_b").alias(b)).distinct(), "gone"))
     keyed = docs.withColumns(dict(zip((a, b), row_key(F.col(doc_id).cast("long"), F.col(text).cast("string"))))).join(gone, [a, b], "left_anti")
     several = found.select(F.col("row_a").alias(a), F.col("row_b").alias(b)).groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(a, b)
     several = written(several, "several")
