@@ -78,7 +78,7 @@ def parsed_description(text: Column) -> Column:
     head = F.when(at > 0, F.slice(lines, 1, at - 1)).otherwise(lines)
     tail = F.when(at > 0, F.slice(lines, at + 1, size - at)).otherwise(F.array().cast("array<string>"))
     labelled = lambda label: F.filter(tail, lambda x: x.startswith(f"{label}：") | x.startswith(f"{label}:"))
-    fields = [F.coalesce(stripped(F.substring(F.element_at(F.filter(F.array_append(labelled(label), F.lit(None)), lambda x: x.isNotNull()), -1), len(label) + 2, 1 << 30)), F.lit("")).alias(key) for key, label, _ in DESCRIPTION_FIELDS]
+    fields = [F.coalesce(stripped(F.substring(F.try_element_at(F.filter(F.array_append(labelled(label), F.lit(None)), lambda x: x.isNotNull()), F.lit(-1)), len(label) + 2, 1 << 30)), F.lit("")).alias(key) for key, label, _ in DESCRIPTION_FIELDS]
     known = lambda x: F.array_contains(F.array(*(x.startswith(f"{label}{c}") for _, label, _ in DESCRIPTION_FIELDS for c in "：:")), True)
     rest = F.filter(tail, lambda x: (x != "") & (x != DESCRIPTION_SECTION) & ~known(x))
     kept = F.filter(head, lambda x, i: (x != "") | ((i > 0) & (F.get(head, i - 1) != "")))
@@ -107,12 +107,12 @@ def masked(name: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """1536 -> 1.5 KB."""
+    """1536 -> 1.5 KB, a tie to the even digit."""
     units = ["B", "KB", "MB", "GB", "TB"]
     size = F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("double")
-    out = F.format_string("%.1f TB", size / 1024.0**4)
+    out = F.format_string("%.1f TB", F.bround(size / 1024.0**4, 1))
     for i in range(3, 0, -1):
-        out = F.when(size < 1024.0 ** (i + 1), F.format_string(f"%.1f {units[i]}", size / 1024.0**i)).otherwise(out)
+        out = F.when(size < 1024.0 ** (i + 1), F.format_string(f"%.1f {units[i]}", F.bround(size / 1024.0**i, 1))).otherwise(out)
     return F.when(size < 1024, F.format_string("%d B", size.cast("long"))).otherwise(out)
 
 

@@ -19,6 +19,12 @@ def most(df: DataFrame, column: str, out: str, default=0) -> DataFrame:
     return df.agg(F.coalesce(F.max(column), F.lit(default)).alias(out))
 
 
+def exists_for(df: DataFrame, key: str, of: DataFrame, out: str = "found") -> DataFrame:
+    """Keys of `of` with whether `df` has any row of theirs (A5)."""
+    any_ = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn(out, F.lit(True))
+    return of.select(key).distinct().join(any_, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
 def daily_log(matches: DataFrame, recognitions: DataFrame, items: DataFrame, nutrients: list[str], group: list[str], match: str = "match_id", image: str = "image_id", item: str = "item_id") -> DataFrame:
     """Per group: sums of the items' nutrients, number of matches, and the set of items.
 

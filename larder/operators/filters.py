@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from larder.functions.text import stripped
 
 
+def projected(df: DataFrame, numbers: list[str] = (), times: list[str] = (), rest: list[str] = ()) -> DataFrame:
+    """Rows as a service returns them: numbers as doubles, times as ISO text, others as they are."""
+    return df.select(
+        *rest, *(F.col(c).cast("double").alias(c) for c in numbers),
+        *(F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias(c) for c in times),
+    )
+
+
 def given(df: DataFrame, **values) -> DataFrame:
     """Equality on each column whose value isn't None."""
     return reduce(lambda d, kv: d.filter(F.col(kv[0]) == kv[1]) if kv[1] is not None else d, values.items(), df)

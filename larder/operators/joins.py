@@ -207,6 +207,15 @@ def contained_names(rows: DataFrame, names: DataFrame, raw: str, name: str, orde
     """The name equal to the raw one, else the first that contains it or is contained; each name once, at
     its first row by `raw` (J18)."""
     a, b = F.lower(F.trim(raw)), F.lower(F.trim(name))
-    pairs = rows.join(names, (a == b) | F.contains(b, a) | F.contains(a, b))
-    best = pairs.groupBy(raw).agg(F.min_by(name, F.struct(F.when(a == b, 0).otherwise(1), F.col(order))).alias(name))
-    return best.groupBy(name).agg(F.min(raw).alias(raw))
+    left = rows.select(raw).distinct().withColumn("_key", a).where("_key is not null")
+    right = names.select(name, order).withColumn("_cand", b).where("_cand is not null")
+    equal = left.join(right, F.col("_key") == F.col("_cand")).groupBy(raw).agg(F.min_by(name, order).alias(name))
+    rest = left.join(equal, raw, "left_anti")
+    # a name inside another shares two characters in a row with it, or is a character of it, or is empty
+    gram = lambda x, own, other: F.explode(F.array_append(_grams(x, 2.0, own, other), F.lit("any")))
+    blank = right.where("_cand = ''").isEmpty() and left.where("_key = ''").isEmpty()
+    meets = lambda df: df.where("_gram <> 'any'") if blank else df
+    pairs = meets(rest.withColumn("_gram", gram("_key", "key", "cand"))).join(meets(right.withColumn("_gram", gram("_cand", "cand", "key"))), "_gram")
+    pairs = pairs.where(F.contains("_cand", "_key") | F.contains("_key", "_cand"))
+    inside = pairs.groupBy(raw).agg(F.min_by(name, order).alias(name))
+    return equal.unionByName(inside).groupBy(name).agg(F.min(raw).alias(raw))

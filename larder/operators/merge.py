@@ -12,6 +12,27 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
+def replaced_children(old: DataFrame, new: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Children after their parents were looked at again: those of `parents` go, new ones come (K7)."""
+    return old.join(parents.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
+def merged_menus(old: DataFrame, new: DataFrame, today, back: int = 7, ahead: int = 30) -> DataFrame:
+    """Menus (menu_date, dish_ids, is_default) after an upsert by date: dates over `back` days ago or more
+    than `ahead` days from `today` aren't taken; a menu without dishes is a default (K3)."""
+    day = F.lit(today).cast("date")
+    taken = new.where(F.col("menu_date").between(F.date_sub(day, back), F.date_add(day, ahead)))
+    taken = taken.select("menu_date", F.coalesce("dish_ids", F.array()).alias("dish_ids"))
+    return upsert(old, taken.withColumn("is_default", F.size("dish_ids") == 0), ["menu_date"])
+
+
+def merged_users(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Users after a sync, by external id: names and departments are overwritten, a known user keeps the
+    role, and all that came are active again (K6)."""
+    fresh = new.withColumn("is_active", F.lit(True))
+    return coalesced(old, fresh, F.col("external_id"), F.col("external_id"), ["name", "department", "is_active"], [], ["external_id", "role"])
+
+
 def last_of(new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key, as where later rows of a file overwrite earlier ones (K4)."""
     w = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
@@ -21,7 +42,7 @@ def last_of(new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def coalesced(old: DataFrame, new: DataFrame, key: Column, old_key: Column, always: list[str], if_given: list[str], keep: list[str]) -> DataFrame:
     """A merge in which `always` columns take the new value, `if_given` ones only a new value that isn't
     null or blank, `keep` ones stay; unknown keys are added (K5, K6). Keys may be expressions."""
-    o, n = old.withColumn("_key", old_key), new.withColumn("_key", key)
+    o, n = old.withColumn("_key", old_key), new.withColumns({"_key": key, "_row": F.lit(1)})
     both = o.alias("o").join(n.alias("n"), "_key", "full_outer")
     came = F.col("n._row").isNotNull()
 
@@ -34,8 +55,6 @@ def coalesced(old: DataFrame, new: DataFrame, key: Column, old_key: Column, alwa
             return F.coalesce(given, stale)
         return F.coalesce(stale, fresh)
 
-    n = n.withColumn("_row", F.lit(1))
-    both = o.alias("o").join(n.alias("n"), "_key", "full_outer")
     return both.select(*(value(c).alias(c) for c in [*keep, *always, *if_given]))
 
 

@@ -33,10 +33,12 @@ def top(df: DataFrame, k: int, by: list[str], order: list[Column], rank: str | N
     return out.withColumnRenamed("_n", rank) if rank else out.drop("_n")
 
 
-def latest(df: DataFrame, by: list[str], at: str) -> DataFrame:
-    """The row of each group with the latest time, as an aggregate."""
+def latest(df: DataFrame, by: list[str], at: str, tie: str | None = None) -> DataFrame:
+    """The row of each group with the latest time, as an aggregate; of equals that with the largest `tie`,
+    else the largest hash of the row (L3, L4, W10)."""
     rest = [c for c in df.columns if c not in by]
-    return df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(F.col(at), F.xxhash64(*rest))).alias("_r")).select(*by, "_r.*")
+    order = F.struct(F.col(at), *([F.col(tie)] if tie else []), F.xxhash64(*rest))
+    return df.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*by, "_r.*")
 
 
 def capped_regions(regions: DataFrame, key: str, order: list[Column], score: str, good: Column, most: int = 6) -> DataFrame:

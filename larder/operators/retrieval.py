@@ -21,14 +21,17 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float = 0
 
     queries: (query_id, vector, candidate_ids array if `candidates`), index: (item_id, label, vector). The
     query is brought to length 1, the index isn't. A query with a list of candidates sees only items with
-    these labels; an empty list sees all. Ties go to the smaller item id.
+    these labels; an empty list sees all. Ties go to the smaller item id. Vectors that are null or hold nulls
+    find nothing and aren't found; vectors meet those of their own length.
 
     Queries are the small side: their size is checked, and in blocks of at most `most_bytes` each they
     are sent to the index, which is scanned block by block and never shuffled. A task returns k hits a
     query, so what is sorted in the end is k rows per query and task.
     """
     columns = ["query_id", "vector", *(["candidate_ids"] if candidates else [])]
-    q = queries.select("query_id", normalised(F.col("vector")).alias("vector"), *columns[2:])
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    q = queries.where(whole("vector")).select("query_id", normalised(F.col("vector")).alias("vector"), *columns[2:])
+    index = index.where(whole("vector"))
     size = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d")).first()
     n_blocks = max(1, -(-size["n"] * max(size["d"], 1) * 8 // most_bytes))
     found = None
@@ -40,39 +43,36 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float = 0
 
 
 def _block_hits(q: pd.DataFrame, index: DataFrame, k: int, threshold: float, candidates: bool) -> DataFrame:
+    lengths = q["vector"].map(len).to_numpy(np.int64)
+    parts = {int(d): np.flatnonzero(lengths == d) for d in np.unique(lengths)}
     shared = index.sparkSession.sparkContext.broadcast((
         q["query_id"].to_numpy(np.int64),
-        np.array(q["vector"].tolist(), dtype=np.float64).reshape(len(q), -1),
+        {d: (at, np.array([q["vector"].iat[i] for i in at], dtype=np.float64)) for d, at in parts.items()},
         [set(x) if x is not None and len(x) else None for x in q["candidate_ids"]] if candidates else [None] * len(q),
     ))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix, wanted = shared.value
+        ids, matrices, wanted = shared.value
         best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            similar = np.array(pdf["vector"].tolist(), dtype=np.float64) @ matrix.T
-            items, labels = pdf["item_id"].to_numpy(np.int64), pdf["label"].to_numpy()
-            for j in np.flatnonzero((similar >= threshold).any(axis=0)):
-                good = similar[:, j] >= threshold
-                if wanted[j] is not None:
-                    good &= np.isin(labels, list(wanted[j]))
-                at = np.flatnonzero(good)
-                at = at[np.lexsort((items[at], -similar[at, j]))[:k]]
-                best[j] = sorted(best[j] + [(-float(similar[i, j]), int(items[i])) for i in at])[:k]
+        for whole in batches:
+            lengths = whole["vector"].map(len).to_numpy(np.int64) if len(whole) else np.zeros(0, np.int64)
+            for d, (numbers, matrix) in matrices.items():
+                pdf = whole[lengths == d]
+                if not len(pdf):
+                    continue
+                similar = np.array(pdf["vector"].tolist(), dtype=np.float64).reshape(len(pdf), d) @ matrix.T
+                items, labels = pdf["item_id"].to_numpy(np.int64), pdf["label"].to_numpy()
+                for column in np.flatnonzero((similar >= threshold).any(axis=0)):
+                    j, good = numbers[column], similar[:, column] >= threshold
+                    if wanted[j] is not None:
+                        good &= np.isin(labels, list(wanted[j]))
+                    at = np.flatnonzero(good)
+                    at = at[np.lexsort((items[at], -similar[at, column]))[:k]]
+                    best[j] = sorted(best[j] + [(-float(similar[i, column]), int(items[i])) for i in at])[:k]
         rows = [(int(ids[j]), item, -s) for j, hits in enumerate(best) for s, item in hits]
         yield pd.DataFrame(rows, columns=["query_id", "item_id", "similarity"])
 
-    return index.where("vector is not null").select("item_id", "label", "vector").mapInPandas(scan, HITS)
-
-
-def similar_sql(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> DataFrame:
-    """As top_k without candidates, in built-in functions alone: for small indexes."""
-    from larder.functions.vectors import dot
-
-    pairs = queries.select("query_id", normalised(F.col("vector")).alias("_q")).join(index, F.lit(True)).withColumn("similarity", dot(F.col("_q"), F.col("vector")))
-    return top(pairs.where(F.col("similarity") >= threshold), k, ["query_id"], [F.desc("similarity"), F.col("item_id")]).select("query_id", "item_id", "similarity")
+    return index.select("item_id", "label", "vector").mapInPandas(scan, HITS)
 
 
 def reranked(hits: DataFrame, scorer: Callable[[Column, Column], Column] | None, n: int = 5) -> DataFrame:
@@ -92,6 +92,23 @@ def accepted(hits: DataFrame, by_score: float = 0.5, by_similarity: float = 0.35
     return best.where(good).withColumn("confidence", clamped(value))
 
 
+def recognised(images: DataFrame, regions: DataFrame, index: DataFrame, embed: Callable[[bytes], np.ndarray], scorer: Callable[[Column, Column], Column] | None = None, k: int = 5, threshold: float = 0.35, by_score: float = 0.5) -> DataFrame:
+    """(image_id, region, item_id, label, confidence): from images to what is on them (V4, V9).
+
+    A row per region (the whole image where it has none) is embedded, its k nearest items are found,
+    reranked and accepted, and of a label that several regions of an image show the surest stays. images:
+    (image_id, data), regions: (image_id, region, data), index as for `top_k`.
+    """
+    parts = regions_or_whole(images.withColumnRenamed("data", "whole"), regions)
+    parts = parts.select("image_id", F.coalesce("region", F.lit(0)).alias("region"), F.coalesce("data", "whole").alias("data"))
+    parts = parts.withColumn("query_id", F.xxhash64("image_id", "region"))
+    vectors = embedded(parts, embed, key="query_id").where("status = 'ready'")
+    hits = top_k(vectors.select(F.col("item_id").alias("query_id"), "vector"), index, k, threshold)
+    best = accepted(reranked(hits, scorer, k), by_score, threshold)
+    found = best.join(index.select("item_id", "label"), "item_id").join(parts.select("query_id", "image_id", "region"), "query_id")
+    return top(found, 1, ["image_id", "label"], [F.desc("confidence"), F.col("region")]).select("image_id", "region", "item_id", "label", "confidence")
+
+
 def regions_or_whole(images: DataFrame, regions: DataFrame, key: str = "image_id") -> DataFrame:
     """A row per region; images without any come once, with a null region, to be taken whole (V7)."""
     return images.join(regions, key, "left")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from larder.functions.numbers import amount
 from larder.functions.text import squeezed, stripped
@@ -68,8 +67,9 @@ def imported_payments(raw: DataFrame, existing: DataFrame, students: DataFrame,
     outside = ~F.col("location").isin([" ".join(x.split()) for x in allowed]) if allowed else F.lit(False)
     rows = rows.withColumn("outside", outside)
     good = F.col("error").isNull() & ~F.col("outside")
-    first = F.row_number().over(Window.partitionBy("transaction_id", good).orderBy("row"))
-    rows = rows.withColumn("again", good & (first > 1))
+    # an aggregate over good rows: those without an id are no group of their own
+    first = rows.where(good).groupBy("transaction_id").agg(F.min("row").alias("first"))
+    rows = rows.join(first, "transaction_id", "left").withColumn("again", good & (F.col("row") > F.col("first"))).drop("first")
     known = _known(rows.where(good), existing).withColumn("known", F.lit(True))
     rows = rows.join(known, "row", "left")
     result = outcome(

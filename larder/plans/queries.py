@@ -89,8 +89,9 @@ def unmatched_anti(spark, d):
 
 @query()
 def greedy_assign(spark, d):
-    """J2; held against plain Python by tests."""
-    return assign.exclusive_match(_records(spark, d), _images(spark, d), 300, 5.0)
+    """J2, each user's records with the user's own images; held against plain Python by tests."""
+    of = lambda df, key: df.join(_events(spark, d).select(F.col("event_id").alias(key), "user_id"), key)
+    return assign.exclusive_match(of(_records(spark, d), "record_id"), of(_images(spark, d), "image_id"), 300, 5.0, by=["user_id"])
 
 
 @query("""
@@ -442,12 +443,12 @@ def running_peaks(spark, d):
 
 
 @query("""
-    SELECT o_custkey, strftime(max(o_orderdate), '%Y-%m-%d') AS day, arg_max(o_orderkey, (o_orderdate, o_orderkey)) IS NOT NULL AS found FROM orders GROUP BY 1
+    SELECT o_custkey, strftime(max(o_orderdate), '%Y-%m-%d') AS day, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1
 """)
 def latest_rows(spark, d):
     """L3, L4, W10."""
-    out = paging.latest(table(spark, d, "orders"), ["o_custkey"], "o_orderdate")
-    return out.select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderkey").isNotNull().alias("found"))
+    out = paging.latest(table(spark, d, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey")
+    return out.select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderkey")
 
 
 _BOX = "p_size + 1.0 AS x1, p_partkey % 60 + 0.0 AS y1, p_size + 20.0 + p_partkey % 30 AS x2, p_partkey % 60 + 25.0 AS y2"
@@ -523,3 +524,6 @@ def point_in_window(spark, d):
     clicks = _events(spark, d, "click").select("event_id", "user_id", at.alias("at"))
     spans = _events(spark, d, "login").select(F.col("event_id").alias("idx"), "user_id", at.alias("a"), (at + 3_600_000_000).alias("b"))
     return joins.within_interval(clicks, spans, "at", "a", "b", "idx", 3_600_000_000, ["user_id"]).select("event_id", "idx")
+
+
+from larder.plans import more_queries  # noqa: E402, F401  it adds to QUERIES and SQL

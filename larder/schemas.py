@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 _NUTRIENTS = "calories decimal(8,2), protein decimal(8,2), fat decimal(8,2), carbohydrate decimal(8,2), sodium decimal(8,2), fiber decimal(8,2)"
 
-_DDL = {
+# DDL, which readers and createDataFrame take as it is.
+TABLES = {
     "students": "id int, student_no string, name string, class_id string, class_name string, grade_id string, grade_name string, card_no string, is_active boolean, created_at timestamp",
     "users": "id int, external_id string, username string, name string, role string, dept_id string, dept_name string, managed_class_ids array<string>, managed_grade_ids array<string>, student_ids array<int>, is_active boolean, sync_at timestamp, created_at timestamp, updated_at timestamp",
     "dishes": f"id int, name string, description string, ingredients string, image_url string, price decimal(8,2), category string, weight decimal(8,2), {_NUTRIENTS}, is_active boolean, created_at timestamp, updated_at timestamp",
@@ -23,8 +22,6 @@ _DDL = {
     "video_sources": "id int, name string, source_type string, is_active boolean, status string, config_json string, credentials_json_encrypted string, last_validation_status string, last_validation_error string, last_validated_at timestamp, created_at timestamp, updated_at timestamp",
 }
 
-TABLES = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
-
 # What each column of states may hold.
 STATES = {
     "embedding_status": ["pending", "processing", "ready", "failed"],

@@ -86,15 +86,18 @@ class Adapters:
         return self.builders[kind](*args, **options)
 
 
-def fetch_pages(fetch: Callable[[int, int], dict], size: int = 100, most: int = 100_000) -> Iterator[dict]:
-    """Items of a paged service, by offset until it has no more."""
+def fetch_pages(fetch: Callable[[int, int], dict], size: int = 100) -> Iterator[dict]:
+    """Items of a paged service, by offset until it has no more (S12). A page without items that promises
+    more is an error: it would be asked for without end."""
     offset = 0
-    while offset < most:
+    while True:
         answer = fetch(offset, size)
         yield from answer["items"]
         offset += size
         if not answer.get("has_more"):
             return
+        if not answer["items"]:
+            raise RuntimeError(f"the service has more, but gave no items at offset {offset - size}")
 
 
 def paged(spark: SparkSession, keys: DataFrame, fetch: Callable[[str, int, int], dict], schema: str, size: int = 100) -> DataFrame:

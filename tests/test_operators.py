@@ -238,3 +238,91 @@ def test_filters_and_merge(spark):
     assert filters.in_list(df, "id", []).count() == 0 and filters.in_list(df, "id", [1, 3]).count() == 2
     new = spark.createDataFrame([(2, "new"), (4, "four")], "id long, name string")
     assert sorted(tuple(r) for r in merge.upsert(df, new, ["id"]).collect()) == [(1, "A_b"), (2, "new"), (3, None), (4, "four")]
+
+
+def test_pages_are_fetched_to_the_end():
+    def fetch(offset, size):
+        return {"items": [{"n": i} for i in range(offset, min(offset + size, 100_001))], "has_more": offset + size < 100_001}
+
+    assert [x["n"] for x in listings.fetch_pages(fetch, 5_000)] == list(range(100_001))
+    with pytest.raises(RuntimeError):
+        list(listings.fetch_pages(lambda o, n: {"items": [], "has_more": True}))
+
+
+def test_top_k_of_odd_vectors(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [0.0, 1.0, 0.0]), (5, [])], "query_id long, vector array<double>")
+    index = spark.createDataFrame([(10, "a", [1.0, 0.0]), (11, "b", None), (12, "c", [0.0, 1.0, 0.0]), (13, "d", [None, 1.0])], "item_id long, label string, vector array<double>")
+    found = retrieval.top_k(queries, index, 2, 0.5)
+    assert sorted((r["query_id"], r["item_id"], r["similarity"]) for r in found.collect()) == [(1, 10, 1.0), (4, 12, 1.0)]
+    assert retrieval.top_k(queries.limit(0), index).count() == 0
+
+
+def test_images_are_recognised_from_region_to_label(spark):
+    images = spark.createDataFrame([(1, b"\x01\x00"), (2, b"\x00\x01"), (3, b"\x02\x00")], "image_id long, data binary")
+    regions = spark.createDataFrame([(1, 1, b"\x00\x01"), (1, 2, b"\x00\x02"), (1, 3, b"\x01\x00")], "image_id long, region int, data binary")
+    index = spark.createDataFrame([(10, "x", [1.0, 0.0]), (11, "y", [0.0, 1.0])], "item_id long, label string, vector array<double>")
+    embed = lambda data: [float(x) for x in data]
+    found = retrieval.recognised(images, regions, index, embed)
+    assert sorted((r["image_id"], r["region"], r["label"]) for r in found.collect()) == [(1, 1, "y"), (1, 3, "x"), (2, 0, "y"), (3, 0, "x")]
+    scored = retrieval.recognised(images, regions, index, embed, lambda q, i: F.when(i == 11, 0.9).otherwise(0.1))
+    assert sorted((r["image_id"], r["label"], r["confidence"]) for r in scored.collect()) == [(1, "y", 0.9), (2, "y", 0.9)]
+
+
+def plain_suppressed(boxes, overlap=0.6):
+    """Best first; the smaller id of equals; a name stays once; boxes that overlap a kept one go."""
+    kept = []
+    for b in sorted(boxes, key=lambda b: (-b["confidence"], b["det_id"])):
+        def alike(k):
+            w, h = min(b["x2"], k["x2"]) - max(b["x1"], k["x1"]), min(b["y2"], k["y2"]) - max(b["y1"], k["y1"])
+            cut = max(w, 0) * max(h, 0)
+            whole = (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) + (k["x2"] - k["x1"]) * (k["y2"] - k["y1"]) - cut
+            return whole > 0 and cut / whole >= overlap
+        if all(k["name"] != b["name"] and not alike(k) for k in kept):
+            kept.append(b)
+    return [k["det_id"] for k in kept]
+
+
+def test_nms_query_against_plain_python(spark, sf_dir):
+    from larder.plans.queries import QUERIES
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect()
+    images = {}
+    for r in lines:
+        images.setdefault(r["l_orderkey"], []).append({
+            "det_id": r["l_linenumber"], "name": r["l_partkey"] % 7, "confidence": round(r["l_discount"] + r["l_tax"], 4),
+            "x1": r["l_quantity"] % 10, "y1": r["l_suppkey"] % 10, "x2": r["l_quantity"] % 10 + 12, "y2": r["l_suppkey"] % 10 + 12,
+        })
+    # where ids of an image repeat, what comes first isn't settled
+    clear = {i for i, boxes in images.items() if len({b["det_id"] for b in boxes}) == len(boxes)}
+    found = {}
+    for r in QUERIES["nms"](spark, sf_dir).collect():
+        found.setdefault(r["image_id"], set()).add(r["det_id"])
+    assert len(clear) > 50
+    for i in clear:
+        assert found[i] == set(plain_suppressed(images[i])), i
+
+
+def test_greedy_query_against_a_loop(spark, sf_dir):
+    from larder.plans.queries import QUERIES
+
+    events = sorted((r for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect()), key=lambda r: (r["ts"], r["event_id"]))
+    gone, want = set(), {}
+    for r in (x for x in events if x["event_type"] == "purchase"):
+        near = [
+            (abs(r["value"] - i["value"]), abs((r["ts"] - i["ts"]).total_seconds()), i["event_id"])
+            for i in events
+            if i["event_type"] == "view" and i["user_id"] == r["user_id"] and i["event_id"] not in gone and abs((r["ts"] - i["ts"]).total_seconds()) <= 300
+        ]
+        best = min(near, default=None)
+        want[r["event_id"]] = (best and best[2], "unmatched_record" if not best else "matched" if best[0] <= 5 else "time_matched_only")
+        if best and best[0] <= 5:
+            gone.add(best[2])
+    found = {r["record_id"]: (r["image_id"], r["status"]) for r in QUERIES["greedy_assign"](spark, sf_dir).collect()}
+    assert {k: (None if v[0] is None or v[0] != v[0] else int(v[0]), v[1]) for k, v in found.items()} == want
+
+
+def test_rows_without_an_id_are_no_duplicates_of_one_another(spark):
+    raw = payments(spark, *(("1", "X", "-1", n, "2026/03/24 06:12:20", "hall 1") for n in ("", "", "9", "9")))
+    empty = lambda s: spark.createDataFrame([], s)
+    out = ingest.imported_payments(raw, empty("transaction_id string, student_no string"), empty("id int, student_no string, card_no string"), "b")
+    assert sorted(r["outcome"] for r in out.collect()) == ["duplicate", "imported", "missing", "missing"]
