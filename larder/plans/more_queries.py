@@ -70,11 +70,13 @@ def description_fields(spark, d):
     raw = F.when(F.col("p_size") % 2 == 0, F.to_json(F.struct(F.col("p_brand").alias("main_ingredients"), F.lit(" ").alias("colors"), F.col("p_type").alias("colour")))).otherwise(
         F.to_json(F.struct(F.lit("").alias(fields[1]), F.col("p_brand").alias(fields[0])))
     )
-    whole = text.composed_description(F.concat(F.lit(" "), "p_name", F.lit("\r\n")), text.description(raw))
-    back = text.parsed_description(whole)
-    return table(spark, d, "part").select(
-        "p_partkey", back["summary"].alias("summary"), back["fields"]["mainIngredients"].alias("ingredients"), back["fields"]["colors"].alias("colors"),
-        F.substring(whole, F.length("p_name") + 3, F.lit(1000)).alias("details"),
+    # a column a step, so that no expression holds another many times over
+    p = table(spark, d, "part").withColumn("fields", text.description(raw))
+    p = p.withColumn("whole", text.composed_description(F.concat(F.lit(" "), "p_name", F.lit("\r\n")), F.col("fields")))
+    p = p.withColumn("back", text.parsed_description(F.col("whole")))
+    return p.select(
+        "p_partkey", "back.summary", F.col("back.fields.mainIngredients").alias("ingredients"), F.col("back.fields.colors").alias("colors"),
+        F.substring(F.col("whole"), F.length("p_name") + 3, F.lit(1000)).alias("details"),
     )
 
 
