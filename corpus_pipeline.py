@@ -62,7 +62,8 @@ STAGES = [
     ("best_fit_packing", pack_documents),
 ]
 
-#: Mixture inference, sketches and packing are beyond SQL; tests hold the stages against plain Python.
+#: Mixture inference, sketches and packing are beyond SQL; tests hold the operators of the stages, and what
+#: the stages do beyond them, against plain Python.
 ORACLE_SQL = None
 
 
