@@ -10,7 +10,8 @@ from larder.operators import aggregates, assign, filters, joins, merge, paging,
 from larder.plans import ingest, meals
 from larder.plans.queries import _events, query
 from larder.schemas import RECOMMENDED
-from larder.sources.files import table
+from larder.sources import listings, sinks
+from larder.sources.files import by_ids, table
 
 
 @query("""
@@ -474,3 +475,100 @@ def projected_rows(spark, d):
     """P1."""
     o = table(spark, d, "orders").withColumn("price", F.col("o_totalprice").cast("decimal(18,2)"))
     return filters.projected(o, ["price"], ["o_orderdate"], ["o_orderkey"])
+
+
+@query("""
+    WITH c AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN CAST(c_nationkey AS VARCHAR) ELSE c_nationkey || '0' || (c_custkey % 3 + 1) END AS stream FROM customer),
+    g AS (SELECT *, CASE WHEN length(trim(stream)) > 2 THEN left(trim(stream), length(trim(stream)) - 2) ELSE trim(stream) END AS channel_id FROM c WHERE trim(stream) <> ''),
+    f AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY c_custkey) AS k FROM g)
+    SELECT channel_id, c_custkey AS first_pos, CASE WHEN c_custkey % 2 = 0 THEN 'cam ' || c_custkey WHEN channel_id = '1' THEN '主通道' ELSE '通道 ' || channel_id END AS name FROM f WHERE k = 1
+""")
+def stream_channels(spark, d):
+    """Customers as streams of their nation's channel."""
+    c = table(spark, d, "customer").select("c_custkey", F.expr("CASE c_custkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN string(c_nationkey) ELSE concat(c_nationkey, '0', c_custkey % 3 + 1) END").alias("stream"))
+    first = listings.channels(c, "stream", "c_custkey")
+    given = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" cam "), "c_custkey"))
+    return first.select("channel_id", F.col("c_custkey").alias("first_pos"), listings.channel_name(F.col("channel_id"), given).alias("name"))
+
+
+@query("""
+    WITH l AS (SELECT CASE WHEN c_nationkey % 4 = 0 THEN 'a' || c_nationkey ELSE CAST(c_nationkey AS VARCHAR) END AS channel_id, max(c_custkey) AS last_pos FROM customer GROUP BY 1)
+    SELECT channel_id, last_pos, row_number() OVER (ORDER BY left(channel_id, 1) = 'a', CASE WHEN left(channel_id, 1) <> 'a' THEN CAST(channel_id AS BIGINT) END, channel_id) AS place FROM l
+""")
+def channel_list(spark, d):
+    """The last of each channel; the list, one row a channel, is numbered in its order."""
+    from pyspark.sql.window import Window
+
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.expr("CASE WHEN c_nationkey % 4 = 0 THEN concat(' a', c_nationkey, ' ') ELSE concat(c_nationkey, ' ') END").alias("channel_id"))
+    last = listings.last_channels(c).groupBy("channel_id").agg(F.max("pos").alias("last_pos"))
+    return last.withColumn("place", F.row_number().over(Window.orderBy(*listings.numeric_first("channel_id"))).cast("long"))
+
+
+@query("SELECT s_suppkey AS id, s_name FROM supplier WHERE s_nationkey % 2 = 0 AND s_acctbal > 0 ORDER BY s_nationkey DESC, s_suppkey DESC LIMIT 1")
+def source_in_use(spark, d):
+    """Suppliers as sources; the one in use is the feature."""
+    s = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("id"), "s_name", F.col("s_nationkey").alias("updated_at"), (F.col("s_nationkey") % 2 == 0).alias("is_active"), F.when(F.col("s_acctbal") > 0, "enabled").otherwise("disabled").alias("status")
+    )
+    return listings.active_source(s).select("id", "s_name")
+
+
+@query("""
+    WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id % 3, date_trunc('minute', ts) ORDER BY event_id) AS k FROM events)
+    SELECT event_id, (user_id % 3) || '_' || strftime(date_trunc('minute', ts), '%Y-%m-%d-%H-%M-%S') || CASE WHEN k > 1 THEN '-' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') ELSE '' END || '.jpg' AS image_name FROM e
+""")
+def saved_image_names(spark, d):
+    """Events at full minutes and some milliseconds, on three channels."""
+    at = (F.date_trunc("minute", "ts").cast("timestamp").cast("double") + F.col("event_id") % 1000 / 1000).cast("timestamp")
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 3).alias("channel_id"), at.alias("captured_at"), F.col("event_id").alias("frame_no"))
+    return sinks.image_names(e).select("event_id", "image_name")
+
+
+@query("""
+    WITH u AS (SELECT s_suppkey AS user_id, s_nationkey FROM supplier),
+    t AS (SELECT DISTINCT c_custkey AS report_id, user_id FROM customer, u WHERE (user_id % 2 = 0 AND user_id = c_custkey) OR (user_id % 2 = 1 AND s_nationkey = c_nationkey)),
+    n AS (SELECT report_id, count(*) FILTER ((report_id + user_id) % 3 = 0) AS sent, count(*) FILTER ((report_id + user_id) % 3 <> 0) AS failed FROM t GROUP BY 1)
+    SELECT c_custkey AS report_id, coalesce(sent, 0) AS sent, coalesce(failed, 0) AS failed,
+           CASE WHEN coalesce(failed, 0) = 0 THEN 'sent' WHEN coalesce(sent, 0) = 0 THEN 'failed' ELSE 'partial' END AS push_status
+    FROM customer LEFT JOIN n ON c_custkey = report_id
+""")
+def push_recipients(spark, d):
+    """A report a customer; even suppliers are parents of one, odd ones teachers of a nation."""
+    s = table(spark, d, "supplier")
+    parent = F.col("s_suppkey") % 2 == 0
+    users = s.select(F.col("s_suppkey").alias("user_id"), F.when(parent, "parent").otherwise("teacher").alias("role"), F.array("s_suppkey").alias("student_ids"), F.array("s_nationkey").alias("managed_class_ids"))
+    reports = table(spark, d, "customer").select(F.col("c_custkey").alias("report_id"), F.col("c_custkey").alias("student_id"), F.col("c_nationkey").alias("class_id"))
+    # of the deliveries only those of a nation's own suppliers and customers, or of equal numbers, are asked for
+    pairs = s.join(reports, s.s_nationkey == reports.class_id).select("report_id", F.col("s_suppkey").alias("user_id"))
+    pairs = pairs.unionAll(s.join(reports, s.s_suppkey == reports.student_id).select("report_id", F.col("s_suppkey").alias("user_id"))).distinct()
+    return meals.push_log(reports, users, pairs.withColumn("ok", (F.col("report_id") + F.col("user_id")) % 3 == 0))
+
+
+@query("""
+    SELECT o_orderkey AS image_id, coalesce(l_linenumber, 0) AS region FROM orders
+    LEFT JOIN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 40) ON l_orderkey = o_orderkey
+""")
+def regions_of_images(spark, d):
+    """V7: orders as images, large lines as regions; images without any are taken whole."""
+    regions = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("region"))
+    return retrieval.regions_or_whole(table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id")), regions).na.fill(0, ["region"])
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS low FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_discount * 10 < 0.6 GROUP BY 1")
+def low_confidence_days(spark, d):
+    """Recognitions of low confidence by the day of their image."""
+    l = table(spark, d, "lineitem").where(numbers.low_confidence(F.col("l_discount") * 10)).select("l_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("day").agg(F.count("*").alias("low"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE nullif(p_size % 4, 0) IS NULL")
+def parts_to_analyse(spark, d):
+    """Active dishes without nutrients, as a filter instead of pages."""
+    return table(spark, d, "part").withColumn("calories", F.when(F.col("p_size") % 4 != 0, F.col("p_size"))).where("calories IS NULL").select("p_partkey", "p_name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (3, 5, 24)")
+def nations_by_ids(spark, d):
+    """Rows of given ids; a repeated and an unknown id add none. The ids are the feature."""
+    return by_ids(table(spark, d, "nation"), "n_nationkey", [5, 3, 3, 24, 999]).select("n_nationkey", "n_name")

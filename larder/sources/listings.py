@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larder.operators.merge import last_of
+
 RECORDINGS = "filename string, start_time string, end_time string, download_url string, size bigint"
 
 
@@ -56,16 +58,32 @@ def recordings(answers: DataFrame, column: str = "xml") -> DataFrame:
 
 
 def channels(streams: DataFrame, stream: str = "stream_id", order: str = "pos") -> DataFrame:
-    """One stream per channel, the channel being its id less two characters: the first listed."""
-    channel = F.expr(f"left({stream}, greatest(length({stream}) - 2, 0))")
+    """One stream per channel, the channel being its id less two characters (an id of two or fewer is the
+    channel itself): the first listed. Streams without an id go (S9)."""
+    trimmed = F.trim(stream)
+    channel = F.when(F.length(trimmed) > 2, F.substring(trimmed, F.lit(1), F.length(trimmed) - 2)).otherwise(trimmed)
     w = Window.partitionBy("channel_id").orderBy(order)
-    return streams.withColumn("channel_id", channel).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    first = streams.where(trimmed != "").withColumn("channel_id", channel).withColumn("_n", F.row_number().over(w))
+    return first.where("_n = 1").drop("_n")
+
+
+def last_channels(listed: DataFrame, channel: str = "channel_id", order: str = "pos") -> DataFrame:
+    """Of each channel the last listed, its id trimmed; blank ids go."""
+    named = listed.withColumn(channel, F.trim(channel)).where(F.col(channel) != "")
+    return last_of(named, [channel], [F.col(order)])
+
+
+def channel_name(channel: Column, name: Column) -> Column:
+    """The name of a channel, trimmed; without one a name made of its id."""
+    # fixed values: the default names
+    default = F.when(channel == "1", "主通道").otherwise(F.concat(F.lit("通道 "), channel))
+    return F.when(F.trim(F.coalesce(name, F.lit(""))) != "", F.trim(name)).otherwise(default)
 
 
 def numeric_first(column: str) -> list[Column]:
-    """An order that puts numbers first, by value, then texts."""
-    number = F.col(column).try_cast("bigint")
-    return [number.isNull(), number, F.col(column)]
+    """An order that puts ids of digits alone first, by value, then texts."""
+    digits = F.col(column).rlike("^[0-9]+$")
+    return [~digits, F.when(digits, F.col(column).try_cast("decimal(38,0)")), F.col(column)]
 
 
 def active_source(sources: DataFrame) -> DataFrame:
