@@ -63,15 +63,16 @@ def frequent_items(logs: DataFrame, key: str, names: DataFrame, item: str = "ite
     return top(counts, k, [key], [F.desc("days"), F.col(item)], "rank").join(names, item)
 
 
-def ratio_alerts(averages: DataFrame, key: str, recommended: dict[str, float], low: float = 0.6, high: float = 1.5, least_days: int = 3) -> DataFrame:
+def ratio_alerts(averages: DataFrame, key: str, recommended: dict[str, float], low: float = 0.6, high: float = 1.5, least_days: int = 3, digits: int | None = 2) -> DataFrame:
     """(key, ordinal, nutrient, type, ratio): a row for each nutrient far from its recommendation, for
-    people with `least_days` days (A11)."""
+    people with `least_days` days (A11). The ratio is rounded, unless `digits` is None."""
     long = averages.where(F.col("meal_days") >= least_days).select(
         key,
         F.posexplode(F.array(*(F.struct(F.lit(n).alias("nutrient"), (F.col(n) / r).alias("ratio")) for n, r in recommended.items()))).alias("ordinal", "x"),
     )
     kind = F.when(F.col("x.ratio") < low, "deficiency").when(F.col("x.ratio") > high, "excess")
-    return long.select(key, "ordinal", "x.nutrient", kind.alias("type"), half_even(F.col("x.ratio"), 2).alias("ratio")).where("type is not null")
+    ratio = F.col("x.ratio") if digits is None else half_even(F.col("x.ratio"), digits)
+    return long.select(key, "ordinal", "x.nutrient", kind.alias("type"), ratio.alias("ratio")).where("type is not null")
 
 
 def score(recommended: dict[str, float]) -> Column:

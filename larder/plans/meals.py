@@ -34,6 +34,14 @@ MEAL_REMARK_MANY = (4, "info", "菜品丰富")
 MEAL_REMARK_FEW = (1, "suggestion", "建议增加菜品")
 MEAL_REMARK_NONE = ("success", "营养均衡")
 
+# Texts of alerts (nutrient, percent of the recommendation), and summaries of reports of a person
+# (name, days with meals, days, score, then the first alert), of a class (id, start, end) and as sent (start, end, score).
+ALERT_TEXTS = {"deficiency": "%s摄入不足（仅达到推荐量的%d%%）", "excess": "%s摄入超标（达到推荐量的%d%%）"}
+PERSON_SUMMARY = "%s本期就餐%d/%d天，综合评分%d分"
+SUMMARY_ALERT = "，%s"
+CLASS_SUMMARY = "班级 %s 营养报告 %s - %s"
+PUSH_SUMMARY = "%s 至 %s | 综合评分：%s分"
+
 
 def image_totals(images: DataFrame, recognitions: DataFrame, dishes: DataFrame) -> DataFrame:
     """(image_id, image_time, total) of images that may be matched: identified, and no candidates."""
@@ -87,24 +95,45 @@ def meal_remarks(dishes: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit(MEAL_REMARK_NONE[0]).alias("type"), F.lit(MEAL_REMARK_NONE[1]).alias("title"))))
 
 
+def alert_message(nutrient: Column, kind: Column, ratio: Column) -> Column:
+    """What an alert says."""
+    percent = (ratio * 100).cast("int")
+    return F.when(kind == "deficiency", F.format_string(ALERT_TEXTS["deficiency"], nutrient, percent)).when(kind == "excess", F.format_string(ALERT_TEXTS["excess"], nutrient, percent))
+
+
+def class_summary(class_id: Column, start: Column, end: Column) -> Column:
+    """The summary of a class's report."""
+    return F.format_string(CLASS_SUMMARY, class_id.cast("string"), start.cast("string"), end.cast("string"))
+
+
+def push_summary(start: Column, end: Column, score: Column) -> Column:
+    """The line that goes to recipients."""
+    return F.format_string(PUSH_SUMMARY, start.cast("string"), end.cast("string"), score.cast("string"))
+
+
 def personal_reports(people: DataFrame, daily: DataFrame, dishes: DataFrame, start, end) -> DataFrame:
     """One row per person: days, means, score, alerts, five most frequent dishes, advice, summary (A9-A12,
-    F25). people: (student_id, name), daily: as logs, dishes: (id, name)."""
+    F25). people: (student_id, name), daily: as logs, dishes: (id, name). An alert's message gives the whole
+    percent below the ratio; a null name is an empty one in the summary."""
     within = daily.where(F.col("log_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     means = A.period_averages(within, people, "student_id", NUTRIENTS)
-    alerts = A.ratio_alerts(means, "student_id", RECOMMENDED).groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "nutrient", "type", "ratio"))).alias("alerts"))
+    alerts = A.ratio_alerts(means, "student_id", RECOMMENDED, digits=None)
+    alerts = alerts.withColumns({"ratio": half_even(F.col("ratio"), 2), "message": alert_message(F.col("nutrient"), F.col("type"), F.col("ratio"))})
+    alerts = alerts.groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "nutrient", "type", "ratio", "message"))).alias("alerts"))
     often = A.frequent_items(within, "student_id", dishes.select(F.col("id").alias("item_id"), F.col("name").alias("dish")))
     often = often.groupBy("student_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dish", "days"))), lambda x: F.struct(x["dish"].alias("name"), x["days"].alias("count"))).alias("top_dishes"))
     out = people.join(means, "student_id").join(alerts, "student_id", "left").join(often, "student_id", "left")
     out = out.withColumns({"score": A.score(RECOMMENDED), "suggestions": advice(), "total_days": F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1})
-    return out.withColumn("summary", F.format_string("%d/%d days, score %d, %d alerts", F.col("meal_days"), F.col("total_days"), F.col("score"), F.coalesce(F.size("alerts"), F.lit(0))))
+    said = F.format_string(PERSON_SUMMARY, F.coalesce("name", F.lit("")), F.col("meal_days"), F.col("total_days"), F.col("score"))
+    first = F.coalesce(F.format_string(SUMMARY_ALERT, F.get("alerts.message", F.lit(0))), F.lit(""))
+    return out.withColumn("summary", F.concat(said, F.when(F.size("alerts") > 0, first).otherwise(F.lit(""))))
 
 
 def class_reports(people: DataFrame, reports: DataFrame) -> DataFrame:
     """One row per class of active people, with those flagged, masked (A13). people: (student_id, name,
     class_id, is_active), reports: as personal_reports."""
     each = people.where("is_active").select("student_id", "class_id", F.col("name").alias("person")).join(reports.drop("name"), "student_id")
-    flagged = F.when(F.size("alerts") > 0, F.struct("student_id", masked(F.col("person")).alias("name_masked"), "score", F.col("alerts.type").alias("types")))
+    flagged = F.when(F.size("alerts") > 0, F.struct("student_id", masked(F.col("person")).alias("name_masked"), "score", F.col("alerts.type").alias("types"), F.col("alerts.message").alias("alerts")))
     return each.groupBy("class_id").agg(
         F.count("*").alias("student_count"), *(half_even(F.avg(n), 1).alias(n) for n in NUTRIENTS),
         half_even(F.avg("score"), 0).cast("int").alias("class_avg_score"), F.array_sort(F.collect_list(flagged)).alias("flagged_students"),
