@@ -41,6 +41,8 @@ PERSON_SUMMARY = "%s本期就餐%d/%d天，综合评分%d分"
 SUMMARY_ALERT = "，%s"
 CLASS_SUMMARY = "班级 %s 营养报告 %s - %s"
 PUSH_SUMMARY = "%s 至 %s | 综合评分：%s分"
+# Title of a message with a person's name and without, and its second line without alerts.
+PUSH_TITLE, PUSH_TITLE_OTHER, PUSH_SUBTITLE = "[周报] %s 本周营养摄入分析", "[报告] %s", "营养摄入均衡，请继续保持"
 
 
 def image_totals(images: DataFrame, recognitions: DataFrame, dishes: DataFrame) -> DataFrame:
@@ -111,6 +113,12 @@ def push_summary(start: Column, end: Column, score: Column) -> Column:
     return F.format_string(PUSH_SUMMARY, start.cast("string"), end.cast("string"), score.cast("string"))
 
 
+def push_heading(name: Column, target: Column, messages: Column) -> Column:
+    """(title, subtitle) of the message to recipients: the subtitle is the first alert's."""
+    title = F.when(F.coalesce(name, F.lit("")) != "", F.format_string(PUSH_TITLE, name)).otherwise(F.format_string(PUSH_TITLE_OTHER, target.cast("string")))
+    return F.struct(title.alias("title"), F.coalesce(F.get(messages, F.lit(0)), F.lit(PUSH_SUBTITLE)).alias("subtitle"))
+
+
 def personal_reports(people: DataFrame, daily: DataFrame, dishes: DataFrame, start, end) -> DataFrame:
     """One row per person: days, means, score, alerts, five most frequent dishes, advice, summary (A9-A12,
     F25). people: (student_id, name), daily: as logs, dishes: (id, name). An alert's message gives the whole
@@ -143,9 +151,10 @@ def class_reports(people: DataFrame, reports: DataFrame) -> DataFrame:
 def push_log(reports: DataFrame, users: DataFrame, deliveries: DataFrame) -> DataFrame:
     """(report_id, sent, failed, push_status): who a report goes to, and how that went.
 
-    reports: (report_id, student_id, class_id), users: (user_id, role, student_ids, managed_class_ids),
-    deliveries: (report_id, user_id, ok).
+    reports: (report_id, student_id, class_id), users: (user_id, role, is_active, student_ids,
+    managed_class_ids), deliveries: (report_id, user_id, ok). Only active users are recipients, each once.
     """
+    users = users.where("is_active")
     parents = users.where("role = 'parent'").select("user_id", F.explode("student_ids").alias("student_id"))
     teachers = users.where("role = 'teacher'").select("user_id", F.explode("managed_class_ids").alias("class_id"))
     to = reports.join(parents, "student_id").select("report_id", "user_id").unionByName(reports.join(teachers, "class_id").select("report_id", "user_id")).distinct()

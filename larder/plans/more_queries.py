@@ -525,7 +525,7 @@ def saved_image_names(spark, d):
 
 
 @query("""
-    WITH u AS (SELECT s_suppkey AS user_id, s_nationkey FROM supplier),
+    WITH u AS (SELECT s_suppkey AS user_id, s_nationkey FROM supplier WHERE s_acctbal > 1000),
     t AS (SELECT DISTINCT c_custkey AS report_id, user_id FROM customer, u WHERE (user_id % 2 = 0 AND user_id = c_custkey) OR (user_id % 2 = 1 AND s_nationkey = c_nationkey)),
     n AS (SELECT report_id, count(*) FILTER ((report_id + user_id) % 3 = 0) AS sent, count(*) FILTER ((report_id + user_id) % 3 <> 0) AS failed FROM t GROUP BY 1)
     SELECT c_custkey AS report_id, coalesce(sent, 0) AS sent, coalesce(failed, 0) AS failed,
@@ -536,7 +536,7 @@ def push_recipients(spark, d):
     """A report a customer; even suppliers are parents of one, odd ones teachers of a nation."""
     s = table(spark, d, "supplier")
     parent = F.col("s_suppkey") % 2 == 0
-    users = s.select(F.col("s_suppkey").alias("user_id"), F.when(parent, "parent").otherwise("teacher").alias("role"), F.array("s_suppkey").alias("student_ids"), F.array("s_nationkey").alias("managed_class_ids"))
+    users = s.select(F.col("s_suppkey").alias("user_id"), F.when(parent, "parent").otherwise("teacher").alias("role"), (F.col("s_acctbal") > 1000).alias("is_active"), F.array("s_suppkey").alias("student_ids"), F.array("s_nationkey").alias("managed_class_ids"))
     reports = table(spark, d, "customer").select(F.col("c_custkey").alias("report_id"), F.col("c_custkey").alias("student_id"), F.col("c_nationkey").alias("class_id"))
     # of the deliveries only those of a nation's own suppliers and customers, or of equal numbers, are asked for
     pairs = s.join(reports, s.s_nationkey == reports.class_id).select("report_id", F.col("s_suppkey").alias("user_id"))

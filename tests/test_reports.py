@@ -62,12 +62,17 @@ def test_texts_of_reports(spark):
     said = lambda c: one.select(c).first()[0]
     assert said(meals.alert_message(F.lit("fat"), F.lit("excess"), F.lit(1.999))) == "fat摄入超标（达到推荐量的199%）"
     assert said(meals.class_summary(F.lit(7), F.lit(DAY), F.lit(DAY))) == "班级 7 营养报告 2024-03-04 - 2024-03-04"
+    heading = meals.push_heading(F.lit("Bo"), F.lit("3"), F.array(F.lit("x"), F.lit("y")))
+    assert tuple(said(heading)) == ("[周报] Bo 本周营养摄入分析", "x")
+    heading = meals.push_heading(F.lit(None).cast("string"), F.lit("3"), F.array().cast("array<string>"))
+    assert tuple(said(heading)) == ("[报告] 3", "营养摄入均衡，请继续保持")
     assert said(meals.push_summary(F.lit(DAY), F.lit(DAY), F.lit(75))) == "2024-03-04 至 2024-03-04 | 综合评分：75分"
 
 
 def test_push_log(spark):
     users = spark.createDataFrame(
-        [(1, "parent", [5], None), (2, "teacher", None, [9]), (3, "student", [5], [9]), (4, "parent", [6, 6], None)], "user_id long, role string, student_ids array<long>, managed_class_ids array<long>"
+        [(1, "parent", True, [5], None), (2, "teacher", True, None, [9]), (3, "student", True, [5], [9]), (4, "parent", True, [6, 6], None), (5, "parent", False, [7], None)],
+        "user_id long, role string, is_active boolean, student_ids array<long>, managed_class_ids array<long>",
     )
     reports = spark.createDataFrame([(1, 5, 9), (2, 6, 8), (3, 7, 8)], "report_id long, student_id long, class_id long")
     deliveries = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 9, True)], "report_id long, user_id long, ok boolean")
