@@ -116,3 +116,79 @@ def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_warc_derivatives": op3_warc_derivatives}
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.vector_codes import code_digest
+
+    return code_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from larder.llm.repair import documents_of, read_shards, write_shards
+
+    docs = _table(spark, sf_dir, "documents")
+    _, path = write_shards(docs, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return documents_of(read_shards(spark, path))
+
+
+QUERIES |= {"op11_vector_codes": op11_vector_codes, "op12_repair_shards": op12_repair_shards}
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Parts of four components (vectors of 64), 16 codebooks of 64 entries."""
+    places = range(4)
+    distance = " + ".join(f"(x{i} - c{i}) * (x{i} - c{i})" for i in places)
+    steps = [f"""
+        v AS (SELECT vec_id, label, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+        u AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS pos, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS n FROM v),
+        x AS (SELECT vec_id, any_value(label) AS label, pos // 4 AS p, {', '.join(f'max(n) FILTER (pos % 4 = {i}) AS x{i}' for i in places)} FROM u GROUP BY vec_id, pos // 4),
+        o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v),
+        c0 AS (SELECT p, e, {', '.join(f'x{i} AS c{i}' for i in places)} FROM x JOIN o USING (vec_id) WHERE e < 64)"""]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT vec_id, p, min(({distance}, e)) AS m FROM x JOIN c{r} USING (p) GROUP BY vec_id, p)")
+        if r < rounds:
+            means = ", ".join(f"coalesce(floor(sum(x{i}) / count(x{i})), any_value(c{i}))::BIGINT AS c{i}" for i in places)
+            steps.append(f"c{r + 1} AS (SELECT c.p, c.e, {means} FROM c{r} c LEFT JOIN (a{r} JOIN x USING (vec_id, p)) ON c.p = x.p AND c.e = m[2] GROUP BY c.p, c.e)")
+    books = "string_agg(" + " || ',' || ".join(f"c{i}" for i in places) + ", ',' ORDER BY p, e)"
+    return f"""
+        WITH {', '.join(steps)},
+        f AS (SELECT vec_id, string_agg(printf('%02x', m[2]), '' ORDER BY p) AS code, sum(m[1])::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256({books}) FROM c{rounds}) AS codebooks_sha256
+        FROM f JOIN v USING (vec_id)
+    """
+
+
+SQL["op11_vector_codes"] = _codes_sql()
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from larder.llm.hard_negatives import hard_negatives
+
+    vec_id, label = F.col("vec_id"), F.col("label")
+    rows = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        F.transform("embedding", lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(256 * x.cast("double")))).cast("array<double>").alias("vector"),
+    )
+    found = hard_negatives(rows, vec_id % 50 == 0)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("positive_score", "negative_score")})
+
+
+QUERIES["op13_hard_negatives"] = op13_hard_negatives
+SQL["op13_hard_negatives"] = """
+    WITH k AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+               FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+          FROM k a JOIN k b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+           id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3
+"""
