@@ -41,9 +41,10 @@ def _spelled(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, text:
     return text[np.repeat(starts[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    """A multiplicative hash of `bits` bits."""
-    return (keys * np.int64(-7046029254386353131)) >> np.int64(64 - bits) & np.int64((1 << bits) - 1)
+def _hashed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """32 bits of a pair, whose upper ones choose a slot."""
+    h = left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)
+    return (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
 
 
 def _taken(places: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -64,49 +65,65 @@ def compress(ids: np.ndarray, counts: np.ndarray, least: int = 4, band: float =
 
     Rounds go down through bands of frequency: a round takes all pairs within documents that are met at
     least 1 / `band` as often as the round before asked for, the more frequent ones going first where pairs
-    overlap, and the last ones ask for `least` until no pair is left that is met so often. Counts are exact;
-    hashed counts, which are never lower, only tell beforehand which places can matter.
+    overlap, and the last ones ask for `least` until no pair is left that is met so often. Counts are exact:
+    hashed counts, which are never lower, only tell beforehand which places can matter, and once a round
+    has asked for `least`, only pairs with a new symbol and places passed over can matter in the next.
     """
     terminals = int(ids.max(initial=0)) + 1
-    now = ids.astype(np.int64)
+    now = ids.astype(np.uint32)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(counts)[counts > 0] - 1] = True
-    rules, n_symbols, asked = [np.zeros((0, 2), np.int64)], terminals, 0.0
+    rules, n_symbols, asked, look = [np.zeros((0, 2), np.int64)], terminals, 0.0, None
     while len(now) > 1:
-        keys = (now[:-1] << 24) | now[1:]
-        ends = np.flatnonzero(last[:-1])
-        keys[ends] = -1 - ends
-        slots = _slots(keys, 20)
-        about = np.bincount(slots, minlength=1 << 20)
-        asked = max(least, (asked or int(about.max())) / band)
-        places = np.flatnonzero(about[slots] >= asked)
-        hot = keys[places]
+        if look is None:
+            h = _hashed(now[:-1], now[1:])
+            slots = (h >> np.uint32(12)).astype(np.int64)
+            about = np.bincount(slots, minlength=1 << 20)
+            asked = max(least, (asked or int(about.max())) / band)
+            places = np.flatnonzero((about[slots] >= asked) & ~last[:-1])
+        else:
+            places = look[~last[look]]
+        hot = (now[places].astype(np.int64) << 24) | now[places + 1]
         some = np.sort(hot)
-        edges = np.flatnonzero(np.diff(some, prepend=np.iinfo(np.int64).min))
+        edges = np.flatnonzero(np.diff(some, prepend=-1))
         times = np.diff(edges, append=len(some))
         chosen = np.flatnonzero(times >= asked)
         if not len(chosen):
             if asked <= least:
                 break
             continue
-        chosen = chosen[np.argsort(-times[chosen], kind="stable")][: _LIMIT - n_symbols]
+        order = np.argsort(-times[chosen], kind="stable")
+        chosen = np.sort(chosen[order[: _LIMIT - n_symbols]])
         pairs = some[edges[chosen]]
-        # a table of hashed keys finds the places of chosen pairs; of two pairs in one slot the rarer waits
-        bits = max(12, int(4 * len(pairs)).bit_length())
-        number = np.full(1 << bits, -1, np.int64)
-        number[_slots(pairs, bits)[::-1]] = np.arange(len(pairs))[::-1]
-        rank = number[_slots(hot, bits)]
-        found = np.flatnonzero((rank >= 0) & (pairs[rank] == hot))
-        places, rank = places[found], rank[found]
-        taken = _taken(places, rank)
-        places, rank = places[taken], rank[taken]
-        used = np.bincount(rank, minlength=len(pairs)) > 0
+        rank_of = np.empty(len(pairs), np.int64)
+        rank_of[np.argsort(-times[chosen], kind="stable")] = np.arange(len(pairs))
+        if look is None:  # a table of hashes finds the places of chosen pairs; of two pairs in one slot one waits
+            shift = np.uint32(32 - min(20, max(12, int(4 * len(pairs)).bit_length())))
+            number = np.full(1 << (32 - int(shift)), -1, np.int64)
+            own = _hashed((pairs >> 24).astype(np.uint32), (pairs & (_LIMIT - 1)).astype(np.uint32)) >> shift
+            number[own] = np.arange(len(pairs))
+            waiting = (number[own] != np.arange(len(pairs))).any()
+            which = number[h[places] >> shift]
+        else:
+            which = np.minimum(np.searchsorted(pairs, hot), len(pairs) - 1)
+        found = np.flatnonzero((which >= 0) & (pairs[which] == hot))
+        at, which = places[found], which[found]
+        taken = _taken(at, rank_of[which])
+        left = places if look is None and waiting else np.delete(at, taken)
+        at, which = at[taken], which[taken]
+        used = np.zeros(len(pairs), bool)
+        used[which] = True
         if not used.any():  # no symbol is left for a rule
             break
-        now[places] = (np.cumsum(used) - 1 + n_symbols)[rank]
-        last[places] = last[places + 1]
+        now[at] = (np.cumsum(used) - 1 + n_symbols)[which]
+        last[at] = last[at + 1]
         keep = np.ones(len(now), bool)
-        keep[places + 1] = False
+        keep[at + 1] = False
+        if asked <= least:
+            moved = np.cumsum(keep) - 1
+            near = np.zeros(int(moved[-1]) + 1, bool)
+            near[moved[at]] = near[np.maximum(moved[at] - 1, 0)] = near[moved[left[keep[left]]]] = True
+            look = np.flatnonzero(near[:-1])
         now, last = now[keep], last[keep]
         rules.append(np.stack((pairs >> 24, pairs & (_LIMIT - 1)), axis=1)[used])
         n_symbols += len(rules[-1])
@@ -201,13 +218,13 @@ def write_shards(docs: DataFrame, json_file: str, rank_file: str | None, pattern
     """The ids of every row of `docs` (doc_id long, text string), `end_id` after each, as a table of
     SHARD_SCHEMA, and its path. A null text is empty.
 
-    Documents go in ascending order of doc_id, null ids first, rows of one id by a hash of their text and
-    then as they come. They are dealt into ranges of that whole order, so that rows alike are no hot spot,
-    and sorted there; a range is read as a stream, and a shard ends with the document that brings it to
-    `shard_ids` ids. A task holds a shard's ids and one batch of texts.
+    Documents go in ascending order of doc_id, null ids first, rows of one id as they come. They are dealt
+    into ranges of that whole order, so that an id that repeats is no hot spot, and sorted there; a range
+    is read as a stream, and a shard ends with the document that brings it to `shard_ids` ids. A task holds
+    a shard's ids and one batch of texts.
     """
-    order = ["doc_id", "hash", "row"]
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "row"]
+    ordered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

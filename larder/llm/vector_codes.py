@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.llm.common import fresh, sized, written
 
@@ -176,7 +177,7 @@ def decode(codes: DataFrame, books: Codebooks, scale: int = 256, code: str = "co
             found = [None if b is None else flat[np.arange(len(flat)), np.frombuffer(b, np.uint8)].ravel() for b in batch.column(code).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names, "vector"])
 
-    return codes.drop("vector").mapInArrow(of, codes.drop("vector").schema.add("vector", "array<double>"))
+    return codes.drop("vector").mapInArrow(of, codes.drop("vector").schema.add("vector", T.ArrayType(T.DoubleType())))
 
 
 def code_digest(vectors: DataFrame, label: str = "label", **options) -> DataFrame:
