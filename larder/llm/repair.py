@@ -32,6 +32,7 @@ MAGIC = b"LRP1"
 _HEAD = struct.Struct("<4s4I")
 SHARD_SCHEMA = "part long, shard long, start long, n_ids long, n_docs long, first_doc long, last_doc long, doc_ids array<long>, n_symbols long, n_rules long, grammar binary"
 _LIMIT = 1 << 24
+_LAST = np.uint32(1 << 31)  # marks a document's last symbol while a shard is compressed
 
 
 def _spelled(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -60,7 +61,7 @@ def _taken(places: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return left[(np.arange(len(left)) - run) % 2 == 0]
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, least: int = 4, band: float = 4.0) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, counts: np.ndarray, least: int = 4, band: float = 8.0) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(terminals, rules, symbols, symbols of each document) of the `ids` of documents, `counts` of them each.
 
     Rounds go down through bands of frequency: a round takes all pairs within documents that are met at
@@ -71,19 +72,18 @@ def compress(ids: np.ndarray, counts: np.ndarray, least: int = 4, band: float =
     """
     terminals = int(ids.max(initial=0)) + 1
     now = ids.astype(np.uint32)
-    last = np.zeros(len(ids), bool)
-    last[np.cumsum(counts)[counts > 0] - 1] = True
+    now[np.cumsum(counts)[counts > 0] - 1] |= _LAST
     rules, n_symbols, asked, look = [np.zeros((0, 2), np.int64)], terminals, 0.0, None
     while len(now) > 1:
         if look is None:
-            h = _hashed(now[:-1], now[1:])
+            h = _hashed(now[:-1], now[1:] & ~_LAST)
             slots = (h >> np.uint32(12)).astype(np.int64)
-            about = np.bincount(slots, minlength=1 << 20)
+            about = np.bincount(slots, minlength=1 << 20).astype(np.int32)
             asked = max(least, (asked or int(about.max())) / band)
-            places = np.flatnonzero((about[slots] >= asked) & ~last[:-1])
+            places = np.flatnonzero((about[slots] >= asked) & (now[:-1] < _LAST))
         else:
-            places = look[~last[look]]
-        hot = (now[places].astype(np.int64) << 24) | now[places + 1]
+            places = look[now[look] < _LAST]
+        hot = (now[places].astype(np.int64) << 24) | (now[places + 1] & ~_LAST)
         some = np.sort(hot)
         edges = np.flatnonzero(np.diff(some, prepend=-1))
         times = np.diff(edges, append=len(some))
@@ -115,8 +115,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, least: int = 4, band: float =
         used[which] = True
         if not used.any():  # no symbol is left for a rule
             break
-        now[at] = (np.cumsum(used) - 1 + n_symbols)[which]
-        last[at] = last[at + 1]
+        now[at] = (np.cumsum(used) - 1 + n_symbols).astype(np.uint32)[which] | now[at + 1] & _LAST
         keep = np.ones(len(now), bool)
         keep[at + 1] = False
         if asked <= least:
@@ -124,12 +123,12 @@ def compress(ids: np.ndarray, counts: np.ndarray, least: int = 4, band: float =
             near = np.zeros(int(moved[-1]) + 1, bool)
             near[moved[at]] = near[np.maximum(moved[at] - 1, 0)] = near[moved[left[keep[left]]]] = True
             look = np.flatnonzero(near[:-1])
-        now, last = now[keep], last[keep]
+        now = now[keep]
         rules.append(np.stack((pairs >> 24, pairs & (_LIMIT - 1)), axis=1)[used])
         n_symbols += len(rules[-1])
     symbols_of = np.zeros(len(counts), np.int64)
-    symbols_of[counts > 0] = np.diff(np.flatnonzero(last), prepend=-1)
-    return terminals, np.concatenate(rules), now, symbols_of
+    symbols_of[counts > 0] = np.diff(np.flatnonzero(now >= _LAST), prepend=-1)
+    return terminals, np.concatenate(rules), now & ~_LAST, symbols_of
 
 
 def _packed(symbols: np.ndarray) -> bytes:
