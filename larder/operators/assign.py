@@ -9,62 +9,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ASSIGNED = "record_id long, image_id long, status string, time_diff double, price_diff double"
-
-
-def islands(points: DataFrame, time: str, seconds: float, by: list[str]) -> DataFrame:
-    """`points` with island: a number that changes where the gap to the point before exceeds `seconds`.
-
-    Gaps are found within (by, day), and days are stitched through their first and last points, a table
-    of one row per day: no window runs over all rows.
-    """
-    at = F.unix_micros(F.col(time).cast("timestamp"))
-    gap = int(seconds * 1_000_000)
-    p = points.withColumns({"_at": at, "_day": F.to_date(F.col(time).cast("timestamp"))})
-    inner = Window.partitionBy(*by, "_day").orderBy("_at")
-    p = p.withColumn("_break", (F.col("_at") - F.lag("_at").over(inner) > gap).cast("int"))
-    days = p.groupBy(*by, "_day").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.sum("_break").alias("_n"))
-    order = Window.partitionBy(*by).orderBy("_day")
-    start = F.coalesce(F.col("_first") - F.lag("_last").over(order) > gap, F.lit(False)).cast("int")
-    days = days.withColumn("_start", start).withColumn("_base", F.sum(F.coalesce("_n", F.lit(0)) + F.col("_start")).over(order) - F.coalesce("_n", F.lit(0)))
-    p = p.join(days.select(*by, "_day", "_base"), [*by, "_day"])
-    so_far = F.sum(F.coalesce("_break", F.lit(0))).over(inner.rangeBetween(Window.unboundedPreceding, 0))
-    return p.withColumn("island", F.col("_base") + so_far).drop("_at", "_day", "_break", "_base")
-
-
-def _fold(pdf: pd.DataFrame, seconds: float, price_tolerance: float) -> pd.DataFrame:
-    records = pdf[pdf["is_record"]].sort_values(["at", "id"])
-    images = pdf[~pdf["is_record"]].sort_values(["at", "id"])
-    times, ids, totals = images["at"].to_numpy(), images["id"].to_numpy(), images["value"].to_numpy()
-    free = [True] * len(images)
-    out = []
-    for at, record, amount in zip(records["at"], records["id"], records["value"]):
-        low, high = times.searchsorted(at - seconds * 1e6), times.searchsorted(at + seconds * 1e6, side="right")
-        best = min(((abs(amount - totals[j]), abs(at - times[j]) / 1e6, ids[j], j) for j in range(low, high) if free[j]), default=None)
-        if best is None:
-            out.append((record, None, "unmatched_record", None, None))
-            continue
-        matched = best[0] <= price_tolerance
-        if matched:
-            free[best[3]] = False
-        out.append((record, best[2], "matched" if matched else "time_matched_only", best[1], best[0]))
-    return pd.DataFrame(out, columns=["record_id", "image_id", "status", "time_diff", "price_diff"])
-
+from larder.operators.nearest import nearest_in_band
+from larder.sources.scratch import Scratch, small
 
 def exclusive_match(records: DataFrame, images: DataFrame, seconds: float = 1.0, price_tolerance: float = 0.5, by: list[str] | None = None) -> DataFrame:
-    """ASSIGNED rows, one per record: as nearest_match, but an image that a record matched is gone for
-    later ones; images matched by time alone stay (J2).
+    """(record_id, image_id, status, time_diff, price_diff), one row per record: as nearest_match, but an
+    image that a record matched is gone for later ones; images matched by time alone stay (J2).
+
+    records: (record_id long, record_time, amount), images: (image_id long, image_time, total), and `by` in
+    both. Records go by time, then id.
 
-    records: (record_id, record_time, amount), images: (image_id, image_time, total), and `by` in both.
-    Records go by time, then id. Points further apart than the band can't touch one another, so each
-    island of them is folded alone; give `by` (a till, a lane) to keep islands small where traffic is dense.
+    All records ask at once for the best image that no earlier record has; the earliest that asks for an
+    image has it, and who loses one asks again. Nobody passes over what it could have, and what is lost goes
+    to an earlier record, so this ends where taking records one after another ends. A round costs the
+    records that still ask and the images near them; within a bucket of time losers are settled in the same
+    round. In the end those without an image look for the nearest that was still there at their turn.
     """
     by = by or []
-    side = lambda df, i, t, v, is_record: df.select(*by, F.col(i).alias("id"), F.col(t).alias("t"), F.coalesce(v, F.lit(0)).cast("double").alias("value"), F.lit(is_record).alias("is_record"))
-    points = side(records, "record_id", "record_time", "amount", True).unionByName(side(images, "image_id", "image_time", "total", False))
-    points = islands(points, "t", seconds, by).withColumn("at", F.unix_micros(F.col("t").cast("timestamp")))
-    fold = lambda pdf: _fold(pdf, seconds, price_tolerance)
-    return points.groupBy(*by, "island").applyInPandas(fold, ASSIGNED)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    scratch = Scratch(records.sparkSession)
+    r = records.select(*by, F.col("record_id").cast("long").alias("id"), micros("record_time").alias("at"), F.col("amount").cast("double").alias("value"))
+    i = images.select(*by, F.col("image_id").cast("long").alias("id"), micros("image_time").alias("at"), F.col("total").cast("double").alias("value"))
+    r, i = scratch.put(r, "records"), scratch.put(i, "images")
+
+    def there(held: DataFrame | None) -> DataFrame:
+        if held is None:
+            return i.withColumns({c: F.lit(None).cast("long") for c in ("until_at", "until_id")})
+        taken = held.select(F.col("image").alias("id"), "until_at", F.col("record").alias("until_id"))
+        return i.join(small(taken), "id", "left")
+
+    held, asking, turn = None, r, 0
+    while True:
+        first = turn == 0
+        times = asking.select(F.col("id").alias("record"), F.col("at").alias("until_at"))
+        asked = nearest_in_band(asking, there(held), seconds, by, most=price_tolerance, few=not first).join(times if first else small(times), "record")
+        asked = asked.select("image", "record", "until_at", "price_diff", "time_diff", F.lit(True).alias("new"))
+        asked = scratch.put(asked, "asked")
+        if not first and asked.isEmpty():
+            break
+        now = asked if held is None else held.withColumn("new", F.lit(False)).unionByName(asked.select(*held.columns, "new"))
+        best = now.groupBy("image").agg(F.min_by(F.struct("record", "until_at", "price_diff", "time_diff"), F.struct("until_at", "record")).alias("b")).select("image", "b.*")
+        # who asked or had an image, and has none now, asks again
+        before = held
+        held = scratch.put(best, f"held-{turn % 2}")  # `before` is still read below
+        lost = asked.select("record") if before is None else asked.select("record").unionAll(before.select("record"))
+        asking = scratch.put(r.join(lost.join(held.select("record"), "record", "left_anti"), F.col("id") == F.col("record"), "left_semi"), "asking")
+        turn += 1
+        if asking.isEmpty():
+            break
+    rest = r.join(held.select(F.col("record").alias("id")), "id", "left_anti")
+    near = nearest_in_band(rest, there(held), seconds, by)
+    found = held.select("record", "image", F.lit("matched").alias("status"), "time_diff", "price_diff").unionByName(near.withColumn("status", F.lit("time_matched_only")))
+    return r.select(F.col("id").alias("record_id")).join(found, F.col("record_id") == F.col("record"), "left").select(
+        "record_id", F.col("image").alias("image_id"), F.coalesce("status", F.lit("unmatched_record")).alias("status"), (F.col("time_diff") / 1_000_000).alias("time_diff"), "price_diff"
+    )
 
 
 def rematched(previous: DataFrame, new: DataFrame, keep_confirmed: bool = False) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from larder.functions.python import text_ratio
 from larder.functions.text import name_key
+from larder.operators.nearest import nearest_in_band
+from larder.sources.scratch import Scratch, small
 
 
 def _micros(column: str) -> Column:
@@ -45,26 +47,18 @@ def nearest_match(
     time_diff, price_diff), a row per record (J1, J3).
 
     status: matched within `price_tolerance`, time_matched_only beyond, unmatched_record without an image.
-    Ties: the nearer time, then the smaller image id. A null total is 0. The best image is an aggregate
-    (min_by a struct), so a record's candidates are reduced before they are shuffled and never sorted.
+    Ties: the nearer time, then the smaller image id. A null total is 0. The image is looked up in an index
+    of its bucket of time, so that a record writes a few rows however many images its band has.
     """
-    r = records.select(F.col(record_id).alias("record_id"), F.col(record_time).alias("_rt"), F.col(amount).alias("_amount"), *(by or []))
-    i = images.select(F.col(image_id).alias("image_id"), F.col(image_time).alias("_it"), F.coalesce(total, F.lit(0)).alias("_total"), *(by or []))
-    pairs = band_join(r, i, "_rt", "_it", seconds, by).select(
+    r = records.select(F.col(record_id).alias("record_id"), _micros(record_time).alias("at"), F.col(amount).cast("double").alias("value"), *(by or []))
+    i = images.select(F.col(image_id).cast("long").alias("id"), _micros(image_time).alias("at"), F.col(total).cast("double").alias("value"), *(by or []), *(F.lit(None).cast("long").alias(c) for c in ("until_at", "until_id")))
+    best = nearest_in_band(r.withColumn("id", F.col("record_id").cast("long")), i, seconds, by)
+    return r.select("record_id").join(best, F.col("record_id") == F.col("record"), "left").select(
         "record_id",
-        F.struct(
-            F.abs(F.col("_amount") - F.col("_total")).alias("price_diff"),
-            (F.abs(_micros("_rt") - _micros("_it")) / 1_000_000).alias("time_diff"),
-            "image_id",
-        ).alias("m"),
-    )
-    best = pairs.groupBy("record_id").agg(F.min("m").alias("m"))
-    return r.select("record_id").join(best, "record_id", "left").select(
-        "record_id",
-        "m.image_id",
-        F.when(F.col("m").isNull(), "unmatched_record").when(F.col("m.price_diff") <= price_tolerance, "matched").otherwise("time_matched_only").alias("status"),
-        "m.time_diff",
-        "m.price_diff",
+        F.col("image").alias("image_id"),
+        F.when(F.col("image").isNull(), "unmatched_record").when(F.col("price_diff") <= price_tolerance, "matched").otherwise("time_matched_only").alias("status"),
+        (F.col("time_diff") / 1_000_000).alias("time_diff"),
+        "price_diff",
     )
 
 
@@ -111,18 +105,43 @@ def members(users: DataFrame, array: str, key: str) -> DataFrame:
     return users.withColumn(key, F.explode(array))
 
 
+def dyadic(first: str, last: str) -> Column:
+    """Nodes (level, node) that cover the whole numbers from column `first` to column `last` without
+    overlap: node n of level l covers n * 2^l and the 2^l - 1 numbers after it. At most two a level."""
+    at = f"-shiftright(-{first}, l)", f"shiftright({last} + 1, l)"
+    left = f"CASE WHEN {at[0]} < {at[1]} AND {at[0]} & 1 = 1 THEN struct(l AS level, {at[0]} AS node) END"
+    right = f"CASE WHEN {at[0]} < {at[1]} AND {at[1]} & 1 = 1 THEN struct(l AS level, {at[1]} - 1 AS node) END"
+    levels = f"sequence(0, CAST(floor(log2({last} - {first} + 2)) AS INT))"
+    return F.expr(f"CASE WHEN {first} <= {last} THEN filter(flatten(transform({levels}, l -> array({left}, {right}))), x -> x IS NOT NULL) END")
+
+
+def spans_indexed(spans: DataFrame, start: str, end: str, index: str, width: int, by: list[str]) -> DataFrame:
+    """(by, level, node, _s, _e, index): where points look for the spans that hold them.
+
+    The cells of `width` where a span begins and ends stand there with its ends. Those between, which it
+    covers, stand as dyadic nodes, some two for each doubling of its length; of all spans that cover a node
+    only the smallest index stays.
+    """
+    s = spans.where(F.col(start) <= F.col(end)).select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(index).alias(index))
+    s = s.withColumns({"_a": F.floor(F.col("_s") / width), "_b": F.floor(F.col("_e") / width)})
+    ends = s.select(*by, F.lit(0).alias("level"), F.explode(F.array_distinct(F.array("_a", "_b"))).alias("node"), "_s", "_e", index)
+    between = s.withColumns({"_c": F.col("_a") + 1, "_d": F.col("_b") - 1}).select(*by, F.explode(dyadic("_c", "_d")).alias("n"), index)
+    whole = between.groupBy(*by, "n.level", "n.node").agg(F.min(index).alias(index)).select(*by, "level", "node", F.lit(None).alias("_s"), F.lit(None).alias("_e"), index)
+    return ends.unionByName(whole)
+
+
 def within_interval(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, index: str, width: int, by: list[str] | None = None) -> DataFrame:
     """Each point with the first span (smallest `index`) that holds it, ends included; null if none does
-    (J20, K14). Spans stand in each bucket of `width` that they touch, points in one."""
+    (J20, K14). Points look in their own cell of `width` and, where spans are longer than that, in the node
+    above it on each level that occurs; a span's rows grow with the logarithm of its length."""
     by = by or []
+    nodes = Scratch(points.sparkSession).put(spans_indexed(spans, start, end, index, width, by), "spans")
+    levels = sorted({0, *(r["level"] for r in nodes.select("level").distinct().collect())})  # 64 at most
     p = points.withColumn("_row", F.monotonically_increasing_id())
-    s = spans.select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(index).alias("_index")).withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width)))
-    )
-    keyed = p.withColumn("_bucket", F.floor(F.col(at) / width))
-    found = keyed.join(s, ["_bucket", *by], "left").groupBy(*points.columns, "_row").agg(
-        F.min(F.when(F.col(at).between(F.col("_s"), F.col("_e")), F.col("_index"))).alias(index)
-    )
+    level = F.explode(F.array(*map(F.lit, levels)))
+    keyed = p.withColumn("level", level).withColumn("node", F.expr(f"shiftright(floor({at} / {width}), level)"))
+    held = F.col("_s").isNull() | F.col(at).between(F.col("_s"), F.col("_e"))
+    found = keyed.join(nodes, ["level", "node", *by], "left").groupBy(*points.columns, "_row").agg(F.min(F.when(held, F.col(index))).alias(index))
     return found.drop("_row")
 
 
@@ -136,8 +155,10 @@ def effective_list(keys: DataFrame, custom: DataFrame, key: str, slot: str, fall
     out = keys.join(custom, key, "left").withColumn("ids", chosen).drop("slots")
     if fallback_all is None:
         return out
-    ids = fallback_all.agg(F.array_sort(F.collect_set("id")).alias("_all"))
-    return out.crossJoin(F.broadcast(ids)).withColumn("ids", F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.col("_all"))).drop("_all")  # one row
+    ids = fallback_all.agg(F.array_sort(F.collect_set("id")).alias("_all"))  # one row, as long as each row that it fills
+    most = 1_000_000
+    ids = F.broadcast(ids) if fallback_all.limit(most + 1).count() <= most else ids.hint("shuffle_replicate_nl")
+    return out.join(ids, how="cross").withColumn("ids", F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.col("_all"))).drop("_all")
 
 
 def fuzzy_names(rows: DataFrame, names: DataFrame, raw: str = "raw_name", name: str = "name", order: str = "pos", least: float = 0.72) -> DataFrame:
@@ -212,10 +233,12 @@ def contained_names(rows: DataFrame, names: DataFrame, raw: str, name: str, orde
     equal = left.join(right, F.col("_key") == F.col("_cand")).groupBy(raw).agg(F.min_by(name, order).alias(name))
     rest = left.join(equal, raw, "left_anti")
     # a name inside another shares two characters in a row with it, or is a character of it, or is empty
-    gram = lambda x, own, other: F.explode(F.array_append(_grams(x, 2.0, own, other), F.lit("any")))
-    blank = right.where("_cand = ''").isEmpty() and left.where("_key = ''").isEmpty()
-    meets = lambda df: df.where("_gram <> 'any'") if blank else df
-    pairs = meets(rest.withColumn("_gram", gram("_key", "key", "cand"))).join(meets(right.withColumn("_gram", gram("_cand", "cand", "key"))), "_gram")
-    pairs = pairs.where(F.contains("_cand", "_key") | F.contains("_key", "_cand"))
-    inside = pairs.groupBy(raw).agg(F.min_by(name, order).alias(name))
+    gram = lambda x, own, other: F.explode(_grams(x, 2.0, own, other))
+    pairs = rest.withColumn("_gram", gram("_key", "key", "cand")).join(right.withColumn("_gram", gram("_cand", "cand", "key")), "_gram")
+    first = F.min(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("m")
+    found = pairs.where(F.contains("_cand", "_key") | F.contains("_key", "_cand")).groupBy(raw).agg(first)
+    blank = right.where("_cand = ''").agg(first).where("m is not null")  # one row, inside every name
+    every = right.agg(first).where("m is not null")  # one row: a blank raw name is inside every name
+    found = found.unionByName(rest.select(raw).crossJoin(F.broadcast(blank))).unionByName(rest.where("_key = ''").select(raw).crossJoin(F.broadcast(every)))
+    inside = found.groupBy(raw).agg(F.min("m").alias("m")).select(raw, F.col("m.n").alias(name))
     return equal.unionByName(inside).groupBy(name).agg(F.min(raw).alias(raw))

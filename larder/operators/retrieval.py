@@ -6,17 +6,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from larder.functions.numbers import clamped
 from larder.functions.vectors import normalised
 from larder.operators.paging import top
+from larder.sources.scratch import Scratch, small
 
 HITS = "query_id long, item_id long, similarity double"
+_CELLS = 64
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float = 0.35, candidates: bool = False, most_bytes: int = 64 << 20) -> DataFrame:
+def top_k(
+    queries: DataFrame, index: DataFrame, k: int = 5, threshold: float = 0.35, candidates: bool = False, cell_items: int = 4096, block_queries: int = 8192, block_items: int = 65_536
+) -> DataFrame:
     """HITS: for each query the k most similar items of at least `threshold`.
 
     queries: (query_id, vector, candidate_ids array if `candidates`), index: (item_id, label, vector). The
@@ -24,55 +30,130 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float = 0
     these labels; an empty list sees all. Ties go to the smaller item id. Vectors that are null or hold nulls
     find nothing and aren't found; vectors meet those of their own length.
 
-    Queries are the small side: their size is checked, and in blocks of at most `most_bytes` each they
-    are sent to the index, which is scanned block by block and never shuffled. A task returns k hits a
-    query, so what is sorted in the end is k rows per query and task.
+    Both sides are dealt into cells, those near one pivot (one for each `cell_items` items, 64 at most), and
+    cells into blocks of bounded size. Queries and items of a pair of cells meet, unless pivots, radii and
+    norms say that no product can reach the threshold: a pair of blocks in a task, which returns k hits a
+    query. Items are copied once for each block of queries that they may serve, queries once for each such
+    block of items; neither side goes through the driver.
     """
     columns = ["query_id", "vector", *(["candidate_ids"] if candidates else [])]
     whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
-    q = queries.where(whole("vector")).select("query_id", normalised(F.col("vector")).alias("vector"), *columns[2:])
-    index = index.where(whole("vector"))
-    size = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d")).first()
-    n_blocks = max(1, -(-size["n"] * max(size["d"], 1) * 8 // most_bytes))
-    found = None
-    for b in range(n_blocks):
-        part = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        hits = _block_hits(part.toPandas(), index, k, threshold, candidates)
-        found = hits if found is None else found.unionByName(hits)
-    return top(found, k, ["query_id"], [F.desc("similarity"), F.col("item_id")])
-
-
-def _block_hits(q: pd.DataFrame, index: DataFrame, k: int, threshold: float, candidates: bool) -> DataFrame:
-    lengths = q["vector"].map(len).to_numpy(np.int64)
-    parts = {int(d): np.flatnonzero(lengths == d) for d in np.unique(lengths)}
-    shared = index.sparkSession.sparkContext.broadcast((
-        q["query_id"].to_numpy(np.int64),
-        {d: (at, np.array([q["vector"].iat[i] for i in at], dtype=np.float64)) for d, at in parts.items()},
-        [set(x) if x is not None and len(x) else None for x in q["candidate_ids"]] if candidates else [None] * len(q),
-    ))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrices, wanted = shared.value
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for whole in batches:
-            lengths = whole["vector"].map(len).to_numpy(np.int64) if len(whole) else np.zeros(0, np.int64)
-            for d, (numbers, matrix) in matrices.items():
-                pdf = whole[lengths == d]
-                if not len(pdf):
+    double = F.col("vector").cast("array<double>")
+    q = queries.where(whole("vector")).select("query_id", normalised(double).alias("vector"), *columns[2:])
+    i = index.where(whole("vector")).select("item_id", "label", double.alias("vector"))
+    scratch = Scratch(index.sparkSession)
+    n = i.count()
+    pivots = [r["vector"] for r in i.orderBy(F.xxhash64("vector"), "vector").select("vector").limit(min(_CELLS, -(-n // cell_items))).collect()]  # 64 at most
+    cells = _Cells(pivots)
+    q, i = scratch.put(cells.assigned(q), "queries"), scratch.put(cells.assigned(i), "items")
+    pairs = cells.pairs(q, i, threshold)
+    q = _blocks(q, "q", block_queries, "query_id", scratch).join(F.broadcast(pairs), ["dim", "q_cell"])  # pairs of cells, 4,096 a dimension at most
+    i = _blocks(i, "i", block_items, "item_id", scratch).join(F.broadcast(pairs), ["dim", "i_cell"])
+    # a query goes to each block of its partners' items, an item to each block of their queries
+    key = ["dim", "q_cell", "i_cell", "q_block", "i_block"]
+    parts = lambda df, side: df.groupBy("dim", f"{side}_cell").agg(F.max(f"{side}_blocks").alias(f"{side}_blocks"))
+    n_q, n_i = scratch.put(parts(q, "q"), "q-blocks"), scratch.put(parts(i, "i"), "i-blocks")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.drop("q_blocks").join(small(n_i), ["dim", "i_cell"]).withColumn("i_block", each("i_blocks"))
+    i = i.drop("i_blocks").join(small(n_q), ["dim", "q_cell"]).withColumn("q_block", each("q_blocks"))
+    label = index.schema["label"].dataType
+    nothing, no_list = F.lit(None).cast(label).alias("label"), F.lit(None).cast(ArrayType(label)).alias("wanted")
+    wanted = F.col("candidate_ids").cast(ArrayType(label)).alias("wanted") if candidates else no_list
+    q = q.select(*key, F.lit(True).alias("asks"), F.col("query_id").cast("long").alias("id"), nothing, wanted, "vector")
+    i = i.select(*key, F.lit(False).alias("asks"), F.col("item_id").cast("long").alias("id"), "label", no_list, "vector")
+    both = q.unionByName(i)
+    hits = both.groupBy(*key).applyInArrow(lambda table: _hits(table, k, threshold), HITS)
+    return top(hits, k, ["query_id"], [F.desc("similarity"), F.col("item_id")])
+
+
+class _Cells:
+    """Cells of vectors by their nearest pivot; vectors of another length than the pivots' are one cell."""
+
+    def __init__(self, pivots: list[list[float]]):
+        dims = [len(p) for p in pivots]
+        self.dim = max(dims, key=dims.count, default=0)
+        self.pivots = np.array(list(dict.fromkeys(tuple(p) for p in pivots if len(p) == self.dim)), dtype=np.float64).reshape(-1, self.dim)
+
+    def assigned(self, df: DataFrame) -> DataFrame:
+        """`df` with dim, cell, far (from the pivot) and norm."""
+        pivots, dim = self.pivots, self.dim
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column("vector")
+                n = lists.value_lengths().to_numpy(zero_copy_only=False)
+                cell, far, norm = np.zeros(len(batch), np.int32), np.zeros(len(batch)), np.zeros(len(batch))
+                own = np.flatnonzero(n == dim) if len(pivots) and dim else np.zeros(0, np.int64)
+                if len(own):
+                    x = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dim)
+                    square = (x * x).sum(axis=1)
+                    d = square[:, None] + (pivots * pivots).sum(axis=1) - 2 * (x @ pivots.T)
+                    cell[own] = d.argmin(axis=1)
+                    far[own], norm[own] = np.linalg.norm(x - pivots[cell[own]], axis=1), np.sqrt(square)
+                columns = [pa.array(n.astype(np.int32)), pa.array(cell), pa.array(far), pa.array(norm)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "dim", "cell", "far", "norm"])
+
+        schema = StructType([*df.schema.fields, *StructType.fromDDL("dim int, cell int, far double, norm double").fields])
+        return df.mapInArrow(of, schema)
+
+    def pairs(self, q: DataFrame, i: DataFrame, threshold: float) -> DataFrame:
+        """(dim, q_cell, i_cell) whose members' products may reach `threshold`. A query is p + a, an item r + b,
+        |a| and |b| at most the cells' radii: their product is at most p.r + |a||r| + |b||p| + |a||b|, and at
+        most |p + a||r + b|."""
+        known = lambda df: {(r["dim"], r["cell"]): r for r in df.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.max("norm").alias("norm")).collect()}
+        of_q, of_i = known(q), known(i)
+        out = []
+        for (d, c), x in of_q.items():
+            for (e, b), y in of_i.items():
+                if d != e:
                     continue
-                similar = np.array(pdf["vector"].tolist(), dtype=np.float64).reshape(len(pdf), d) @ matrix.T
-                items, labels = pdf["item_id"].to_numpy(np.int64), pdf["label"].to_numpy()
-                for column in np.flatnonzero((similar >= threshold).any(axis=0)):
-                    j, good = numbers[column], similar[:, column] >= threshold
-                    if wanted[j] is not None:
-                        good &= np.isin(labels, list(wanted[j]))
-                    at = np.flatnonzero(good)
-                    at = at[np.lexsort((items[at], -similar[at, column]))[:k]]
-                    best[j] = sorted(best[j] + [(-float(similar[i, column]), int(items[i])) for i in at])[:k]
-        rows = [(int(ids[j]), item, -s) for j, hits in enumerate(best) for s, item in hits]
-        yield pd.DataFrame(rows, columns=["query_id", "item_id", "similarity"])
-
-    return index.select("item_id", "label", "vector").mapInPandas(scan, HITS)
+                most = np.inf
+                if d == self.dim and len(self.pivots):
+                    p, r = self.pivots[c], self.pivots[b]
+                    most = min(p @ r + x["far"] * np.linalg.norm(r) + y["far"] * np.linalg.norm(p) + x["far"] * y["far"], x["norm"] * y["norm"])
+                if not most * (1 + 1e-9) + 1e-9 < threshold:
+                    out.append((d, c, b))
+        return q.sparkSession.createDataFrame(out, "dim int, q_cell int, i_cell int")
+
+
+def _blocks(df: DataFrame, side: str, rows: int, key: str, scratch: Scratch) -> DataFrame:
+    """`df` with <side>_cell, <side>_block and <side>_blocks: blocks of some `rows` rows of a cell."""
+    n = df.groupBy("dim", "cell").agg(F.ceil(F.count("*") / rows).cast("int").alias(f"{side}_blocks"))
+    out = df.drop("far", "norm").join(small(scratch.put(n, f"{side}-sizes")), ["dim", "cell"]).withColumnRenamed("cell", f"{side}_cell")
+    return out.withColumn(f"{side}_block", F.pmod(F.xxhash64(key), f"{side}_blocks").cast("int"))
+
+
+def _hits(table: pa.Table, k: int, threshold: float) -> pa.Table:
+    """The first k items of each query of one pair of blocks."""
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    a, b = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
+    none = np.zeros(0, np.int64)
+    query, item, similar = none, none, np.zeros(0)
+    if len(a) and len(b):
+        dim = table.column("dim")[0].as_py()
+        x, y = (t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), dim) for t in (a, b))
+        ids, labels, wanted = b.column("id").to_numpy(), b.column("label").to_numpy(), a.column("wanted").to_pylist()
+        bar = np.full(len(a), threshold)
+        size = max(64, (1 << 22) // len(a))
+        for at in range(0, len(b), size):
+            s = x @ y[at : at + size].T
+            good = s >= bar[:, None]
+            for j, some in enumerate(wanted):
+                if some and good[j].any():
+                    good[j] &= np.isin(labels[at : at + size], some)
+            i, j = np.nonzero(good)
+            query, item, similar = np.concatenate((query, i)), np.concatenate((item, j + at)), np.concatenate((similar, s[i, j]))
+            order = np.lexsort((ids[item], -similar, query))
+            start = np.maximum.accumulate(np.where(np.diff(query[order], prepend=-1) != 0, np.arange(len(order)), 0)) if len(order) else order
+            kept = order[np.arange(len(order)) - start < k]
+            query, item, similar = query[kept], item[kept], similar[kept]
+            full = np.flatnonzero(np.bincount(query, minlength=len(a)) == k)
+            least = np.full(len(a), np.inf)
+            np.minimum.at(least, query, similar)
+            bar[full] = np.maximum(bar[full], least[full])
+        item = ids[item]
+        query = a.column("id").to_numpy()[query]
+    return pa.table({"query_id": query, "item_id": item, "similarity": similar})
 
 
 def reranked(hits: DataFrame, scorer: Callable[[Column, Column], Column] | None, n: int = 5) -> DataFrame:

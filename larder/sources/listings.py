@@ -6,6 +6,8 @@ from __future__ import annotations
 import time
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
+from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,9 +28,20 @@ def _tag(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2]
 
 
-def recordings_of_xml(text: str) -> list[tuple]:
+def recording_time(text: str) -> datetime:
+    return datetime.fromisoformat(text.replace("Z", "+00:00"))
+
+
+def search_time(at: datetime, zone: str) -> str:
+    """A time of a search, in UTC; without a zone it is in `zone`."""
+    local = at.replace(tzinfo=ZoneInfo(zone)) if at.tzinfo is None else at
+    return local.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def recordings_of_xml(text: str | bytes, channel: str = "1") -> list[tuple]:
     """(name, start, end, uri, size) of a search answer, whatever its name space; items without a start,
-    an end or an address drop out (S8)."""
+    an end or an address drop out (S8). A recording is named by channel and second of its start, times are
+    ISO, and its size isn't known: 0."""
     out = []
     for item in ET.fromstring(text).iter():
         if _tag(item) != "searchMatchItem":
@@ -36,25 +49,27 @@ def recordings_of_xml(text: str) -> list[tuple]:
         values = {_tag(e): (e.text or "").strip() for e in item.iter()}
         start, end, uri = (values.get(k, "") for k in ("startTime", "endTime", "playbackURI"))
         if start and end and uri:
-            query = dict(p.partition("=")[::2] for p in uri.rpartition("?")[2].split("&"))
-            out.append((query.get("name", ""), start, end, uri, int(query["size"]) if query.get("size", "").isdigit() else None))
+            began = recording_time(start)
+            out.append((f"cam{channel}_{int(began.timestamp())}.mp4", began.isoformat(), recording_time(end).isoformat(), uri, 0))
     return out
 
 
-def recordings(answers: DataFrame, column: str = "xml") -> DataFrame:
-    """RECORDINGS of XML answers, parsed where they lie; an answer that isn't XML gives none."""
+def recordings(answers: DataFrame, column: str = "xml", channel: str | None = None) -> DataFrame:
+    """RECORDINGS of XML answers, parsed where they lie; an answer that isn't XML, or holds a time that is
+    none, gives none (S7, S8). `channel` is the column that says whose answer it is."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text in pdf[column]:
+            for text, own in zip(pdf["_xml"], pdf["_channel"]):
                 try:
-                    rows += recordings_of_xml(text)
-                except (ET.ParseError, TypeError):
+                    rows += recordings_of_xml(text, own)
+                except (ET.ParseError, TypeError, ValueError):
                     continue
             yield pd.DataFrame(rows, columns=["filename", "start_time", "end_time", "download_url", "size"])
 
-    return answers.select(column).mapInPandas(of, RECORDINGS)
+    own = F.col(channel).cast("string") if channel else F.lit("1")
+    return answers.select(F.col(column).alias("_xml"), own.alias("_channel")).mapInPandas(of, RECORDINGS)
 
 
 def channels(streams: DataFrame, stream: str = "stream_id", order: str = "pos") -> DataFrame:

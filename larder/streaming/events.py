@@ -73,47 +73,6 @@ def event_stream(frames: DataFrame, key: str = "channel_id", kind: str = "legacy
     return frames.groupBy(key).applyInPandasWithState(of, f"{key} {kind_of}, {M.EVENT_SCHEMA}", "state string, last int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def motion_scores(frames: DataFrame, key: str = "channel_id", delta: int = 25, least: float = 0.015) -> DataFrame:
-    """(key, frame_no, motion_score, moving): the share of pixels that differ from the frame before by
-    `delta` or more; 0 for the first (T1). frames: (key, frame_no, width, pixels binary)."""
-    import numpy as np
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_no")
-        scores, before = [], None
-        for data in pdf["pixels"]:
-            now = np.frombuffer(data, np.uint8).astype(np.int16)
-            scores.append(float((np.abs(now - before) >= delta).mean()) if before is not None and len(before) == len(now) and len(now) else 0.0)
-            before = now
-        return pd.DataFrame({key: pdf[key], "frame_no": pdf["frame_no"], "motion_score": scores, "moving": [x >= least for x in scores]})
-
-    kind_of = frames.schema[key].dataType.simpleString()
-    return frames.groupBy(key).applyInPandas(of, f"{key} {kind_of}, frame_no int, motion_score double, moving boolean")
-
-
-def foreground(frames: DataFrame, key: str = "channel_id", delta: int = 30, rate: float = 0.05, least_ratio: float = 0.15, least_pixels: int = 1500) -> DataFrame:
-    """(key, frame_no, fg_pixels, fg_ratio, present): pixels far from a running background, which adapts
-    only while nothing is there (T2). A plain running mean stands for the mixture model."""
-    import numpy as np
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_no")
-        rows, background = [], None
-        for no, data in zip(pdf["frame_no"], pdf["pixels"]):
-            now = np.frombuffer(data, np.uint8).astype(np.float64)
-            background = now if background is None or len(background) != len(now) else background
-            n = int((np.abs(now - background) >= delta).sum())
-            ratio = n / max(1, len(now))
-            present = ratio >= least_ratio and n >= least_pixels
-            if not present:
-                background = background + rate * (now - background)
-            rows.append((pdf[key].iloc[0], no, n, ratio, present))
-        return pd.DataFrame(rows, columns=[key, "frame_no", "fg_pixels", "fg_ratio", "present"])
-
-    kind_of = frames.schema[key].dataType.simpleString()
-    return frames.groupBy(key).applyInPandas(of, f"{key} {kind_of}, frame_no int, fg_pixels int, fg_ratio double, present boolean")
-
-
 def matched_stream(records: DataFrame, images: DataFrame, seconds: float = 1.0, late: str = "10 minutes") -> DataFrame:
     """All record-image pairs of a band, as a stream-stream join with watermarks on both sides, which
     bound its state. records: (record_id, record_time, amount), images: (image_id, image_time, total).

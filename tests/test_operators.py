@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import geometry, numbers, text, times, vectors
 from larder.functions.python import even_sample, text_ratio
-from larder.operators import assign, filters, joins, merge, paging, retrieval
+from larder.operators import assign, filters, joins, merge, nearest, paging, retrieval
 from larder.plans import ingest, queries
 from larder.sources import files, listings, sinks
 
@@ -199,10 +199,12 @@ def test_partitions_are_replaced(spark, tmp_path):
 
 
 def test_recordings_of_xml(spark):
-    answer = """<r xmlns="x"><searchMatchItem><startTime>s</startTime><endTime>e</endTime><playbackURI>rtsp://h/?name=n&amp;size=5</playbackURI></searchMatchItem>
-    <searchMatchItem><startTime>s</startTime></searchMatchItem></r>"""
-    df = spark.createDataFrame([(answer,), ("not xml",), (None,)], "xml string")
-    assert [tuple(r) for r in listings.recordings(df).collect()] == [("n", "s", "e", "rtsp://h/?name=n&size=5", 5)]
+    item = "<searchMatchItem><startTime>%s</startTime><endTime>2024-01-05T04:00:10Z</endTime><playbackURI>rtsp://h/?name=n&amp;size=5</playbackURI></searchMatchItem>"
+    answer = f'<r xmlns="x">{item % "2024-01-05T12:00:00+08:00"}<searchMatchItem><startTime>s</startTime></searchMatchItem></r>'
+    df = spark.createDataFrame([(answer, 3), ("not xml", 3), (None, 3), (f"<r>{item % 'soon'}</r>", 4)], "xml string, channel int")
+    found = [tuple(r) for r in listings.recordings(df, channel="channel").collect()]
+    assert found == [("cam3_1704427200.mp4", "2024-01-05T12:00:00+08:00", "2024-01-05T04:00:10+00:00", "rtsp://h/?name=n&size=5", 0)]
+    assert listings.search_time(datetime(2024, 1, 5, 12), "Asia/Shanghai") == "2024-01-05T04:00:00Z" and listings.track_id(3) == 301
     waits = []
     with pytest.raises(ZeroDivisionError):
         listings.retried(lambda: 1 / 0, sleep=waits.append)
@@ -326,3 +328,90 @@ def test_rows_without_an_id_are_no_duplicates_of_one_another(spark):
     empty = lambda s: spark.createDataFrame([], s)
     out = ingest.imported_payments(raw, empty("transaction_id string, student_no string"), empty("id int, student_no string, card_no string"), "b")
     assert sorted(r["outcome"] for r in out.collect()) == ["duplicate", "imported", "missing", "missing"]
+
+
+@pytest.mark.parametrize("length, most", [(10**6, 50), (3, 6), (0, 2)])
+def test_long_spans_stand_in_few_nodes(spark, length, most):
+    spans = spark.createDataFrame([(7, -5, -5 + length)], "idx long, a long, b long")
+    nodes = joins.spans_indexed(spans, "a", "b", "idx", 1, []).collect()
+    assert len(nodes) <= most
+    cells = [(n["node"] << n["level"], (n["node"] + 1 << n["level"]) - 1) for n in sorted(nodes, key=lambda n: n["node"] << n["level"])]
+    assert cells[0][0] == -5 and cells[-1][1] == -5 + length and all(a[1] + 1 == b[0] for a, b in zip(cells, cells[1:]))
+
+
+def test_points_in_spans_of_all_lengths(spark):
+    rng = random.Random(3)
+    spans = [(i, k, a := rng.randrange(-5000, 5000), a + rng.choice([0, 3, 40, 900, 9000, -1])) for i, k in enumerate(rng.choices("ab", k=300))]
+    points = [(i, k, rng.randrange(-6000, 12000)) for i, k in enumerate(rng.choices("abc", k=400))] + [(5, "a", 7), (5, "a", 7), (900, None, 7), (901, "a", None)]
+    found = joins.within_interval(spark.createDataFrame(points, "id long, k string, at long"), spark.createDataFrame(spans, "idx long, k string, a long, b long"), "at", "a", "b", "idx", 16, ["k"])
+    want = [(i, k, t, min((x for x, l, a, b in spans if l == k and t is not None and a <= t <= b), default=None)) for i, k, t in points]
+    key = lambda r: tuple((x is None, x or 0 if not isinstance(x, str) else x) for x in r)
+    assert sorted((tuple(r) for r in found.select("id", "k", "at", "idx").collect()), key=key) == sorted(want, key=key)
+
+
+def test_nearest_of_crowded_bands(spark):
+    """Buckets dealt into slices, many equal prices, null amounts and totals, keys that must agree."""
+    rng = random.Random(11)
+    records = [(i, rng.choice("ab"), rng.randrange(40) * 250_000, rng.choice([None, 1.0, 2.0, 2.5, 9.0])) for i in range(200)]
+    images = [(i, rng.choice("abc"), rng.randrange(40) * 250_000, rng.choice([None, 1.0, 2.0, 3.0])) for i in range(500)]
+    r = spark.createDataFrame(records, "id long, k string, at long, value double")
+    i = spark.createDataFrame(images, "id long, k string, at long, value double").selectExpr("*", "CAST(NULL AS LONG) AS until_at", "CAST(NULL AS LONG) AS until_id")
+    for rows in (7, 65_536):
+        found = {x["record"]: (x["price_diff"], x["time_diff"], x["image"]) for x in nearest.nearest_in_band(r, i, 1.5, ["k"], slice_rows=rows).collect()}
+        for n, k, t, v in records:
+            near = [(abs(v - (w or 0.0)) if v is not None else 0.0, abs(t - u), j) for j, l, u, w in images if l == k and abs(t - u) <= 1_500_000]
+            best = min(near, default=None)
+            assert found.get(n) == (best if best is None or v is not None else (None, *best[1:]))
+
+
+@pytest.mark.parametrize("seed, spread", [(1, 300), (2, 8), (3, 1)])
+def test_exclusive_match_of_crowds(spark, seed, spread):
+    """Many records want the same images: chains of losers, equal times, a hot key."""
+    rng = random.Random(seed)
+    records = [(i, at(rng.randrange(4 * spread) / 4), rng.choice([1.0, 1.2, 1.4, 5.0])) for i in range(160)]
+    images = [(i, at(rng.randrange(4 * spread) / 4), rng.choice([1.0, 1.3, 1.6, 7.0, None])) for i in range(140)]
+    found = {r["record_id"]: (r["image_id"], r["status"], r["time_diff"]) for r in assign.exclusive_match(*frames_of(spark, (records, images)), seconds=3).collect()}
+    free = dict.fromkeys((x[0] for x in images), True)
+    for i, t, amount in sorted(records, key=lambda r: (r[1], r[0])):
+        near = [(abs(amount - (v or 0.0)), abs((t - u).total_seconds()), j) for j, u, v in images if free[j] and abs((t - u).total_seconds()) <= 3]
+        best = min(near, default=None)
+        if best and best[0] <= 0.5:
+            free[best[2]] = False
+        assert found[i] == ((None, "unmatched_record", None) if best is None else (best[2], "matched" if best[0] <= 0.5 else "time_matched_only", best[1]))
+
+
+def test_a_hot_key_of_many_points(spark):
+    """1e5 points of one key: nothing is folded in one group."""
+    n = 50_000
+    r = spark.range(n).select(F.col("id").alias("record_id"), F.timestamp_micros(F.col("id") * 26_000_000).alias("record_time"), (F.col("id") * 37 % 1000 / 10).alias("amount"), F.lit(1).alias("user_id"))
+    i = spark.range(n).select(F.col("id").alias("image_id"), F.timestamp_micros(F.col("id") * 26_000_000 + 5_000_000).alias("image_time"), (F.col("id") * 91 % 1000 / 10).alias("total"), F.lit(1).alias("user_id"))
+    found = assign.exclusive_match(r, i, 300, 5.0, by=["user_id"]).where("status = 'matched'")
+    assert found.count() == found.select("image_id").distinct().count() > n // 2
+
+
+def test_blank_names_are_inside_all(spark):
+    names = lambda x: spark.createDataFrame(list(enumerate(x)), "pos int, name string")
+    raws = lambda x: spark.createDataFrame([(v,) for v in x], "raw string")
+    find = lambda a, b: {r["raw"]: r["name"] for r in joins.contained_names(raws(a), names(b), "raw", "name", "pos").collect()}
+    assert find(["rice bowl", " ", None], ["soup", "rice"]) == {"rice bowl": "rice", " ": "soup"}
+    assert find(["rice bowl", "tea"], ["soup", "", "rice"]) == {"rice bowl": ""}
+    assert find([" "], []) == {}
+
+
+@pytest.mark.parametrize("threshold, options", [(0.4, {}), (0.4, {"cell_items": 20, "block_queries": 9, "block_items": 16}), (-0.5, {"cell_items": 50}), (0.95, {"cell_items": 10})])
+def test_top_k_grid_against_all_pairs(spark, threshold, options):
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(6)]
+    vector = lambda: [round(c + rng.gauss(0, 0.2), 2) for c in rng.choice(centres)]
+    items = [(i, rng.randrange(3), vector()) for i in range(150)]
+    items += [(i, 1, items[0][2]) for i in range(200, 260)] + [(300, 0, [1.0, 2.0]), (301, 1, [0.0] * 5)]
+    asks = [(i, vector(), rng.choice([None, [], [1], [0, 2]])) for i in range(60)] + [(70, items[0][2], None), (71, [2.0, 4.0], None)]
+    found = retrieval.top_k(
+        spark.createDataFrame(asks, "query_id long, vector array<double>, candidate_ids array<int>"), spark.createDataFrame(items, "item_id long, label int, vector array<double>"), 4, threshold, candidates=True, **options
+    ).collect()
+    for q, v, some in asks:
+        n = sum(x * x for x in v) ** 0.5
+        near = sorted((-round(sum(a * b for a, b in zip(v, w)) / n, 9), i) for i, label, w in items if len(v) == len(w) and (not some or label in some))
+        want = [(-s, i) for s, i in near if -s >= threshold][:4]
+        got = sorted(((round(r["similarity"], 9), r["item_id"]) for r in found if r["query_id"] == q), key=lambda x: (-x[0], x[1]))
+        assert got == want

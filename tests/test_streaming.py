@@ -78,12 +78,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert found and found == batch.select(columns).orderBy(*columns[:3]).collect()
 
 
-def test_motion_and_foreground(spark):
-    df = spark.createDataFrame([("a", 0, bytes([0] * 100)), ("a", 1, bytes([200] * 50 + [0] * 50))], "channel_id string, frame_no int, pixels binary")
-    assert [r["motion_score"] for r in events.motion_scores(df).orderBy("frame_no").collect()] == [0.0, 0.5]
-    assert [r["present"] for r in events.foreground(df, least_pixels=10).orderBy("frame_no").collect()] == [False, True]
-
-
 def test_matched_stream_has_the_band(spark, tmp_path):
     base = spark.range(5).select(F.col("id").alias("record_id"), F.timestamp_seconds(F.col("id") * 10 + 1_700_000_000).alias("record_time"), F.lit(1.0).alias("amount"))
     near = spark.range(5).select(F.col("id").alias("image_id"), F.timestamp_seconds(F.col("id") * 10 + F.col("id") % 2 * 5 + 1_700_000_000).alias("image_time"), F.lit(1.0).alias("total"))
