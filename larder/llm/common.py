@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # of a query that has ended
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir. Where that is unset, a temporary folder
     is made and set if the master is local, as in tests; a cluster must name one."""
@@ -26,10 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """`df` as a Parquet table in the shared folder, and its path: lineage ends there, and losing an
-    executor costs nothing that was written. The table goes when the application ends, or with `dropped`."""
+    executor costs nothing that was written. The table goes when the application ends, or with `dropped`.
+    What was shuffled to write it goes as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larder-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     fs, at = _file(spark, path)
     fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path), path
@@ -50,6 +59,23 @@ def _file(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+class Tables:
+    """Stored tables of one job, freed by name as soon as nothing will read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = stored(df, name)
+        self.paths.setdefault(name, []).append(path)
+        return table
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.pop(name, []):
+                dropped(self.spark, path)
+
+
 def fresh(columns: Iterable[str], *names: str) -> list[str]:
     """`names`, each with as many underscores in front as it takes to differ from all `columns`."""
     taken = {c.lower() for c in columns}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.llm.common import bits_for, components, fresh, is_marked, marked, row_key, sized, written
+from larder.llm.common import Tables, bits_for, components, fresh, is_marked, marked, row_key, sized, written
 from larder.llm.textops import mix, shingle_sets, slices
 
 #: Hashes that a task counts before it reports them.
@@ -210,16 +210,17 @@ def _possible(blocks: DataFrame, percent: int, best: int | None) -> DataFrame:
     return placed.mapInArrow(of, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int, alike: bool) -> DataFrame:
+def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int, alike: bool, tables: Tables) -> DataFrame:
     """Those of `pairs` (a, b) of classes that are similar enough, by intersecting their sets as sorted
     arrays. heads: (class, row_a, row_b), the row of `docs` that stands for each class; alike: whether rows
     of `docs` share a key, which are then alike in id and text.
 
     Texts of the rows that some pair asks for go to their pairs, compressed, at a third of their sets'
-    size; a bitmap tells nearly all others where they are read.
+    size; a bitmap tells nearly all others where they are read. The links are written, and what they were
+    made from is freed.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(heads, "class")
-    asked = written(asked, "asked")
+    asked = tables.put(asked, "asked")
     shared = docs.sparkSession.sparkContext.broadcast(marked(asked.select("row_a"), bits_for(asked.count())))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +231,7 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percen
 
     texts = docs.select(*ROW, "text").mapInArrow(of, "row_a long, row_b long, packed binary")
     texts = texts.join(sized(asked), ROW).select("class", "packed")
-    texts = written(texts.dropDuplicates(["class"]) if alike else texts, "texts")
+    texts = tables.put(texts.dropDuplicates(["class"]) if alike else texts, "texts")
     side = lambda x: texts.select(F.col("class").alias(x), F.col("packed").alias(f"text_{x}"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +248,9 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percen
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(settle, "a long, b long").distinct()
+    links = tables.put(both.mapInArrow(settle, "a long, b long").distinct(), "links")
+    tables.drop("asked", "texts")
+    return links
 
 
 def row_components(docs: DataFrame, k: int = 5, percent: int = 75, tile_rows: int = 4096, best: int = 2) -> DataFrame:
@@ -256,16 +259,20 @@ def row_components(docs: DataFrame, k: int = 5, percent: int = 75, tile_rows: in
     Rows are told apart by their key, which is made of id and text; equal components are linked. A row
     whose set is empty has no component.
     """
-    counts = written(repeated_shingles(docs, k), "counts")
+    tables = Tables(docs.sparkSession)
+    counts = tables.put(repeated_shingles(docs, k), "counts")
     order, repeated = frequent(counts), marked(counts.select("h"), bits_for(counts.count()))
-    sigs = written(signatures(docs, k, percent, order, repeated), "signatures")
+    sigs = tables.put(signatures(docs, k, percent, order, repeated), "signatures")
+    tables.drop("counts")
 
     alike = not sigs.groupBy(*ROW).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
     # Equal sets: one class, numbered, with the row that stands for it.
     keys = ["n_shingles", "key_a", "key_b"]
     heads = sigs.where("n_shingles > 0").dropDuplicates(keys).withColumn("class", F.monotonically_increasing_id())
-    heads = written(heads.drop("doc_id"), "heads")
+    heads = tables.put(heads.drop("doc_id"), "heads")
+    own = tables.put(sigs.select("doc_id", *ROW, *keys), "row-keys")
+    tables.drop("signatures")
 
     # Tiles: sets that share a shingle of their prefixes. Shingles become one tile if the smallest of
     # their sets is the same by number and by hash, so likely only if they have much the same sets: those
@@ -274,17 +281,21 @@ def row_components(docs: DataFrame, k: int = 5, percent: int = 75, tile_rows: in
     # shingle or one group holds a large part of all rows.
     tokens = heads.select(F.explode("prefix").alias("token"), F.col("class").alias("doc"))
     met = tokens.groupBy("token").agg(F.count("*").alias("size"), F.xxhash64(F.min("doc"), F.min(F.xxhash64("doc"))).alias("head"))
-    met = written(met.where("size > 1").select("token", "head"), "tokens")
+    met = tables.put(met.where("size > 1").select("token", "head"), "tokens")
     sized = heads.select(F.col("class").alias("doc"), F.col("n_shingles").alias("n"))
-    tiles = written(tokens.join(met, "token").select("head", "doc").distinct().join(sized, "doc"), "tiles")
+    tiles = tables.put(tokens.join(met, "token").select("head", "doc").distinct().join(sized, "doc"), "tiles")
+    tables.drop("tokens")
+    heads = tables.put(heads.select("class", *ROW, *keys, "bitmap"), "names")  # prefixes have been used
+    tables.drop("heads")
     # Large tiles are cut into blocks by size of set: a running sum over the sizes of a tile says where
     # each begins, a hash spreads those of one size.
     sizes = tiles.groupBy("head", "n").agg(F.count("*").alias("same"))
     before = F.sum("same").over(Window.partitionBy("head").orderBy("n")) - F.col("same")
-    sizes = written(sizes.withColumn("before", before), "sizes")
+    sizes = tables.put(sizes.withColumn("before", before), "sizes")
     place = F.col("before") + F.pmod(F.xxhash64("doc"), F.col("same"))
     rows = tiles.join(sizes, ["head", "n"]).select("head", "doc", "n", F.floor(place / tile_rows).cast("int").alias("block"))
-    rows = written(rows, "rows")
+    rows = tables.put(rows, "rows")
+    tables.drop("tiles", "sizes")
     bitmaps = heads.select(F.col("class").alias("doc"), "bitmap")
     named = heads.select("class", *ROW)
 
@@ -296,21 +307,25 @@ def row_components(docs: DataFrame, k: int = 5, percent: int = 75, tile_rows: in
         open_ = "block_y - block_x <= 1" if first else "least(p_x, p_y) < greatest(q_x, q_y)"
         pairs = x.join(y, "head").where(f"block_x <= block_y and 100 * most_x >= {percent} * least_y and {open_}")
         pairs = pairs.select("head", F.col("block_x").alias("low"), F.col("block_y").alias("high"))
-        pairs = written(pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high")))), "blocks")
+        pairs = tables.put(pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high")))), "blocks")
         placed = rows.join(pairs, ["head", "block"]).join(bitmaps, "doc")
         return placed.select("head", "low", "high", "block", "doc", "n", "bitmap", "part")
 
-    first = written(_possible(blocks(rows.withColumn("part", F.col("doc")), True), percent, best), "first")
-    links = written(verified(first, named, docs, k, percent, alike), "links")
+    first = tables.put(_possible(blocks(rows.withColumn("part", F.col("doc")), True), percent, best), "first")
+    tables.drop("blocks")
+    links = verified(first, named, docs, k, percent, alike, tables)
     # All other pairs of a tile, unless they are in one component by now. Of a tile in which no set has more
     # than `best` others, all possible pairs have been looked at.
-    parts = written(components(links).select(F.col("node").alias("doc"), F.col("component").alias("part")), "parts")
-    open_ = written(rows.join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc")), "open")
+    parts = tables.put(components(links).select(F.col("node").alias("doc"), F.col("component").alias("part")), "parts")
+    open_ = tables.put(rows.join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc")), "parted")
+    tables.drop("rows", "links")
     several = open_.groupBy("head").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"))
     several = several.where(f"p < q and n > {min(best + 1, tile_rows)}").select("head")
-    open_ = written(open_.join(written(several, "several"), "head", "left_semi"), "open")
-    rest = _possible(blocks(open_, False), percent, None).join(first, ["a", "b"], "left_anti")
-    links = written(verified(written(rest, "rest"), named, docs, k, percent, alike), "links")
+    open_ = tables.put(open_.join(tables.put(several, "several"), "head", "left_semi"), "open")
+    tables.drop("parted", "several")
+    rest = tables.put(_possible(blocks(open_, False), percent, None).join(first, ["a", "b"], "left_anti"), "rest")
+    tables.drop("first", "open", "blocks")
+    links = verified(rest, named, docs, k, percent, alike, tables)
     # Links that were found last join components, not single sets.
     part = lambda x: parts.select(F.col("doc").alias(x), F.col("part").alias(f"part_{x}"))
     joined = links.join(part("a"), "a", "left").join(part("b"), "b", "left")
@@ -318,8 +333,9 @@ def row_components(docs: DataFrame, k: int = 5, percent: int = 75, tile_rows: in
     joined = joined.withColumnsRenamed({"node": "part", "component": "whole"})
     classes = heads.select(*keys, "class").join(parts.withColumnRenamed("doc", "class"), "class", "left")
     classes = classes.withColumn("part", F.coalesce("part", "class")).join(joined, "part", "left")
-    classes = written(classes.select(*keys, F.coalesce("whole", "part").alias("component")), "classes")
-    return sigs.select("doc_id", *ROW, *keys).join(classes, keys, "left").select("doc_id", *ROW, "n_shingles", "component")
+    classes = tables.put(classes.select(*keys, F.coalesce("whole", "part").alias("component")), "classes")
+    tables.drop("names", "parts", "rest", "links")
+    return own.join(classes, keys, "left").select("doc_id", *ROW, "n_shingles", "component")
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
