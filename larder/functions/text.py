@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,38 +53,58 @@ def merged_notes(*notes: Column) -> Column:
     return F.array_join(F.array_distinct(F.filter(trimmed, lambda x: x != "")), "；")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with `value` computed once however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def description(raw: Column) -> Column:
     """A JSON object as the seven fields, each from its first non-blank alias; else empty."""
 
-    def first(aliases: list[str]) -> Column:
-        found = [F.nullif(stripped(F.get_json_object(raw, f"$.{a}")), F.lit("")) for a in aliases]
-        return F.coalesce(*found, F.lit(""))
+    def fields(found: Column) -> Column:
+        first = lambda aliases: F.coalesce(*(F.nullif(stripped(F.try_element_at(found, F.lit(a))), F.lit("")) for a in aliases), F.lit(""))
+        return F.struct(*(first(aliases).alias(key) for key, _, aliases in DESCRIPTION_FIELDS))
 
-    return F.struct(*(first(aliases).alias(key) for key, _, aliases in DESCRIPTION_FIELDS))
+    return bound(F.from_json(raw, "map<string,string>"), fields)
 
 
 def composed_description(summary: Column, fields: Column) -> Column:
     """Summary, then the section mark and a labelled line for each field that isn't blank."""
-    lines = [F.when(stripped(fields[key]) != "", F.concat(F.lit(f"{label}："), stripped(fields[key]))) for key, label, _ in DESCRIPTION_FIELDS]
-    details = F.concat_ws("\n", *lines)
-    head = F.nullif(stripped(F.replace(F.coalesce(summary, F.lit("")), F.lit("\r\n"), F.lit("\n"))), F.lit(""))
-    return F.concat_ws("\n\n", head, F.when(details != "", F.concat(F.lit(DESCRIPTION_SECTION + "\n"), details)))
+
+    def whole(fields: Column) -> Column:
+        pairs = F.array(*(F.struct(F.lit(f"{label}：").alias("label"), stripped(fields[key]).alias("text")) for key, label, _ in DESCRIPTION_FIELDS))
+        lines = F.transform(F.filter(pairs, lambda p: p["text"] != ""), lambda p: F.concat(p["label"], p["text"]))
+        head = F.nullif(stripped(F.replace(F.coalesce(summary, F.lit("")), F.lit("\r\n"), F.lit("\n"))), F.lit(""))
+        return bound(lines, lambda x: F.concat_ws("\n\n", head, F.when(F.size(x) > 0, F.concat(F.lit(DESCRIPTION_SECTION + "\n"), F.array_join(x, "\n")))))
+
+    return bound(fields, whole)
 
 
 def parsed_description(text: Column) -> Column:
     """The struct (summary, fields) of a composed text; lines of the section without a known label go to
     the summary. Either colon ends a label; of two lines with one label the later counts (F18)."""
+    names = F.array(*(F.lit(label) for _, label, _ in DESCRIPTION_FIELDS))
+    cut = lambda x: F.regexp_extract(x, "^([^：:]*)[：:]", 1)
+    known = lambda x: x.rlike("[：:]") & F.array_contains(names, cut(x))
+
+    def parts(at: Column, lines: Column) -> Column:
+        head = F.when(at > 0, F.slice(lines, 1, at - 1)).otherwise(lines)
+        tail = F.when(at > 0, F.slice(lines, at + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
+        kept = bound(head, lambda h: F.filter(h, lambda x, i: (x != "") | ((i > 0) & (F.get(h, i - 1) != ""))))
+        return bound(tail, lambda t: F.struct(summary(kept, t).alias("summary"), fields(t).alias("fields")))
+
+    def summary(kept: Column, tail: Column) -> Column:
+        rest = F.filter(tail, lambda x: (x != "") & (x != DESCRIPTION_SECTION) & ~known(x))
+        return stripped(F.array_join(F.concat(kept, rest), "\n"))
+
+    def fields(tail: Column) -> Column:
+        named = F.filter(tail, known)
+        last = lambda m, label: F.coalesce(F.try_element_at(m, F.lit(label)), F.lit(""))
+        entries = F.aggregate(named, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != cut(x)), F.create_map(cut(x), stripped(F.regexp_replace(x, "^[^：:]*[：:]", "")))))
+        return bound(entries, lambda m: F.struct(*(last(m, label).alias(key) for key, label, _ in DESCRIPTION_FIELDS)))
+
     lines = F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n", -1), stripped)
-    at = F.array_position(lines, DESCRIPTION_SECTION).cast("int")
-    size = F.size(lines)
-    head = F.when(at > 0, F.slice(lines, 1, at - 1)).otherwise(lines)
-    tail = F.when(at > 0, F.slice(lines, at + 1, size - at)).otherwise(F.array().cast("array<string>"))
-    labelled = lambda label: F.filter(tail, lambda x: x.startswith(f"{label}：") | x.startswith(f"{label}:"))
-    fields = [F.coalesce(stripped(F.substring(F.try_element_at(F.filter(F.array_append(labelled(label), F.lit(None)), lambda x: x.isNotNull()), F.lit(-1)), len(label) + 2, 1 << 30)), F.lit("")).alias(key) for key, label, _ in DESCRIPTION_FIELDS]
-    known = lambda x: F.array_contains(F.array(*(x.startswith(f"{label}{c}") for _, label, _ in DESCRIPTION_FIELDS for c in "：:")), True)
-    rest = F.filter(tail, lambda x: (x != "") & (x != DESCRIPTION_SECTION) & ~known(x))
-    kept = F.filter(head, lambda x, i: (x != "") | ((i > 0) & (F.get(head, i - 1) != "")))
-    return F.struct(stripped(F.array_join(F.concat(kept, rest), "\n")).alias("summary"), F.struct(*fields).alias("fields"))
+    return bound(lines, lambda x: bound(F.array_position(x, DESCRIPTION_SECTION).cast("int"), lambda at: parts(at, x)))
 
 
 def json_block(text: Column) -> Column:

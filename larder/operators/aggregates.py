@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.numbers import half_even, nutrient_score
 from larder.operators.paging import top
+from larder.operators.quantiles import exact_quantiles
 
 
 def counts_of(df: DataFrame, column: str, values: list[str], total: str = "total", by: list[str] | None = None) -> DataFrame:
@@ -120,8 +121,8 @@ def push_status(sent: Column, failed: Column) -> Column:
 
 
 def baselines(df: DataFrame, by: list[str], column: str, out: str, q: float = 0.1) -> DataFrame:
-    """Exact percentile with linear interpolation."""
-    return df.groupBy(*by).agg(F.percentile(column, q).alias(out))
+    """Exact percentile with linear interpolation (A20), of groups of any size."""
+    return exact_quantiles(df, by, column, {out: q})
 
 
 def dominant(values: dict[str, Column], least: float = 60.0) -> Column:

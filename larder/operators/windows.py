@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larder.operators.quantiles import exact_quantiles
+
 
 def neighbour_difference(df: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """The mean of the absolute differences to the row before and after; 0 for a row alone."""
@@ -24,7 +26,7 @@ def min_max(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
 
 def hard_filtered(df: DataFrame, by: list[str], multiplier: float = 1.8, exposure: float = 0.05) -> DataFrame:
     """Candidates whose difference is near the group's median and whose exposure is fair."""
-    median = df.groupBy(*by).agg(F.median("temporal_diff").alias("_median"))
+    median = exact_quantiles(df, by, "temporal_diff", {"_median": 0.5})
     limit = F.greatest(F.col("_median") * multiplier, F.col("_median") + 2.0)
     return df.join(median, by).where((F.col("temporal_diff") <= limit) & (F.col("exposure_outlier_ratio") <= exposure)).drop("_median")
 

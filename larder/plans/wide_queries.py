@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from larder.operators import assign, retrieval
 from larder.operators.paging import top
+from larder.operators.quantiles import deep_page, exact_quantiles
+from larder.plans import queries as plain
 from larder.plans.queries import SQL, _events, _images, _records, query
 from larder.sources.files import table
+from larder.sources.scratch import shared_folder
 from larder.streaming import background
 
 
@@ -60,3 +65,47 @@ def vector_topk_all(spark, d):
     index = e.select(F.col("vec_id").alias("item_id"), "label", F.col("embedding").alias("vector"))
     hits = retrieval.top_k(queries, index, 4, 0.3).where("query_id <> item_id or item_id % 2 = 0")
     return top(hits, 3, ["query_id"], [F.desc("similarity"), F.col("item_id")]).withColumn("similarity", F.round("similarity", 4))
+
+
+@query("""
+    SELECT l_linestatus, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.999), 4) AS p999,
+           round(quantile_cont(l_quantity, 0.25), 4) AS q25 FROM lineitem GROUP BY 1
+    UNION ALL SELECT 'all', round(quantile_cont(l_extendedprice, 0.1), 4), round(quantile_cont(l_extendedprice, 0.5), 4), round(quantile_cont(l_extendedprice, 0.999), 4), round(quantile_cont(l_quantity, 0.25), 4) FROM lineitem
+""")
+def hot_percentiles(spark, d):
+    """Percentiles of all line items as one group, and of two large ones."""
+    l = table(spark, d, "lineitem").select(F.explode(F.array(F.lit("all"), "l_linestatus")).alias("l_linestatus"), "l_extendedprice", "l_quantity")
+    price = exact_quantiles(l, ["l_linestatus"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p999": 0.999})
+    out = price.join(exact_quantiles(l, ["l_linestatus"], "l_quantity", {"q25": 0.25}), "l_linestatus")
+    return out.select("l_linestatus", *(F.round(c, 4).alias(c) for c in ("p10", "p50", "p999", "q25")))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
+    QUALIFY row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) BETWEEN (SELECT count(*) // 2 // 20 * 20 + 1 FROM lineitem) AND (SELECT count(*) // 2 // 20 * 20 + 20 FROM lineitem)
+""")
+def middle_page(spark, d):
+    """L1: the page in the middle of all line items, the dearest first. The page is the feature."""
+    l = table(spark, d, "lineitem")
+    order = [("l_extendedprice", False), *((c, True) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))]
+    out = deep_page(l, order, l.count() // 2 // 20 + 1, 20)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+SQL["incremental_logs"] = SQL["daily_log"].replace("FROM orders),", "FROM orders WHERE o_orderkey % 11 <> 0),", 1)
+
+
+@query(SQL["incremental_logs"])
+def incremental_logs(spark, d):
+    """Daily logs after three batches of matches, of which the last takes some matches back."""
+    from larder.streaming.logs import DailyLogs
+
+    matches, lines, parts = plain._log_inputs(spark, d)
+    logs = DailyLogs(spark, f"{shared_folder(spark)}/larder-logs-{uuid.uuid4().hex}", lines, parts, ["quantity", "price"], "o_custkey", "day")
+    third = F.col("match_id") % 3
+    batch = lambda at, status, version: matches.where(at).withColumns({"status": status, "version": F.lit(version)})
+    logs.apply(batch(third == 0, F.lit("matched"), 1), 0)
+    logs.apply(batch(third > 0, F.lit("confirmed"), 1), 1)
+    logs.apply(batch((F.col("match_id") % 11 == 0) | (F.col("match_id") % 7 == 0), F.when(F.col("match_id") % 11 == 0, "unmatched_record").otherwise("confirmed"), 2), 2)
+    out = logs.logs()
+    return out.select("o_custkey", F.date_format("day", "yyyy-MM-dd").alias("day"), "meal_count", F.col("quantity").cast("double").alias("quantity"), F.col("price").cast("double").alias("price"), F.array_join("items", ",").alias("items"))
