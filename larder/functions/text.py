@@ -172,3 +172,18 @@ def bytes_of_data_url(value: Column) -> Column:
 def option_lines(names: list[tuple[str, Column]]) -> Column:
     """label: value lines of the values that aren't blank."""
     return F.concat_ws("\n", *(F.when(stripped(v.cast("string")) != "", F.concat(F.lit(f"{k}: "), stripped(v.cast("string")))) for k, v in names))
+
+
+def truncated_tokens(tokens: Column, special: list, most: int) -> Column:
+    """At most `most` of the tokens, in order: every special one, and as many of the others from the front
+    as there is room for; more only if there are more special ones (F41). One pass finds the last that
+    stays."""
+    is_special = lambda x: F.array_contains(F.array(*map(F.lit, special)), x)
+    plain = F.filter(F.transform(tokens, lambda x, i: F.when(~is_special(x), i)), lambda i: i.isNotNull())
+    room = most - (F.size(tokens) - F.size(plain))
+
+    def cut(last: Column) -> Column:
+        return F.filter(tokens, lambda x, i: is_special(x) | (i <= last))
+
+    last = F.when(room > 0, F.coalesce(F.get(plain, room - 1), F.size(tokens))).otherwise(-1)
+    return F.when(F.size(tokens) <= most, tokens).otherwise(bound(last, cut))

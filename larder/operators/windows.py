@@ -67,3 +67,12 @@ def running_peak(df: DataFrame, by: list[str], order: list[str], value: str, at:
     """Where the running maximum was met last."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.max_by(F.col(at), F.struct(F.col(value), F.col(at))).over(w))
+
+
+def evenly(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
+    """At most `most` rows of each group, evenly spread over its order, first and last included."""
+    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    n = F.count("*").over(Window.partitionBy(*by))
+    places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.bround(j * (F.col("_n") - 1) / max(1, most - 1)).cast("long"))
+    out = df.withColumns({"_at": at.cast("long"), "_n": n}).where((F.col("_n") <= most) | F.array_contains(places, F.col("_at")))
+    return out.drop("_at", "_n")

@@ -4,6 +4,7 @@ reports that `queries` doesn't reach. Each calls the operators that it names."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder.functions import geometry, numbers, text, times
 from larder.operators import aggregates, assign, filters, joins, merge, paging, retrieval, windows
@@ -212,22 +213,24 @@ def sharp_frames(spark, d):
 
 
 @query("""
-    WITH f AS (SELECT l_orderkey AS g, l_linenumber::BIGINT AS frame_no, l_partkey, ln(1 + l_quantity) AS a, ln(1 + l_extendedprice) AS b, ln(1 + (l_suppkey % 17)::DOUBLE) AS c, l_tax AS h, l_discount AS k FROM lineitem),
+    WITH f AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS frame_no, l_partkey, ln(1 + l_quantity) AS a, ln(1 + l_extendedprice) AS b, ln(1 + (l_suppkey % 17)::DOUBLE) AS c, l_tax AS h, l_discount AS k FROM lineitem),
     s AS (SELECT *, CASE WHEN max(a) OVER w - min(a) OVER w < 1e-9 THEN 1 ELSE (a - min(a) OVER w) / (max(a) OVER w - min(a) OVER w) END AS na,
       CASE WHEN max(b) OVER w - min(b) OVER w < 1e-9 THEN 1 ELSE (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w) END AS nb,
       CASE WHEN max(c) OVER w - min(c) OVER w < 1e-9 THEN 1 ELSE (c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w) END AS nc,
       CASE WHEN max(h) OVER w - min(h) OVER w < 1e-9 THEN 1 ELSE (h - min(h) OVER w) / (max(h) OVER w - min(h) OVER w) END AS nh,
       CASE WHEN max(k) OVER w - min(k) OVER w < 1e-9 THEN 1 ELSE (k - min(k) OVER w) / (max(k) OVER w - min(k) OVER w) END AS nk FROM f WINDOW w AS (PARTITION BY g))
-    SELECT g, frame_no, l_partkey, round(0.35 * na + 0.35 * nb + 0.2 * nc + 0.1 * nh, 6) AS clarity, round(0.6 * (0.35 * na + 0.35 * nb + 0.2 * nc + 0.1 * nh) + 0.4 * nk, 6) AS score FROM s
+    SELECT g, frame_no, l_partkey, round(0.35 * na + 0.35 * nb + 0.2 * nc + 0.1 * nh, 6) AS clarity, round(0.6 * (0.35 * na + 0.35 * nb + 0.2 * nc + 0.1 * nh) + 0.4 * nk, 6) AS score,
+           row_number() OVER (PARTITION BY g ORDER BY 0.6 * (0.35 * na + 0.35 * nb + 0.2 * nc + 0.1 * nh) + 0.4 * nk DESC, 0.35 * na + 0.35 * nb + 0.2 * nc + 0.1 * nh DESC, frame_no)::INTEGER AS rank FROM s
 """)
 def frame_scores(spark, d):
-    """W4, by clarity and score; ranks follow from them."""
+    """W4."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")
     f = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("g"), F.col("l_linenumber").cast("long").alias("frame_no"), "l_partkey", F.col("l_quantity").alias("laplacian"), F.col("l_extendedprice").alias("tenengrad"),
+        F.col("l_orderkey").alias("g"), place.alias("frame_no"), "l_partkey", F.col("l_quantity").alias("laplacian"), F.col("l_extendedprice").alias("tenengrad"),
         (F.col("l_suppkey") % 17).cast("double").alias("local_clarity"), F.col("l_tax").alias("high_freq_ratio"), F.col("l_discount").alias("completeness"),
         F.lit(0.0).alias("edge_touch_ratio"), F.lit(0.0).alias("center_distance_ratio"),
     )
-    return windows.ranked_frames(f, ["g"]).select("g", "frame_no", "l_partkey", F.round("clarity", 6).alias("clarity"), F.round("score", 6).alias("score"))
+    return windows.ranked_frames(f, ["g"]).select("g", "frame_no", "l_partkey", F.round("clarity", 6).alias("clarity"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("""
@@ -497,8 +500,6 @@ def stream_channels(spark, d):
 """)
 def channel_list(spark, d):
     """The last of each channel; the list, one row a channel, is numbered in its order."""
-    from pyspark.sql.window import Window
-
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.expr("CASE WHEN c_nationkey % 4 = 0 THEN concat(' a', c_nationkey, ' ') ELSE concat(c_nationkey, ' ') END").alias("channel_id"))
     last = listings.last_channels(c).groupBy("channel_id").agg(F.max("pos").alias("last_pos"))
     return last.withColumn("place", F.row_number().over(Window.orderBy(*listings.numeric_first("channel_id"))).cast("long"))
@@ -572,3 +573,75 @@ def parts_to_analyse(spark, d):
 def nations_by_ids(spark, d):
     """Rows of given ids; a repeated and an unknown id add none. The ids are the feature."""
     return by_ids(table(spark, d, "nation"), "n_nationkey", [5, 3, 3, 24, 999]).select("n_nationkey", "n_name")
+
+
+@query("""
+    WITH t AS (SELECT doc_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL)),
+    s AS (SELECT *, len(w) <= 2 AS special, count(*) FILTER (len(w) > 2) OVER (PARTITION BY doc_id ORDER BY i) AS others, 40 - count(*) FILTER (len(w) <= 2) OVER (PARTITION BY doc_id) AS room FROM t)
+    SELECT doc_id, count(*) AS n_kept, sum(i)::BIGINT AS places, string_agg(len(w)::VARCHAR, ' ' ORDER BY i) AS lengths FROM s WHERE n <= 40 OR special OR others <= room GROUP BY doc_id
+""")
+def truncated_tokens(spark, d):
+    """at most forty words of a text, but all of one or two letters. The forty are the feature."""
+    words = F.transform(F.split("text", " ", -1), lambda w: F.length(w))
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.transform(words, lambda n, i: F.when(n <= 2, n - 3).otherwise(i * 100_000 + n)).alias("w"))
+    kept = t.select("doc_id", text.truncated_tokens(F.col("w"), [-3, -2, -1], 40).alias("kept"), "w")
+    # a long word's number holds its place; short words are looked up in the whole
+    short = F.aggregate(F.transform("w", lambda x, i: F.when(x < 0, i + 1).otherwise(0)).cast("array<long>"), F.lit(0).cast("long"), lambda a, x: a + x)
+    long_ = F.aggregate(F.transform("kept", lambda x: F.when(x > 0, F.floor(x / 100_000) + 1).otherwise(0)).cast("array<long>"), F.lit(0).cast("long"), lambda a, x: a + x)
+    lengths = F.array_join(F.transform("kept", lambda x: F.when(x < 0, x + 3).otherwise(x % 100_000)).cast("array<string>"), " ")
+    return kept.select("doc_id", F.size("kept").cast("long").alias("n_kept"), (short + long_).alias("places"), lengths.alias("lengths"))
+
+
+@query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+def distinct_classes(spark, d):
+    """A6."""
+    return table(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct()
+
+
+@query("""
+    SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY 1
+""")
+def sync_counters(spark, d):
+    """A user's events as what a sync saw."""
+    return aggregates.counts_of(_events(spark, d), "event_type", ["view", "purchase", "error"], by=["user_id"])
+
+
+@query("""
+    WITH f AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+    SELECT event_id, user_id FROM f WHERE n <= 8 OR i IN (SELECT round_even(j * (n - 1) / 7.0, 0)::BIGINT FROM range(8) r(j))
+""")
+def even_frames(spark, d):
+    """eight of a user's events, evenly spread. The eight are the feature."""
+    return windows.evenly(_events(spark, d), ["user_id"], ["ts", "event_id"], 8).select("event_id", "user_id")
+
+
+@query("""
+    SELECT o_orderkey, '班级 ' || o_custkey || ' 营养报告 ' || strftime(o_orderdate, '%Y-%m-%d') || ' - ' || strftime(o_orderdate + INTERVAL 6 DAY, '%Y-%m-%d') AS class_summary,
+           strftime(o_orderdate, '%Y-%m-%d') || ' 至 ' || strftime(o_orderdate + INTERVAL 6 DAY, '%Y-%m-%d') || ' | 综合评分：' || o_custkey % 101 || '分' AS push_summary FROM orders
+""")
+def report_summaries(spark, d):
+    """F25."""
+    start = F.to_date("o_orderdate")
+    return table(spark, d, "orders").select(
+        "o_orderkey", meals.class_summary(F.col("o_custkey"), start, F.date_add(start, 6)).alias("class_summary"), meals.push_summary(start, F.date_add(start, 6), F.col("o_custkey") % 101).alias("push_summary")
+    )
+
+
+@query("""
+    WITH q AS (SELECT vec_id, vec_id // 5 AS image_id, vec_id % 5 AS region, list_transform(embedding, lambda x: least(greatest(floor(x::DOUBLE * 256 + 128), 0), 255) - 128) AS v FROM embeddings),
+    n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM q),
+    p AS (SELECT n.image_id, n.region, e.vec_id AS item_id, e.label, list_dot_product(n.v, e.embedding::DOUBLE[]) / n.n AS s FROM n, embeddings e),
+    b AS (SELECT * FROM p WHERE s >= 0.35 QUALIFY row_number() OVER (PARTITION BY image_id, region ORDER BY s DESC, item_id) = 1)
+    SELECT image_id, region::INTEGER AS region, item_id, label, round(least(1.0, s), 4) AS confidence FROM b QUALIFY row_number() OVER (PARTITION BY image_id, label ORDER BY least(1.0, s) DESC, region) = 1
+""")
+def recognised_images(spark, d):
+    """V4, V9: five vectors an image, as bytes, found again among all."""
+    import numpy as np
+
+    e = table(spark, d, "embeddings")
+    data = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.floor(x.cast("double") * 256 + 128), F.lit(0)), F.lit(255))), 2, "0")), ""))
+    regions = e.select(F.floor(F.col("vec_id") / 5).alias("image_id"), (F.col("vec_id") % 5).cast("int").alias("region"), data.alias("data"))
+    images = regions.select("image_id").distinct().withColumn("data", F.lit(None).cast("binary"))
+    index = e.select(F.col("vec_id").alias("item_id"), "label", F.col("embedding").alias("vector"))
+    found = retrieval.recognised(images, regions, index, lambda b: np.frombuffer(b, np.uint8).astype(np.float64) - 128)
+    return found.select("image_id", "region", "item_id", "label", F.round("confidence", 4).alias("confidence"))
