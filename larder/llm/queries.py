@@ -192,3 +192,32 @@ SQL["op13_hard_negatives"] = """
     FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
     QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3
 """
+
+
+#: What can be reached from each node by `links` (a, b), which hold both directions.
+_REACHED = "reach AS (SELECT id AS node, id AS other FROM nodes UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a)"
+
+SQL["op6_embedding_near_dedup"] = f"""
+    WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v,
+                  len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good FROM embeddings),
+    links AS (SELECT a.id AS a, b.id AS b FROM nodes a JOIN nodes b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.good AND b.good AND list_cosine_similarity(a.v, b.v) >= 0.9),
+    {_REACHED}
+    SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, c.component_id, id = c.component_id AS kept
+    FROM nodes JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY 1) c ON node = id
+"""
+
+# Similar sets share one of their rarest quarter of shingles.
+SQL["op8_ngram_jaccard_join"] = f"""
+    WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    u AS (SELECT id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+    g AS (SELECT id, x || ' ' || lead(x, 1) OVER q || ' ' || lead(x, 2) OVER q || ' ' || lead(x, 3) OVER q || ' ' || lead(x, 4) OVER q AS s FROM u WINDOW q AS (PARTITION BY id ORDER BY i)),
+    d AS (SELECT DISTINCT id, s FROM g WHERE s IS NOT NULL UNION ALL SELECT id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+    t AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM d),
+    nodes AS (SELECT w.id, coalesce(n, 0) AS n FROM w LEFT JOIN (SELECT id, count(*) AS n FROM d GROUP BY id) k ON w.id = k.id),
+    p AS (SELECT t.* FROM t JOIN (SELECT s, count(*) AS c FROM t GROUP BY s) USING (s) QUALIFY row_number() OVER (PARTITION BY id ORDER BY c, s) <= n - (75 * n + 99) // 100 + 1),
+    near AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.s = y.s AND x.id < y.id AND 100 * y.n >= 75 * x.n AND 100 * x.n >= 75 * y.n),
+    one AS (SELECT a, b FROM near JOIN t x ON a = x.id JOIN t y ON b = y.id AND x.s = y.s GROUP BY a, b HAVING 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))),
+    links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+    {_REACHED}
+    SELECT id AS doc_id, n AS n_shingles, component_id FROM nodes JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY 1) ON node = id
+"""

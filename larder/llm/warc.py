@@ -12,7 +12,8 @@ import html
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -26,15 +27,16 @@ DERIVED = (
 )
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs
 
-_RAW = r"<!--.*?-->|<(script|style|noscript|template|title)\b[^>]*>.*?</\1\s*>"
+_HIDDEN = "script|style|noscript|template|title|head"
 _NAMES = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|aside|nav|header|footer|main|body|html|blockquote|pre|hr|form|figure"
-# unclosed comments, scripts and styles go to the end of the page; the tags alone of other unclosed elements
-_DROP = re.compile(_RAW + r"|<!--.*|<(?:script|style)\b[^>]*>.*|(?P<head><head\b[^>]*>)", re.S | re.I)
-_IN_HEAD = re.compile(_RAW + rf"|(?P<end></head\s*>)|(?=<(?:{_NAMES})\b)", re.S | re.I)
+_START = re.compile(rf"<(!--|(?:{_HIDDEN})\b)", re.I)
+_END = re.compile(rf"</({_HIDDEN})\s*>", re.I)
+_BLOCK_START = re.compile(rf"<(?:{_NAMES})\b", re.I)
 _BLOCK = re.compile(rf"</?(?:{_NAMES})\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
+_ANCHOR = re.compile(r"<a\b", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*", re.I)
+_VALUE = re.compile(r"""("[^"]*"|'[^']*'|[^\s>"']+)""")
 _CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,16})[ \t]*(?:;[^\r\n]*)?\r\n")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
@@ -52,32 +54,119 @@ def _head(fields: list[tuple[str, str]]) -> str:
     return "WARC/1.1\r\n" + "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields)
 
 
-def _shown(page: str) -> str:
+def _onward(page: str, mark: str) -> Callable[[int], int]:
+    """find(i): the next place of `mark` from i on, -1 if there is none; i must not go back, and the page is
+    walked once in all."""
+    at = 0
+
+    def find(i: int) -> int:
+        nonlocal at
+        if 0 <= at < i or not at:
+            at = page.find(mark, i)
+        return at
+
+    return find
+
+
+class Elements:
+    """Where the comments and the hidden elements of a page lie. Marks are looked up, never searched for
+    twice, so that a page costs what its length costs, whatever in it is left open."""
+
+    def __init__(self, page: str):
+        self.page, self.ends = page, {}
+        for m in _END.finditer(page):
+            self.ends.setdefault(m[1].lower(), []).append((m.start(), m.end()))
+        #: (start, end, name, whether it ends by an end tag); a head's end is that of its start tag
+        self.spans: list[tuple[int, int, str, bool]] = []
+        self.title = None
+        closed, arrow = _onward(page, ">"), _onward(page, "-->")
+        for m in _START.finditer(page):
+            name = m[1].lower()
+            if name == "!--":
+                end = arrow(m.end())
+                self.spans.append((m.start(), end + 3 if end >= 0 else len(page), name, end >= 0))
+                continue
+            tag = closed(m.end())
+            if tag < 0:
+                continue  # no tag
+            ends = self.ends.get(name, [])
+            i = bisect_left(ends, (tag + 1,))
+            if name == "head":
+                self.spans.append((m.start(), tag + 1, name, False))
+            elif i < len(ends):
+                self.spans.append((m.start(), ends[i][1], name, True))
+                if name == "title" and self.title is None:
+                    self.title = page[tag + 1 : ends[i][0]]
+            elif name in ("script", "style"):
+                self.spans.append((m.start(), len(page), name, False))
+        self.starts = [s for s, *_ in self.spans]
+        whole = [(s, e) for s, e, _, good in self.spans if good]
+        self.whole, self.whole_starts = whole, [s for s, _ in whole]
+        self.blocks = [m.start() for m in _BLOCK_START.finditer(page)]
+        self.head_end: tuple[int, int | None] | None = None
+
+    def head_until(self, at: int) -> tuple[int, int | None]:
+        """(start, end) of the end tag of a head that is open at `at`, outside of comments and hidden
+        elements; or (start, None) of the block element that ends it, or of the page's end."""
+        if self.head_end is not None and self.head_end[0] >= at:
+            return self.head_end
+        ends = self.ends.get("head", [])
+        while True:
+            i, j, k = bisect_left(self.whole_starts, at), bisect_left(ends, (at,)), bisect_left(self.blocks, at)
+            n = len(self.page)
+            raw = self.whole_starts[i] if i < len(self.whole) else n
+            end, block = ends[j][0] if j < len(ends) else n, self.blocks[k] if k < len(self.blocks) else n
+            if raw < min(end, block):
+                at = self.whole[i][1]
+                continue
+            self.head_end = (end, ends[j][1]) if end < block else (block, None)
+            return self.head_end
+
+
+def _shown(page: str, found: Elements) -> str:
     """A page without comments, scripts, styles, noscript, templates and head. A head without an end tag
-    ends at the body or the first block element; of one that is followed by text alone, the title goes."""
+    ends at the body or the first block element; of one that is followed by text alone, the title goes.
+    Comments, scripts and styles without an end go to the page's; of other elements without one the tags
+    alone go."""
     out, at, titles = [], 0, 0  # titles before that place are a head's
-    while found := _DROP.search(page, at):
-        out.append(page[at : found.start()])
-        at = found.end()
-        if (found[1] or "").lower() == "title" and found.start() >= titles:
-            out.append(found[0])
+    while (i := bisect_left(found.starts, at)) < len(found.spans):
+        start, end, name, _ = found.spans[i]
+        out.append(page[at:start])
+        at = end
+        if name == "title" and start >= titles:
+            out.append(page[start:end])
             continue
         out.append(" ")
-        if found["head"]:
-            inside, end = at, None
-            while (end := _IN_HEAD.search(page, inside)) and end[0] and not end["end"]:
-                inside = end.end()
-            if end and end["end"]:
-                at = end.end()
+        if name == "head":
+            start, end = found.head_until(at)
+            if end is not None:
+                at = end
             else:
-                titles = end.start() if end else len(page)
+                titles = start
     return "".join([*out, page[at:]])
 
 
-def plain_text(page: str) -> str:
+def links(page: str) -> list[str]:
+    """The targets of a page's anchors, as they stand."""
+    places = [(m.start(), v) for m in _HREF.finditer(page) if (v := _VALUE.match(page, m.end()))]
+    starts, closed = [s for s, _ in places], _onward(page, ">")
+    out, at = [], 0
+    for m in _ANCHOR.finditer(page):
+        if m.start() < at:
+            continue  # within the value of the link before
+        end, i = closed(m.end()), bisect_left(starts, m.end())
+        if i < len(places) and (starts[i] < end or end < 0):
+            out.append(places[i][1][1])
+            at = places[i][1].end()
+    return out
+
+
+def plain_text(page: str, found: Elements | None = None) -> str:
     """The text of a page: no comments, scripts, styles or head; a line per block element; white space,
     line breaks of the page's source among it, collapsed, empty lines left out."""
-    text = _TAG.sub("", _BLOCK.sub("\n", " ".join(_shown(page).split())))
+    text = " ".join(_shown(page, found or Elements(page)).split())
+    last = text.rfind(">") + 1  # no tag ends after it
+    text = _TAG.sub("", _BLOCK.sub("\n", text[:last])) + text[last:]
     lines = (" ".join(html.unescape(line).split()) for line in text.split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -182,16 +271,16 @@ def derived(number: int | None, name: str, target: str, date: str, head: str, bl
     except LookupError:
         page = body.decode("utf-8", "replace")
     block_digest, payload_digest = source.get("warc-block-digest") or digest(block), source.get("warc-payload-digest") or digest(payload)
-    title = _TITLE.search(page)
-    links = dict.fromkeys(html.unescape(m.strip("\"'")).strip() for m in _LINK.findall(page))
+    found = Elements(page)
+    targets = dict.fromkeys(html.unescape(x.strip("\"'")).strip() for x in links(page))
     out = []
     for record_type, content_type, content in (
         ("metadata", "application/warc-fields", "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in [
             ("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in fields),
             ("source-record-id", name), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest),
-            *([("title", html.unescape(title[1]))] if title else []), *(("outlink", _joined(target, x)) for x in links if x),
+            *([("title", html.unescape(found.title))] if found.title is not None else []), *(("outlink", _joined(target, x)) for x in targets if x),
         ])),
-        ("conversion", "text/plain; charset=utf-8", plain_text(page)),
+        ("conversion", "text/plain; charset=utf-8", plain_text(page, found)),
     ):
         data = content.encode("utf-8", "replace")
         own = record_id(record_type, name)

@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import time
 import zlib
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -527,6 +528,23 @@ def test_plain_text_of_pages_with_open_elements(page, text):
     assert warc.plain_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "part, times",
+    [("<noscript>", 20_000), ("<template>", 20_000), ("<title>", 20_000), ("<head>", 5_000), ("<head><title>", 5_000), ("<a ", 20_000), ("<script ", 20_000), ("<!--", 20_000),
+     ("<a href='", 20_001), ("<head></title>", 9_000), ("<p ", 30_000), ("<head><!-- --><p", 9_000), ("<a href=>", 20_000)],
+)
+def test_open_elements_cost_no_more_than_their_length(part, times):
+    began = time.perf_counter()
+    assert len(warc.derived(1, "<r>", "http://u/", "d", "", b"HTTP/1.1 200 OK\r\n\r\n" + (part * times).encode())) == 2
+    assert time.perf_counter() - began < 1
+
+
+def test_titles_and_links_of_pages_with_open_elements():
+    page = "<!-- <title>a</title> <a href=1> --><a <a href=2><a x href='3>' href=4><a href=\"5'><title>b"
+    assert warc.Elements(page).title == "a" and warc.links(page) == ["1", "2", "'3>'"]
+    assert warc.links('<a href= "x y" ><A HREF=z>') == ['"x y"', "z"] and warc.links("<abbr href=1><a>href=2") == []
+
+
 def chunked(data, n=7):
     return b"".join(b"%x;e=1\r\n%s\r\n" % (len(data[i : i + n]), data[i : i + n]) for i in range(0, len(data), n)) + b"0\r\nT: x\r\n\r\n"
 
