@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larder.functions.vectors import normalised
+
 # Fields of an event record, in order (K9).
 EVENT_FIELDS = ["timestamp", "image_path", "candidate_frame_count", "best_score", "frame_no", "peak_frame_no", "diff_score", "low_quality", "quality_note"]
 
@@ -60,8 +62,11 @@ class VersionedTable:
             return None
         return json.loads(self.spark.read.text(f"{self.path}/current").first()[0])["version"]
 
-    def write(self, df: DataFrame, name: str | None = None) -> str:
+    def write(self, df: DataFrame, name: str | None = None, vector: str | None = None) -> str:
+        """`vector` names a column of vectors, which an index holds at length 1 and in single precision."""
         name = name or uuid.uuid4().hex
+        if vector:
+            df = df.withColumn(vector, normalised(F.col(vector)).cast("array<float>"))
         if "/" in name or name.startswith("."):
             raise ValueError(f"not a version name: {name}")
         df.write.parquet(f"{self.path}/versions/{name}")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from larder.functions import images as I
+from larder.functions.python import sharpness
 from larder.streaming import machines as M
 
 
@@ -221,3 +222,63 @@ def video_events(frames: DataFrame, key: str = "channel_id", view: View = View()
         return [event] if event else []
 
     return walked(frames, key, M.EVENT_SCHEMA, start, step, over)
+
+
+@dataclass(frozen=True)
+class TrayView:
+    """What counts as a tray, and which part of a frame is looked at."""
+
+    margin: float = 0.1  # of the frame that is left out on each side
+    delta: int = 25
+    blur: int = 5
+    least_orange: float = 0.05
+    centre: float = 0.15  # how far from the edges the tray's centre must be
+    bins: int = 32
+
+
+TRAY_SCHEMA = "frame_no int, present boolean, motion_pixels int, motion_score double, laplacian double, histogram array<double>, food_pixels int"
+
+
+class Tray:
+    """What the tray machine reads of a frame (T6, T7). A tray is there if enough of the view is orange and
+    the centre of that lies well inside. Motion is what changed by more than view.delta and isn't near skin.
+    Food is what is neither orange nor dark; its colours are counted by hue and saturation."""
+
+    def __init__(self, view: TrayView):
+        self.view, self.before = view, None
+
+    def apply(self, frame: np.ndarray) -> dict:
+        v = self.view
+        y, x = (int(n * v.margin) for n in frame.shape[:2])
+        frame = frame[y : max(y + 1, frame.shape[0] - y), x : max(x + 1, frame.shape[1] - x)]
+        if not frame.size or frame.shape[2] != 3:
+            return {"present": False, "motion_pixels": 0, "motion_score": 0.0, "laplacian": 0.0, "histogram": None, "food_pixels": 0}
+        hsv, grey, (h, w) = I.hsv(frame), I.grey(frame), frame.shape[:2]
+        orange = I.within(hsv, I.ORANGE)
+        present = bool(orange.any()) and orange.mean() >= v.least_orange
+        if present:
+            ys, xs = np.nonzero(orange)
+            present = all(n * v.centre < c < n * (1 - v.centre) for n, c in ((h, ys.mean()), (w, xs.mean())))
+        now = I.blurred(grey, v.blur).astype(np.int16)
+        moved = np.zeros((h, w), bool)
+        if self.before is not None and self.before.shape == now.shape:
+            moved = (np.abs(now - self.before) > v.delta) & ~I.dilated(I.within(hsv, I.SKIN), 7)
+        self.before = now
+        food = ~(orange | I.within(hsv, I.DARK))
+        bins = hsv[food][:, 0] * v.bins // 180 * v.bins + hsv[food][:, 1] * v.bins // 256
+        histogram = np.bincount(bins[hsv[food][:, 0] < 180], minlength=v.bins * v.bins)
+        n = int(moved.sum())
+        return {
+            "present": bool(present), "motion_pixels": n, "motion_score": n / now.size, "laplacian": sharpness(grey)[0],
+            "histogram": histogram.astype(np.float64).tolist(), "food_pixels": int(food.sum()),
+        }
+
+
+def tray_features(frames: DataFrame, key: str = "channel_id", view: TrayView = TrayView()) -> DataFrame:
+    """(key, TRAY_SCHEMA) of colour frames (channels = 3, blue first), for the machine `tray_selector`; a
+    frame without pixels has no tray and nothing that moved."""
+
+    def step(state: Tray, frame: dict) -> list[dict]:
+        return [{"frame_no": frame["frame_no"]} | state.apply(pixels_of(frame))]
+
+    return walked(frames, key, TRAY_SCHEMA, lambda: Tray(view), step)

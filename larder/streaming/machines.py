@@ -171,7 +171,9 @@ def tray_step(state: dict, frame: dict, s: Settings = Settings()) -> dict | None
     food_pixels.
     """
     no, present = frame["frame_no"], frame["present"]
-    state["buffer"] = [*state["buffer"], {k: frame.get(k) for k in ("frame_no", "laplacian", "motion_score", "histogram", "food_pixels")}][-s.window :]
+    colours = frame.get("histogram")
+    seen = {k: frame.get(k) for k in ("frame_no", "laplacian", "motion_score", "food_pixels")}
+    state["buffer"] = [*state["buffer"], seen | {"histogram": None if colours is None else [float(x) for x in colours]}][-s.window :]
 
     def peak() -> None:
         if frame["motion_score"] >= state["peak"]:

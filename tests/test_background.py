@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from larder.functions import images as I
 from larder.plans import queries as plans
 from larder.streaming import background as B
+from larder.streaming import events as E
 from larder.streaming import machines as M
 
 
@@ -161,3 +162,33 @@ def test_the_query_equals_plain_loops(spark, sf_dir):
             areas = np.bincount(label.ravel())[1:]
             assert found[c, no] == (areas[areas >= 4].sum(), max([0, *areas[areas >= 4]]))
     assert len(found) == len(vectors) and len({x for x, _ in found.values()}) > 5
+
+
+def tray_frame(i, colour=(40, 160, 60), at=8):
+    """A still orange tray with food of one colour on it, in the dark; skin passes in frame 6."""
+    frame = np.full((40, 40, 3), 30, np.uint8)
+    if 3 <= i < 14:
+        frame[at : at + 24, 8:32] = (20, 120, 240)
+        frame[14:26, 14:26] = colour
+        frame[15:25:2, 15:25] = 0  # sharp lines
+    if i == 6:
+        frame[8:12, 8:20] = (120, 160, 230)
+    return frame
+
+
+def test_trays_are_found_in_frames(spark):
+    other = (200, 60, 60)
+    frames = {"a": [tray_frame(i) for i in range(16)], "b": [tray_frame(i) for i in range(16)] + [tray_frame(i, other) for i in range(16)], "c": [tray_frame(i) for i in range(16)] * 2}
+    rows = [(c, i, 40, 3, f.tobytes()) for c, fs in frames.items() for i, f in enumerate(fs)] + [("d", 0, 40, 3, None), ("d", 1, 0, 3, b"x"), ("d", 2, 40, 1, bytes(1600))]
+    df = spark.createDataFrame(rows, "channel_id string, frame_no int, width int, channels int, pixels binary")
+    found = B.tray_features(df).cache()
+    seen = {(r["channel_id"], r["frame_no"]): r for r in found.collect()}
+    assert len(seen) == len(rows)
+    assert [i for i in range(16) if seen["a", i]["present"]] == list(range(3, 14))
+    assert seen["a", 3]["motion_pixels"] > 200 and seen["a", 5]["motion_pixels"] == 0 and seen["a", 9]["laplacian"] > 50
+    assert seen["a", 6]["motion_pixels"] == 0 < seen["a", 7]["motion_pixels"]  # skin hides motion where it is, not where it was
+    food = seen["a", 9]
+    assert food["food_pixels"] == 12 * 12 - 5 * 10 == sum(food["histogram"])
+    assert [seen["d", i]["present"] for i in range(3)] == [False] * 3 and seen["d", 0]["histogram"] is None
+    events = E.events(found, kind="tray_selector", settings=M.Settings(enter=3, sharp=10.0, food_pixels=20)).groupBy("channel_id").count().collect()
+    assert {r["channel_id"]: r["count"] for r in events} == {"a": 1, "b": 2, "c": 1}  # the same tray twice counts once

@@ -191,6 +191,14 @@ def test_versions_are_whole(spark, tmp_path):
     assert table.read().count() == 5
 
 
+def test_an_index_is_written_at_length_one(spark, tmp_path):
+    index = sinks.VersionedTable(spark, str(tmp_path / "index"))
+    index.write(spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "item_id long, vector array<double>"), vector="vector")
+    found = index.read()
+    assert found.schema["vector"].dataType.simpleString() == "array<float>"
+    assert {r["item_id"]: r["vector"] for r in found.collect()} == {1: pytest.approx([0.6, 0.8], abs=1e-7), 2: [0.0, 0.0], 3: None}
+
+
 def test_partitions_are_replaced(spark, tmp_path):
     path = str(tmp_path / "days")
     sinks.replace_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "id long, day string"), path, ["day"])
