@@ -54,7 +54,7 @@ def sizes_and_roles(spark, d):
     listed = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("["), F.col("o_custkey").cast("string"), F.lit(', "x", '), (F.col("o_orderkey") % 1000).cast("string"), F.lit("]"))).otherwise(ids)
     job = F.when(F.col("o_custkey") % 10 == 7, "L7").otherwise("S")
     pair = F.concat_ws(",", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 1000).cast("string"))
-    found = F.array_join(text.id_list(listed), ",")
+    o, found = o.withColumn("found", F.array_join(text.id_list(listed), ",")), F.col("found")
     return o.select(
         "o_orderkey", text.byte_size(size).alias("size"),
         F.when(F.col("o_custkey") == F.col("o_orderkey") % 1000, F.when(found == F.col("o_custkey").cast("string"), pair)).otherwise(found).alias("ids"),

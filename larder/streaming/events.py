@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larder.streaming import machines as M
+from larder.streaming.background import walked
 
 
 def _machine(kind: str) -> tuple[Callable, Callable, Callable | None]:
@@ -27,20 +28,21 @@ def _events(state: dict, frames: pd.DataFrame, step: Callable, s: M.Settings) ->
 
 
 def events(frames: DataFrame, key: str = "channel_id", kind: str = "legacy", settings: M.Settings = M.Settings()) -> DataFrame:
-    """(key, event columns) of all frames. A group is one recording: give a key that names it."""
+    """(key, event columns) of all frames. A key is one recording, whose frames a task walks in order,
+    holding the machine's state and no history. A null motion score is neither motion nor none."""
     start, step, flush = _machine(kind)
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_no")
-        state = start()
-        found = _events(state, pdf, step, settings)
-        last = flush(state, int(pdf["frame_no"].iloc[-1]), settings) if flush else None
-        out = pd.DataFrame(found + ([last] if last else []), columns=M.EVENT_COLUMNS)
-        out.insert(0, key, pdf[key].iloc[0])
-        return out
+    def take(state: dict, frame: dict) -> list[dict]:
+        state["last"] = frame["frame_no"]
+        score = frame.get("motion_score")
+        event = step(state["machine"], frame | {"motion_score": float("nan") if score is None else score}, settings)
+        return [event] if event else []
 
-    kind_of = frames.schema[key].dataType.simpleString()
-    return frames.groupBy(key).applyInPandas(of, f"{key} {kind_of}, {M.EVENT_SCHEMA}")
+    def over(state: dict) -> list[dict]:
+        event = flush(state["machine"], state["last"], settings) if flush else None
+        return [event] if event else []
+
+    return walked(frames, key, M.EVENT_SCHEMA, lambda: {"machine": start(), "last": 0}, take, over)
 
 
 def event_stream(frames: DataFrame, key: str = "channel_id", kind: str = "legacy", settings: M.Settings = M.Settings(), idle_ms: int = 60_000) -> DataFrame:
