@@ -3,11 +3,14 @@ components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,21 @@ class Tables:
                 dropped(self.spark, path)
 
 
+def handed_back(of: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`of`, for mapInArrow; when a task is over, the memory that its batches took goes back to the system,
+    for Python workers live on after it."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from of(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def fresh(columns: Iterable[str], *names: str) -> list[str]:
     """`names`, each with as many underscores in front as it takes to differ from all `columns`."""
     taken = {c.lower() for c in columns}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import bits_for, fresh, is_marked, marked, row_key, sized, written
+from larder.llm.common import bits_for, fresh, handed_back, is_marked, marked, row_key, sized, written
 from larder.llm.textops import ALNUM, power, rolling, slices, word_hashes
 
 KEY = ["key_a", "key_b"]
@@ -39,7 +39,7 @@ def item_grams(items: DataFrame, k: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["item_id", "n_words", "size", "grams"])
 
-    found = items.select("item_id", "text").mapInArrow(of, "item_id long, n_words long, size int, grams array<long>")
+    found = items.select("item_id", "text").mapInArrow(handed_back(of), "item_id long, n_words long, size int, grams array<long>")
     return written(found.withColumn("item", F.monotonically_increasing_id()), "items")
 
 
@@ -73,7 +73,7 @@ def seeds(docs: DataFrame, items: DataFrame) -> DataFrame:
                     names=[*KEY, "size", "pos", "grams"],
                 )
 
-    return docs.select(*KEY, "text").mapInArrow(of, "key_a long, key_b long, size int, pos array<int>, grams array<long>")
+    return docs.select(*KEY, "text").mapInArrow(handed_back(of), "key_a long, key_b long, size int, pos array<int>, grams array<long>")
 
 
 def _windows(pos: np.ndarray, total: np.ndarray, down: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def overlaps(docs: DataFrame, items: DataFrame, k: int = 4, threshold: float = 0
             )
 
     schema = "key_a long, key_b long, item long, item_id long, coverage double, tiles array<struct<pos:long,at:long,words:long>>"
-    return both.mapInArrow(of, schema).where(F.col("coverage") >= threshold)
+    return both.mapInArrow(handed_back(of), schema).where(F.col("coverage") >= threshold)
 
 
 def _items(items: DataFrame, item_id: str, item_text: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import crc_remainder
+from larder.llm.common import crc_remainder, handed_back
 
 _BITS = 16
 BUCKETS = 1 << _BITS
@@ -90,7 +90,7 @@ def language_counts(docs: DataFrame) -> DataFrame:
                 [pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(total[some])], names=["lang", "gram", "n"]
             )
 
-    return docs.select("text", "lang").mapInArrow(of, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(handed_back(of), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model(NamedTuple):
@@ -218,7 +218,7 @@ def predict(
                         rows[x].append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[x], kinds[x]) for x in out)], names=schema.names)
 
-    return docs.mapInArrow(of, schema)
+    return docs.mapInArrow(handed_back(of), schema)
 
 
 def identify(docs: DataFrame, penalty: float = 2.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

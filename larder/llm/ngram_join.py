@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.llm.common import Tables, bits_for, components, fresh, is_marked, marked, row_key, sized, written
+from larder.llm.common import Tables, bits_for, components, fresh, handed_back, is_marked, marked, row_key, sized, written
 from larder.llm.textops import mix, shingle_sets, slices
 
 #: Hashes that a task counts before it reports them.
@@ -54,7 +54,7 @@ def repeated_shingles(docs: DataFrame, k: int) -> DataFrame:
                     held, size = [], 0
         yield report()
 
-    counts = docs.select("text").mapInArrow(of, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(handed_back(of), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return counts.where("n > 1")
 
 
@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, k: int, percent: int, order: np.ndarray, repeate
                 names=["doc_id", *ROW, "n_shingles", "key_a", "key_b", "bitmap", "prefix"],
             )
 
-    return docs.select("doc_id", *ROW, "text").mapInArrow(of, SIGNATURES)
+    return docs.select("doc_id", *ROW, "text").mapInArrow(handed_back(of), SIGNATURES)
 
 
 def _keys(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -207,7 +207,7 @@ def _possible(blocks: DataFrame, percent: int, best: int | None) -> DataFrame:
             yield pairs(pa.concat_tables(held))
 
     placed = blocks.repartition("head", "low", "high").sortWithinPartitions("head", "low", "high", "block", "n", "doc")
-    return placed.mapInArrow(of, "a long, b long").distinct()
+    return placed.mapInArrow(handed_back(of), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int, alike: bool, tables: Tables) -> DataFrame:
@@ -229,7 +229,7 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percen
             packed = [zlib.compress(t.as_buffer(), 1) if t.is_valid else zlib.compress(b"") for t in some.column(2)]
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(packed, pa.binary())], names=[*ROW, "packed"])
 
-    texts = docs.select(*ROW, "text").mapInArrow(of, "row_a long, row_b long, packed binary")
+    texts = docs.select(*ROW, "text").mapInArrow(handed_back(of), "row_a long, row_b long, packed binary")
     texts = texts.join(sized(asked), ROW).select("class", "packed")
     texts = tables.put(texts.dropDuplicates(["class"]) if alike else texts, "texts")
     side = lambda x: texts.select(F.col("class").alias(x), F.col("packed").alias(f"text_{x}"))
@@ -248,7 +248,7 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percen
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    links = tables.put(both.mapInArrow(settle, "a long, b long").distinct(), "links")
+    links = tables.put(both.mapInArrow(handed_back(settle), "a long, b long").distinct(), "links")
     tables.drop("asked", "texts")
     return links
 

@@ -10,6 +10,8 @@ within their length.
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -21,24 +23,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from larder.llm.common import written
+from larder.llm.common import handed_back, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END_ID = 2
 _coders: dict[tuple, object] = {}
 
 
+def _tokenizer(json_file: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(json_file)
+
+
 def _coder(json_file: str, rank_file: str | None, pattern: str | None):
     """text -> ids, as tokenizers gives them for `json_file`. The rank file holds the same vocabulary and
     merges for tiktoken, which gives the same ids some three times as fast; texts that hold the string of
     a special token, or that tiktoken can't take, go to tokenizers."""
     key = (json_file, rank_file)
     if key not in _coders:
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(json_file)
-        special = [t.content for t in whole.get_added_tokens_decoder().values()]
-        slow = lambda x: np.array(whole.encode(x, add_special_tokens=False).ids, dtype=np.uint32)
+        with open(json_file, encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
+        whole = functools.cache(lambda: _tokenizer(json_file))  # some 30 MB, which few texts need
+        slow = lambda x: np.array(whole().encode(x, add_special_tokens=False).ids, dtype=np.uint32)
         if rank_file is None:
             _coders[key] = slow
         else:
@@ -86,7 +93,7 @@ def token_pieces(
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.mapInArrow(of, PIECES)
+    return docs.mapInArrow(handed_back(of), PIECES)
 
 
 def fillings(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
