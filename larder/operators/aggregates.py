@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.numbers import half_even, nutrient_score
+from larder.functions.numbers import half_even, mean, nutrient_score
 from larder.operators.paging import top
 from larder.operators.quantiles import exact_quantiles
 
@@ -50,7 +50,7 @@ def period_averages(logs: DataFrame, people: DataFrame, key: str, nutrients: lis
     means = (
         logs.where("meal_count > 0")
         .groupBy(key)
-        .agg(F.count("*").alias("meal_days"), *(half_even(F.avg(F.coalesce(n, F.lit(0))), digits).alias(n) for n in nutrients))
+        .agg(F.count("*").alias("meal_days"), *(half_even(mean(F.coalesce(n, F.lit(0))), digits).alias(n) for n in nutrients))
     )
     return people.select(key).join(means, key, "left").select(
         key, F.coalesce("meal_days", F.lit(0)).alias("meal_days"), *(F.coalesce(n, F.lit(0)).cast("double").alias(n) for n in nutrients)
@@ -87,8 +87,8 @@ def group_report(people: DataFrame, averages: DataFrame, alerts: DataFrame, key:
     flagged = alerts.select(key).distinct().withColumn("flag", F.lit(1))
     each = people.where("is_active").join(averages, key).join(flagged, key, "left").withColumn("score", score(recommended))
     return each.groupBy(group).agg(
-        F.count("*").alias("people"), *(half_even(F.avg(n), 1).alias(n) for n in nutrients),
-        half_even(F.avg("score"), 0).cast("int").alias("score"), F.count("flag").alias("flagged"),
+        F.count("*").alias("people"), *(half_even(mean(F.col(n)), 1).alias(n) for n in nutrients),
+        half_even(mean(F.col("score")), 0).cast("int").alias("score"), F.count("flag").alias("flagged"),
     )
 
 

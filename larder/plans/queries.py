@@ -192,7 +192,7 @@ def period_avg(spark, d):
 """)
 def ratio_alerts(spark, d):
     """A11."""
-    a = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("meal_days"), numbers.half_even(F.avg(F.col("o_totalprice").cast("decimal(18,2)")), 1).cast("double").alias("price"))
+    a = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("meal_days"), numbers.half_even(numbers.mean(F.col("o_totalprice").cast("decimal(18,2)")), 1).alias("price"))
     return aggregates.ratio_alerts(a, "o_custkey", {"price": 150000.0})
 
 
@@ -218,7 +218,7 @@ def top_items(spark, d):
 """)
 def class_rollup(spark, d):
     """Nations as classes; customers without orders count as 0."""
-    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(numbers.half_even(F.avg(F.col("o_totalprice").cast("decimal(18,2)")), 1).cast("double").alias("price"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(numbers.half_even(numbers.mean(F.col("o_totalprice").cast("decimal(18,2)")), 1).alias("price"))
     people = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.lit(True).alias("is_active"))
     means = people.select("c_custkey").join(o, "c_custkey", "left").withColumn("price", F.coalesce("price", F.lit(0.0)))
     return aggregates.group_report(people, means, o.where("price > 225000"), "c_custkey", "c_nationkey", ["price"], {"price": 150000.0})
