@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larder.functions.python import log
 from larder.operators.quantiles import exact_quantiles
 
 
@@ -34,7 +35,7 @@ def hard_filtered(df: DataFrame, by: list[str], multiplier: float = 1.8, exposur
 def ranked_frames(df: DataFrame, by: list[str], clarity: float = 0.6, completeness: float = 0.4) -> DataFrame:
     """Candidates with clarity, score and rank in their group."""
     logs = ["laplacian", "tenengrad", "local_clarity"]
-    out = df.withColumns({f"_{c}": F.log1p(F.greatest(F.lit(0.0), F.col(c))) for c in logs})
+    out = df.withColumns({f"_{c}": log(1 + F.greatest(F.lit(0.0), F.col(c))) for c in logs})
     scaled = [(f"_{c}", f"_n_{c}") for c in logs] + [("high_freq_ratio", "_n_freq"), ("completeness", "_n_complete")]
     for source, target in scaled:
         out = min_max(out, by, source, target)
