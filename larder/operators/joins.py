@@ -67,6 +67,27 @@ def unmatched(images: DataFrame, matches: DataFrame, key: str = "image_id") -> D
     return images.join(matches.where(F.col(key).isNotNull()).select(key), key, "left_anti")
 
 
+def without_near(images: DataFrame, records: DataFrame, image_time: str, record_time: str, seconds: float, key: str = "image_id") -> DataFrame:
+    """Images whose id has no record within `seconds` of it, both ends included.
+
+    No pairs are made. In a bucket of time as wide as the band all are near; of the bucket before only the last
+    record can be near, of the one after only the first. So records become their first and last of a bucket.
+    """
+    width = max(int(seconds * 1_000_000), 1)
+    at = F.floor(_micros(record_time) / width)
+    ends = records.where(F.col(record_time).isNotNull()).groupBy(at.alias("_bucket")).agg(F.min(_micros(record_time)).alias("_first"), F.max(_micros(record_time)).alias("_last"))
+    seen = ends.select(F.explode(F.sequence(F.col("_bucket") - 1, F.col("_bucket") + 1)).alias("_near"), "*")
+    # what an image of bucket _near may see: the last record before it, the first after it, or one of its own bucket
+    own = F.col("_near") == F.col("_bucket")
+    seen = seen.groupBy("_near").agg(
+        F.max(own).alias("_own"), F.max(F.when(F.col("_bucket") < F.col("_near"), F.col("_last"))).alias("_before"), F.min(F.when(F.col("_bucket") > F.col("_near"), F.col("_first"))).alias("_after")
+    )
+    t, band = _micros(image_time), int(seconds * 1_000_000)
+    near = F.coalesce("_own", F.lit(False)) | F.coalesce(t - F.col("_before") <= band, F.lit(False)) | F.coalesce(F.col("_after") - t <= band, F.lit(False))
+    found = images.withColumn("_near", F.floor(t / width)).join(seen, "_near", "left").withColumn("_found", near)
+    return unmatched(images, found.where("_found"), key)
+
+
 def match_listing(records: DataFrame, matches: DataFrame, key: str, match_order: list[Column]) -> DataFrame:
     """Records with their first match; those without get status unmatched_record."""
     first = matches.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*match_order))).where("_n = 1").drop("_n")

@@ -83,8 +83,7 @@ def band_match_reverse(spark, d):
 @query(f"WITH {_PAIRS} SELECT i.image_id FROM i WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.image_id = i.image_id)")
 def unmatched_anti(spark, d):
     """J5, J6."""
-    pairs = joins.band_join(_images(spark, d), _records(spark, d), "image_time", "record_time", 300)
-    return joins.unmatched(_images(spark, d).select("image_id"), pairs.select("image_id"))
+    return joins.without_near(_images(spark, d), _records(spark, d), "image_time", "record_time", 300).select("image_id")
 
 
 @query()
