@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 from larder.operators.nearest import nearest_in_band
 from larder.sources.scratch import Scratch, small
 
+_SENT = 20_000  # rows of a table that a round sends through the driver: there are many rounds
+
+
 def exclusive_match(records: DataFrame, images: DataFrame, seconds: float = 1.0, price_tolerance: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """(record_id, image_id, status, time_diff, price_diff), one row per record: as nearest_match, but an
     image that a record matched is gone for later ones; images matched by time alone stay (J2).
@@ -23,7 +26,8 @@ def exclusive_match(records: DataFrame, images: DataFrame, seconds: float = 1.0,
     image has it, and who loses one asks again. Nobody passes over what it could have, and what is lost goes
     to an earlier record, so this ends where taking records one after another ends. A round costs the
     records that still ask and the images near them; within a bucket of time losers are settled in the same
-    round. In the end those without an image look for the nearest that was still there at their turn.
+    round. In the end those without an image look for the nearest that was still there at their turn. Tables
+    of more than `_SENT` rows are joined by shuffles, so the driver's share of a round is bounded.
     """
     by = by or []
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -36,13 +40,13 @@ def exclusive_match(records: DataFrame, images: DataFrame, seconds: float = 1.0,
         if held is None:
             return i.withColumns({c: F.lit(None).cast("long") for c in ("until_at", "until_id")})
         taken = held.select(F.col("image").alias("id"), "until_at", F.col("record").alias("until_id"))
-        return i.join(small(taken), "id", "left")
+        return i.join(small(taken, _SENT), "id", "left")
 
     held, asking, turn = None, r, 0
     while True:
         first = turn == 0
         times = asking.select(F.col("id").alias("record"), F.col("at").alias("until_at"))
-        asked = nearest_in_band(asking, there(held), seconds, by, most=price_tolerance, few=not first).join(times if first else small(times), "record")
+        asked = nearest_in_band(asking, there(held), seconds, by, most=price_tolerance, few=not first, sent=_SENT).join(small(times, _SENT), "record")
         asked = asked.select("image", "record", "until_at", "price_diff", "time_diff", F.lit(True).alias("new"))
         asked = scratch.put(asked, "asked")
         if not first and asked.isEmpty():
@@ -53,13 +57,15 @@ def exclusive_match(records: DataFrame, images: DataFrame, seconds: float = 1.0,
         before = held
         held = scratch.put(best, f"held-{turn % 2}")  # `before` is still read below
         lost = asked.select("record") if before is None else asked.select("record").unionAll(before.select("record"))
-        asking = scratch.put(r.join(lost.join(held.select("record"), "record", "left_anti"), F.col("id") == F.col("record"), "left_semi"), "asking")
+        lost = scratch.put(lost.join(small(held.select("record"), _SENT), "record", "left_anti"), "lost")
+        asking = scratch.put(r.join(small(lost, _SENT), F.col("id") == F.col("record"), "left_semi"), "asking")
         turn += 1
         if asking.isEmpty():
             break
-    rest = r.join(held.select(F.col("record").alias("id")), "id", "left_anti")
-    near = nearest_in_band(rest, there(held), seconds, by)
+    rest = r.join(small(held.select(F.col("record").alias("id")), _SENT), "id", "left_anti")
+    near = nearest_in_band(rest, there(held), seconds, by, sent=_SENT)
     found = held.select("record", "image", F.lit("matched").alias("status"), "time_diff", "price_diff").unionByName(near.withColumn("status", F.lit("time_matched_only")))
+    found = small(scratch.put(found, "found"), _SENT)
     return r.select(F.col("id").alias("record_id")).join(found, F.col("record_id") == F.col("record"), "left").select(
         "record_id", F.col("image").alias("image_id"), F.coalesce("status", F.lit("unmatched_record")).alias("status"), (F.col("time_diff") / 1_000_000).alias("time_diff"), "price_diff"
     )

@@ -142,7 +142,7 @@ def _walk(keys: list[str], micros: int, most: float | None):
 
 
 def nearest_in_band(
-    records: DataFrame, images: DataFrame, seconds: float, by: list[str] | None = None, slice_rows: int = 65_536, most: float | None = None, few: bool = False
+    records: DataFrame, images: DataFrame, seconds: float, by: list[str] | None = None, slice_rows: int = 65_536, most: float | None = None, few: bool = False, sent: int = 200_000
 ) -> DataFrame:
     """(record, image, price_diff, time_diff in micros): for each record the image within `seconds` of it
     (both ends included) whose value is nearest; of equals the nearer in time, then the smaller id.
@@ -154,6 +154,7 @@ def nearest_in_band(
 
     With `most`, only images no further in value are found, and a record doesn't find what an earlier one of its bucket does.
     `few` says that there are few records, so that images out of their reach are left out first.
+    Tables of buckets of at most `sent` rows are broadcast.
     """
     by, micros = by or [], int(seconds * 1_000_000)
     width = max(micros, 1_000_000)
@@ -164,11 +165,11 @@ def nearest_in_band(
     i = whole(images).select(*by, "id", "at", F.nanvl(F.coalesce("value", F.lit(0.0)), F.lit(0.0)).alias("value"), end("until_at").alias("until_at"), end("until_id").alias("until_id"))
     i = i.withColumn("bucket", F.explode(F.sequence(bucket - 1, bucket + 1)))
     crowded = i.groupBy(*by, "bucket").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices")).where("slices > 1")
-    crowded = small(scratch.put(crowded, "crowded"))
+    crowded = small(scratch.put(crowded, "crowded"), sent)
     dealt = lambda df: df.join(crowded, [*by, "bucket"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     if few:
         near = scratch.put(whole(records).select(*by, bucket.alias("bucket")).distinct(), "buckets")
-        i = i.join(small(near), [*by, "bucket"], "left_semi")
+        i = i.join(small(near, sent), [*by, "bucket"], "left_semi")
     i = dealt(i).withColumn("slice", F.pmod(F.xxhash64("id"), "slices").cast("int"))
     r = whole(records).select(*by, "id", "at", F.coalesce("value", F.lit(float("nan"))).alias("value"), F.lit(0).cast("long").alias("until_at"), F.lit(0).cast("long").alias("until_id"), bucket.alias("bucket"))
     r = dealt(r).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))

@@ -45,5 +45,6 @@ class Scratch:
 
 def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """A stored table of a few keys and numbers a row, marked for broadcast while it has at most `most_rows`
-    (some 20 MB as a hash table); a larger one is left to a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    (some 20 MB as a hash table); a larger one is marked for a shuffled join, since Spark itself would send up
+    to a million rows of such a table, compressed to less than its threshold, through the driver."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df.hint("merge")
