@@ -9,10 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from larder.functions.numbers import clamped
-from larder.functions.vectors import normalised
 from larder.operators.paging import top
 from larder.sources.scratch import Scratch, small
 
@@ -21,7 +20,7 @@ _CELLS = 64
 
 
 def top_k(
-    queries: DataFrame, index: DataFrame, k: int = 5, threshold: float = 0.35, candidates: bool = False, cell_items: int = 4096, block_queries: int = 8192, block_items: int = 65_536
+    queries: DataFrame, index: DataFrame, k: int = 5, threshold: float = 0.35, candidates: bool = False, cell_items: int = 4096, block_queries: int = 32_768, block_items: int = 32_768
 ) -> DataFrame:
     """HITS: for each query the k most similar items of at least `threshold`.
 
@@ -31,22 +30,29 @@ def top_k(
     find nothing and aren't found; vectors meet those of their own length.
 
     Both sides are dealt into cells, those near one pivot (one for each `cell_items` items, 64 at most), and
-    cells into blocks of bounded size. Queries and items of a pair of cells meet, unless pivots, radii and
+    cells into blocks of bounded size; where cells leave out less than half of the products and copy more rows
+    than blocks alone would, all are one cell. Queries and items of a pair of cells meet, unless pivots, radii and
     norms say that no product can reach the threshold: a pair of blocks in a task, which returns k hits a
     query. Items are copied once for each block of queries that they may serve, queries once for each such
-    block of items; neither side goes through the driver.
+    block of items, in single precision if both sides are; neither side goes through the driver. Products are
+    of the query as given, summed in the order of components and then divided by its length, so that equal
+    vectors have equal similarities.
     """
     columns = ["query_id", "vector", *(["candidate_ids"] if candidates else [])]
     whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
-    double = F.col("vector").cast("array<double>")
-    q = queries.where(whole("vector")).select("query_id", normalised(double).alias("vector"), *columns[2:])
-    i = index.where(whole("vector")).select("item_id", "label", double.alias("vector"))
+    single = ArrayType(FloatType())
+    kind = "array<float>" if all(df.schema["vector"].dataType.simpleString() == single.simpleString() for df in (queries, index)) else "array<double>"
+    q = queries.where(whole("vector")).select("query_id", F.col("vector").cast(kind).alias("vector"), *columns[2:])
+    i = index.where(whole("vector")).select("item_id", "label", F.col("vector").cast(kind).alias("vector"))
     scratch = Scratch(index.sparkSession)
     n = i.count()
     pivots = [r["vector"] for r in i.orderBy(F.xxhash64("vector"), "vector").select("vector").limit(min(_CELLS, -(-n // cell_items))).collect()]  # 64 at most
     cells = _Cells(pivots)
-    q, i = scratch.put(cells.assigned(q), "queries"), scratch.put(cells.assigned(i), "items")
-    pairs = cells.pairs(q, i, threshold)
+    q, i = scratch.put(cells.assigned(q, of_length_1=True), "queries"), scratch.put(cells.assigned(i), "items")
+    pairs, useful = cells.pairs(q, i, threshold, block_queries, block_items)
+    if not useful:
+        q, i = q.withColumn("cell", F.lit(0)), i.withColumn("cell", F.lit(0))
+        pairs = pairs.select("dim", F.lit(0).alias("q_cell"), F.lit(0).alias("i_cell")).distinct()
     q = _blocks(q, "q", block_queries, "query_id", scratch).join(F.broadcast(pairs), ["dim", "q_cell"])  # pairs of cells, 4,096 a dimension at most
     i = _blocks(i, "i", block_items, "item_id", scratch).join(F.broadcast(pairs), ["dim", "i_cell"])
     # a query goes to each block of its partners' items, an item to each block of their queries
@@ -74,8 +80,8 @@ class _Cells:
         self.dim = max(dims, key=dims.count, default=0)
         self.pivots = np.array(list(dict.fromkeys(tuple(p) for p in pivots if len(p) == self.dim)), dtype=np.float64).reshape(-1, self.dim)
 
-    def assigned(self, df: DataFrame) -> DataFrame:
-        """`df` with dim, cell, far (from the pivot) and norm."""
+    def assigned(self, df: DataFrame, of_length_1: bool = False) -> DataFrame:
+        """`df` with dim, cell, far (from the pivot) and norm, of its vectors brought to length 1 or as they are."""
         pivots, dim = self.pivots, self.dim
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +91,10 @@ class _Cells:
                 cell, far, norm = np.zeros(len(batch), np.int32), np.zeros(len(batch)), np.zeros(len(batch))
                 own = np.flatnonzero(n == dim) if len(pivots) and dim else np.zeros(0, np.int64)
                 if len(own):
-                    x = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dim)
+                    x = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dim).astype(np.float64)
+                    if of_length_1:
+                        length = np.linalg.norm(x, axis=1)
+                        x = x / np.where(length <= 1e-12, 1.0, length)[:, None]
                     square = (x * x).sum(axis=1)
                     d = square[:, None] + (pivots * pivots).sum(axis=1) - 2 * (x @ pivots.T)
                     cell[own] = d.argmin(axis=1)
@@ -96,11 +105,12 @@ class _Cells:
         schema = StructType([*df.schema.fields, *StructType.fromDDL("dim int, cell int, far double, norm double").fields])
         return df.mapInArrow(of, schema)
 
-    def pairs(self, q: DataFrame, i: DataFrame, threshold: float) -> DataFrame:
-        """(dim, q_cell, i_cell) whose members' products may reach `threshold`. A query is p + a, an item r + b,
+    def pairs(self, q: DataFrame, i: DataFrame, threshold: float, block_queries: int, block_items: int) -> tuple[DataFrame, bool]:
+        """(dim, q_cell, i_cell) whose members' products may reach `threshold`, and whether cells save half of the
+        products, or copies. A query is p + a, an item r + b,
         |a| and |b| at most the cells' radii: their product is at most p.r + |a||r| + |b||p| + |a||b|, and at
         most |p + a||r + b|."""
-        known = lambda df: {(r["dim"], r["cell"]): r for r in df.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.max("norm").alias("norm")).collect()}
+        known = lambda df: {(r["dim"], r["cell"]): r for r in df.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.max("norm").alias("norm"), F.count("*").alias("n")).collect()}
         of_q, of_i = known(q), known(i)
         out = []
         for (d, c), x in of_q.items():
@@ -113,7 +123,12 @@ class _Cells:
                     most = min(p @ r + x["far"] * np.linalg.norm(r) + y["far"] * np.linalg.norm(p) + x["far"] * y["far"], x["norm"] * y["norm"])
                 if not most * (1 + 1e-9) + 1e-9 < threshold:
                     out.append((d, c, b))
-        return q.sparkSession.createDataFrame(out, "dim int, q_cell int, i_cell int")
+        cost = lambda n, m: np.array((n * m, m * -(-n // block_queries) + n * -(-m // block_items)))
+        total = lambda of, d: sum(x["n"] for (e, _), x in of.items() if e == d)
+        with_cells = sum((cost(of_q[d, c]["n"], of_i[d, b]["n"]) for d, c, b in out), np.zeros(2))
+        without = sum((cost(total(of_q, d), total(of_i, d)) for d in {d for d, _, _ in out}), np.zeros(2))
+        useful = with_cells[0] <= without[0] / 2 or with_cells[1] <= without[1]
+        return q.sparkSession.createDataFrame(out, "dim int, q_cell int, i_cell int"), bool(useful)
 
 
 def _blocks(df: DataFrame, side: str, rows: int, key: str, scratch: Scratch) -> DataFrame:
@@ -123,6 +138,14 @@ def _blocks(df: DataFrame, side: str, rows: int, key: str, scratch: Scratch) ->
     return out.withColumn(f"{side}_block", F.pmod(F.xxhash64(key), f"{side}_blocks").cast("int"))
 
 
+def _dots(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of rows i of x with rows j of y, summed in the order of components, wherever the rows lie."""
+    out = np.zeros(len(i))
+    for d in range(x.shape[1]):
+        out += x[i, d] * y[j, d]
+    return out
+
+
 def _hits(table: pa.Table, k: int, threshold: float) -> pa.Table:
     """The first k items of each query of one pair of blocks."""
     asks = table.column("asks").to_numpy(zero_copy_only=False)
@@ -131,18 +154,28 @@ def _hits(table: pa.Table, k: int, threshold: float) -> pa.Table:
     query, item, similar = none, none, np.zeros(0)
     if len(a) and len(b):
         dim = table.column("dim")[0].as_py()
-        x, y = (t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), dim) for t in (a, b))
+        x, y = (t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), dim).astype(np.float64) for t in (a, b))
         ids, labels, wanted = b.column("id").to_numpy(), b.column("label").to_numpy(), a.column("wanted").to_pylist()
+        length = np.sqrt(_dots(x, x, np.arange(len(a)), np.arange(len(a))))
+        length = np.where(length <= 1e-12, 1.0, length)
+        unit, far = x / length[:, None], np.linalg.norm(y, axis=1)
+        slack = 1e-14 * (dim + 8) * far[np.isfinite(far)].max(initial=0.0)  # more than products differ by in another order of sums
         bar = np.full(len(a), threshold)
-        size = max(64, (1 << 22) // len(a))
+        size = max(64, (1 << 23) // len(a))
         for at in range(0, len(b), size):
-            s = x @ y[at : at + size].T
-            good = s >= bar[:, None]
+            s = unit @ y[at : at + size].T
+            if not np.isfinite(s).all():
+                s[np.isnan(s)] = -np.inf
             for j, some in enumerate(wanted):
-                if some and good[j].any():
-                    good[j] &= np.isin(labels[at : at + size], some)
-            i, j = np.nonzero(good)
-            query, item, similar = np.concatenate((query, i)), np.concatenate((item, j + at)), np.concatenate((similar, s[i, j]))
+                if some:
+                    s[j, ~np.isin(labels[at : at + size], some)] = -np.inf
+            low = bar
+            if s.shape[1] > k and np.count_nonzero(s >= bar[:, None]) > 4 * k * len(a):  # the k-th of these is a bar too
+                low = np.maximum(bar, np.partition(s, s.shape[1] - k, axis=1)[:, -k])
+            i, j = np.nonzero((s >= low[:, None] - slack) & (s > -np.inf))
+            exact = _dots(x, y, i, j + at) / length[i]
+            i, j, exact = (c[exact >= bar[i]] for c in (i, j, exact))
+            query, item, similar = np.concatenate((query, i)), np.concatenate((item, j + at)), np.concatenate((similar, exact))
             order = np.lexsort((ids[item], -similar, query))
             start = np.maximum.accumulate(np.where(np.diff(query[order], prepend=-1) != 0, np.arange(len(order)), 0)) if len(order) else order
             kept = order[np.arange(len(order)) - start < k]
