@@ -26,19 +26,26 @@ def exists_for(df: DataFrame, key: str, of: DataFrame, out: str = "found") -> Da
     return of.select(key).distinct().join(any_, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
-def daily_log(matches: DataFrame, recognitions: DataFrame, items: DataFrame, nutrients: list[str], group: list[str], match: str = "match_id", image: str = "image_id", item: str = "item_id") -> DataFrame:
-    """Per group: sums of the items' nutrients, number of matches, and the set of items.
+def daily_log(
+    matches: DataFrame, recognitions: DataFrame, items: DataFrame, nutrients: list[str], group: list[str], match: str = "match_id", image: str = "image_id", item: str = "item_id", groups: DataFrame | None = None
+) -> DataFrame:
+    """Per group: sums of the items' nutrients, number of matches, and the set of items (A8, J13). `groups`
+    get a row even without matches.
 
     Two matches on one image count its items twice. Matches are counted apart from the exploding join,
     so that those without items count once and those with many do too.
     """
+    # matches are narrow and few beside recognitions: hashed, they spare both sides a sort
     totals = (
-        matches.join(recognitions, image)
+        recognitions.join(matches.select(*group, image).hint("shuffle_hash"), image)
         .join(items, item)
         .groupBy(*group)
         .agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in nutrients), F.array_sort(F.collect_set(item)).alias("items"))
     )
-    meals = matches.groupBy(*group).agg(F.count_distinct(match).alias("meal_count"))
+    counted = matches.select(*group, match)
+    if groups is not None:
+        counted = counted.unionByName(groups.select(*group, F.lit(None).alias(match)))
+    meals = counted.groupBy(*group).agg(F.count_distinct(match).alias("meal_count"))
     none = F.array().cast(totals.schema["items"].dataType)
     return meals.join(totals, group, "left").select(
         *group, "meal_count", *(F.coalesce(n, F.lit(0)).alias(n) for n in nutrients), F.coalesce("items", none).alias("items")

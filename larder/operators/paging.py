@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,12 +35,14 @@ def top(df: DataFrame, k: int, by: list[str], order: list[Column], rank: str | N
     return out.withColumnRenamed("_n", rank) if rank else out.drop("_n")
 
 
-def latest(df: DataFrame, by: list[str], at: str, tie: str | None = None) -> DataFrame:
+def latest(df: DataFrame, by: list[str], at: str, tie: str | None = None, rest: list[str] | None = None, also: Sequence[Column] = ()) -> DataFrame:
     """The row of each group with the latest time, as an aggregate; of equals that with the largest `tie`,
-    else the largest hash of the row (L3, L4, W10)."""
-    rest = [c for c in df.columns if c not in by]
+    else the largest hash of the row (L3, L4, W10). A row is its `rest`, all other columns where not said;
+    `also` are aggregates of the whole group, kept beside it."""
+    rest = [c for c in rest or df.columns if c not in by]
     order = F.struct(F.col(at), *([F.col(tie)] if tie else []), F.xxhash64(*rest))
-    return df.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*by, "_r.*")
+    found = df.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_r"), *also)
+    return found.select(*by, "_r.*", *found.columns[len(by) + 1 :])
 
 
 def capped_regions(regions: DataFrame, key: str, order: list[Column], score: str, good: Column, most: int = 6) -> DataFrame:

@@ -34,21 +34,23 @@ class DailyLogs:
         """For foreachBatch."""
         scratch, keys = Scratch(self.spark), [self.person, self.day]
         batch = scratch.put(batch.where(F.col(self.day).isNotNull() & F.col("match_id").isNotNull()), "batch")
-        if batch.isEmpty():
-            return
         parts = [r[0] for r in batch.select(self._part()).distinct().collect()]  # the partitions to replace
+        if not parts:
+            return
+        # each match as it is now, whether the batch names it, and whose it was
         before = self._of(self.matches_at, parts, batch)
-        now = scratch.put(latest(before.unionByName(batch), ["match_id"], "version").select(*batch.columns), "matches")
-        old = before.join(batch.select("match_id").distinct(), "match_id", "left_semi")
-        touched = scratch.put(batch.select(*keys).unionByName(old.select(*keys)).where(F.col(self.person).isNotNull()).distinct(), "touched")
-        counted = now.where(F.col("status").isin(*COUNTED)).join(touched, keys, "left_semi")
-        found = daily_log(counted, self.recognitions, self.items, self.nutrients, keys)
+        both = before.withColumn("_named", F.lit(False)).unionByName(batch.withColumn("_named", F.lit(True)))
+        was = F.max(F.when(~F.col("_named"), F.struct(*keys))).alias("_was")
+        now = scratch.put(latest(both, ["match_id"], "version", rest=batch.columns, also=[F.max("_named").alias("_named"), was]), "matches")
+        named, counts = now.where("_named"), F.col("status").isin(*COUNTED) & F.col(self.person).isNotNull()
+        touched = scratch.put(named.select(*keys).unionByName(named.select("_was.*")).where(F.col(self.person).isNotNull() & F.col(self.day).isNotNull()).distinct(), "touched")
+        others_counted = now.where(counts & ~F.col("_named")).join(touched, keys, "left_semi")
+        counted = scratch.put(named.where(counts).unionByName(others_counted).select(*keys, "match_id", "image_id"), "counted")
         # whoever has no counted match left keeps a row that says so: a partition without rows wouldn't be replaced
-        gone = touched.join(counted.select(*keys).distinct(), keys, "left_anti")
-        empty = gone.select(*(F.col(c) if c in keys else F.lit(0).cast(t).alias(c) if c != "items" else F.array().cast(t).alias(c) for c, t in found.dtypes))
-        others = self._of(self.logs_at, parts, found).join(touched, keys, "left_anti")
-        logs = scratch.put(others.unionByName(found).unionByName(empty), "logs")
-        for table, path in ((now, self.matches_at), (logs, self.logs_at)):
+        found = daily_log(counted, self.recognitions, self.items, self.nutrients, keys, groups=touched)
+        logs = self._of(self.logs_at, parts, found).join(touched, keys, "left_anti").unionByName(found)
+        # logs first: once matches are replaced, whose they were is gone
+        for table, path in ((logs, self.logs_at), (now.select(*batch.columns), self.matches_at)):
             replace_partitions(table.withColumn("_part", self._part()).hint("rebalance", "_part"), path, ["_part"])
 
     def logs(self) -> DataFrame:
